@@ -112,3 +112,9 @@ class Ledger:
         rows.select(*self.schema.names).write.parquet(f"{self.folder}/run={run}")
         self._fs.create(self._path(f"{self.folder}/_done/{run}"), False).close()
         return result
+
+
+def latest(stored: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """Of each key the row stored last: key, `columns`. Of equally late rows the greatest; null keys are left out."""
+    rows = stored.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.struct(*columns).alias("r"))).alias("s"))
+    return rows.select(key, *[F.col(f"s.r.{c}").alias(c) for c in columns])
