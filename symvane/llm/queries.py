@@ -3,13 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symvane.llm.encode import encode
+from symvane.llm.language import Detector, labelled_sample, languages, source_languages
 from symvane.llm.leakage import leaks
+from symvane.llm.pairs import code_doc_pairs, stored_pairs
 from symvane.llm.sentences import split_sentences
+from symvane.operators.incremental import latest
 from symvane.runtime import table
 
 
+def _detector(spark: SparkSession, d: str) -> Detector:
+    return Detector.fit(labelled_sample(table(spark, d, "documents"), "doc_id", "text", "lang"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the doc text and of the name of every stored row."""
+    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "doc"])
+    return languages(stored, "id", "doc", "name", _detector(spark, d)).select("id", "field", "lang")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's share of the running doc text of every file."""
+    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["file_id", "name", "doc"])
+    keyed = stored.select(F.struct("file_id", "id").alias("row"), "name", "doc")
+    found = languages(keyed, "row", "doc", "name", _detector(spark, d)).filter("field = 'doc'")
+    sums = found.groupBy(F.col("id.file_id").alias("file_id"), "lang").agg(F.sum("chars").alias("chars"))
+    whole = sums.groupBy("file_id").agg(F.sum("chars").alias("__all"))
+    return sums.join(whole, "file_id").select("file_id", "lang", "chars", (F.col("chars") / F.col("__all")).alias("share"))
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of comments and strings of the commented sources among the documents."""
+    sources = table(spark, d, "documents").filter("doc_kind = 'source'").withColumn("family", F.lit("slash"))
+    return source_languages(sources, "doc_id", "text", "family", _detector(spark, d))
+
+
+def _documented(spark: SparkSession, d: str) -> DataFrame:
+    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "kind", "signature", "doc"]).filter("kind IN ('function', 'method')")
+    blank = F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s+", "")) == 0
+    outline = table(spark, d, "outline_rows").filter("doc <> ''").groupBy("id").agg(F.max("doc").alias("__outline"))
+    told = stored.filter(~blank).select("id", "name", "signature", "doc")
+    untold = stored.filter(blank).join(outline, "id").select("id", "name", "signature", F.col("__outline").alias("doc"))
+    return stored_pairs(told.unionByName(untold), "id", "name", "signature", "doc")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stored functions and methods whose documentation says something."""
+    return _documented(spark, d).select("id")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Signature and documentation of stored functions and methods."""
+    return _documented(spark, d).select("id", "signature", "doc")
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions in the texts of the documents."""
+    return code_doc_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encode(table(spark, d, "documents"), "doc_id", "text")
@@ -25,5 +79,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_documents, p4_found, p4_pairs, p4_sources, p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {}
