@@ -11,7 +11,7 @@ from symvane.llm.leakage import leaks
 from symvane.llm.pairs import code_doc_pairs, stored_pairs
 from symvane.llm.sentences import split_sentences
 from symvane.operators.incremental import latest
-from symvane.runtime import table
+from symvane.runtime import table, tasks_of
 
 
 def _detector(spark: SparkSession, d: str) -> Detector:
@@ -20,7 +20,7 @@ def _detector(spark: SparkSession, d: str) -> Detector:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the doc text and of the name of every stored row."""
-    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "doc"])
+    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "doc"], 2 * tasks_of(spark))
     return languages(stored, "id", "doc", "name", _detector(spark, d)).select("id", "field", "lang")
 
 
