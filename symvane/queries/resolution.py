@@ -133,6 +133,7 @@ def st3_touching(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (j2_refs_in_files, j3_same_file, j4_unique_in_family, j5_hints, j6_picks, j7_parents, j8_counts, a1_names, w1_nearest, w3_shared_path, w4_ordinals, g10_edges, a2_edge_tiers, p8_names_type, p9_names_place, p10_no_self, f5_receivers, st3_touching)}
+QUERIES = {(f"inv_{k}" if k[0] == "p" else k): f for k, f in QUERIES.items()}  # p and a number is for the training-data problems
 
 _TYPE = """(recv <> '' AND (coalesce(replace(lower(parent), '_', '') = replace(recv, '_', ''), false)
   OR length(recv) >= 4 AND coalesce(ends_with(replace(lower(parent), '_', ''), replace(recv, '_', '')), false)
@@ -201,9 +202,9 @@ SQL = {
     "w4_ordinals": "SELECT id, CAST(row_number() OVER (PARTITION BY file_id, qualified_name, kind ORDER BY seq, id) - 1 AS INT) AS nth FROM (SELECT DISTINCT id, file_id, qualified_name, kind, seq FROM symbols)",
     "g10_edges": BASE + "SELECT * FROM edges",
     "a2_edge_tiers": BASE + "SELECT kind, confidence, count(*) AS edges, min(line) AS first_line FROM edges GROUP BY 1, 2",
-    "p8_names_type": BASE + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_TYPE.replace('|| name', '|| a.name')}",
-    "p9_names_place": BASE + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_place('spath')}",
-    "p10_no_self": BASE + "SELECT r.id, CASE WHEN recv IS NOT NULL AND recv NOT IN ('self', 'this', 'Self', 'cls', '$this', 'static') THEN 1 ELSE 0 END AS no_self FROM r JOIN s ON s.id = r.owner AND s.name = r.name",
+    "inv_p8_names_type": BASE + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_TYPE.replace('|| name', '|| a.name')}",
+    "inv_p9_names_place": BASE + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_place('spath')}",
+    "inv_p10_no_self": BASE + "SELECT r.id, CASE WHEN recv IS NOT NULL AND recv NOT IN ('self', 'this', 'Self', 'cls', '$this', 'static') THEN 1 ELSE 0 END AS no_self FROM r JOIN s ON s.id = r.owner AND s.name = r.name",
     "f5_receivers": "SELECT DISTINCT rid AS id, CASE WHEN recv IN ('self', 'this', 'cls', 'static') THEN NULL ELSE lower(recv) END AS word FROM tmp_refs",
     "st3_touching": BASE + "SELECT * FROM edges",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symvane.operators.resolve import resolve
 from symvane.runtime import table
@@ -64,3 +65,18 @@ def together(spark: SparkSession, d: str) -> DataFrame:
     other = lines.withColumnRenamed("l_partkey", "b")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.unix_timestamp("o_orderdate").alias("at"))
     return lines.withColumnRenamed("l_partkey", "a").join(other, "l_orderkey").filter("a < b").join(orders, "l_orderkey").select("a", "b", "at")
+
+
+def part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A dense graph: parts that follow one another in an order; kind and confidence from the line's flags."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
+    steps = lines.withColumn("dst", F.lead("l_partkey").over(w)).filter("dst IS NOT NULL")
+    confidence = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    return steps.groupBy(F.col("l_partkey").alias("src"), "dst", F.col("l_linestatus").alias("kind")).agg(F.max(confidence).alias("confidence"), F.min("l_linenumber").alias("line"))
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as symbols of files named by type and brand."""
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("family"), F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"), F.col("p_size").alias("start_line"), F.when(F.col("p_retailprice") > 1500, "private").otherwise("public").alias("visibility"))
