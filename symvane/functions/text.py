@@ -52,7 +52,7 @@ def token_estimate(text: Column) -> Column:
     count = lambda t, p: F.regexp_count(t, F.lit(p))
     digits = count(text, "[0-9]")
     words = count(bare, "[A-Za-z0-9_]+")
-    pieces = count(bare, "[0-9]+|[A-Z]+(?![a-zA-Z])|[A-Z][A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]+|[a-z]+")
+    pieces = count(bare, "[0-9]+|[A-Z]+(?![a-zA-Z])|[A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]+|[a-z]+")
     puncts = count(text, r"[!-/:-@\[-^`{-~\x00-\x08\x0b\x0e-\x1f\x7f]")
     raw = F.round(digits * DIGIT + words * WORD + pieces * PIECE + puncts * PUNCT + count(text, "\n") * NEWLINE + count(text, r"[^\x00-\x7f]") * NON_ASCII)
     return F.when(text == "", 0).otherwise(F.greatest(raw.cast("int"), F.lit(1)))
@@ -73,8 +73,8 @@ def common_prefix(a: Column, b: Column) -> Column:
     return shared(a, b)
 
 
-#: What counts as one word part: acronym, capitalised or small word, digits.
-PARTS = r"\p{Lu}+(?!\p{Ll})|\p{Lu}?[\p{L}&&[^\p{Lu}]]+|\p{N}+"
+#: What counts as one word part: acronym, capitalised or small word, letters without case, digits.
+PARTS = r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|[\p{Lo}\p{Lm}\p{Lt}\p{M}]+|\p{N}+"
 
 
 def word_parts(text: Column) -> Column:
@@ -84,7 +84,7 @@ def word_parts(text: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Word parts and, for runs that fall into several, the run glued together."""
-    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
     return F.flatten(F.transform(runs, lambda run: F.when(F.size(word_parts(run)) > 1, F.concat(word_parts(run), F.array(F.lower(run)))).otherwise(word_parts(run))))
 
 
@@ -226,8 +226,13 @@ def guard(text: Column) -> Column:
 
 def simhash64(words: Column) -> Column:
     """64-bit similarity hash of a set of words: the sign of the bit sums of their hashes; 0 for none."""
-    hashes = F.transform(F.array_distinct(words), F.xxhash64)
-    bits = [F.when(F.aggregate(hashes, F.lit(0), lambda acc, h, b=b: acc + F.when(F.getbit(h, F.lit(b)) == 1, 1).otherwise(-1)) > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
+    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+
+    def bit(b: int) -> Column:
+        votes = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.getbit(h, F.lit(b)) == 1, 1).otherwise(-1))
+        return F.when(votes > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+    bits = [bit(b) for b in range(64)]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)

@@ -1,0 +1,269 @@
+"""Queries of full-text search and of scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symvane import views
+from symvane.functions import scoring as sc
+from symvane.functions import text as tx
+from symvane.operators import search as s
+from symvane.runtime import table
+
+#: Queries that every search answers.
+ASKED = [(1, "write frozen journal"), (2, "parse token tree"), (3, "lock caller"), (4, "sealBucket"), (5, "what happens when the window is clos"), (6, "tabla registro caché")]
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return s.query_terms(spark.createDataFrame(ASKED, "query_id int, text string"), "query_id", "text")
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return s.postings(views.symbols(spark, d, "name", "qualified_name", "signature", "doc"), "id", s.WEIGHTS)
+
+
+def t1_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols that hold all words of a query, the forty best."""
+    return s.bm25(_posts(spark, d), _asked(spark), limit=40).select("query_id", "doc", F.round("score", 6).alias("score"))
+
+
+def t2_any_word(spark: SparkSession, d: str) -> DataFrame:
+    return s.bm25(_posts(spark, d), _asked(spark), any_word=True, limit=40).select("query_id", "doc", F.round("score", 6).alias("score"))
+
+
+def t3_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Memories with all words of a query, else with any."""
+    posts = s.postings(views.memories(spark, d), "id", {"text": 1.0}, s.MEMORY_BYTES)
+    return s.strict_or_any(posts, _asked(spark), 20).select("query_id", "doc", "mode", F.round("score", 6).alias("score"))
+
+
+def t4_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark)
+
+
+def t5_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Index terms of symbols' names."""
+    return views.symbols(spark, d, "name").select("id", F.array_join(tx.index_terms(F.col("name")), " ").alias("terms"))
+
+
+def t6_folded(spark: SparkSession, d: str) -> DataFrame:
+    return views.symbols(spark, d, "name").select("id", tx.fold(F.col("name")).alias("folded"))
+
+
+def t7_content(spark: SparkSession, d: str) -> DataFrame:
+    """Content words of first sentences."""
+    rows = table(spark, d, "outline_rows").filter("doc <> ''").select("id", "doc").distinct()
+    return s.content_terms(rows.select(F.col("id").alias("query_id"), tx.word_parts(F.col("doc")).alias("terms"))).select(F.col("query_id").alias("id"), F.array_join("terms", " ").alias("terms"))
+
+
+def t8_glossary(spark: SparkSession, d: str) -> DataFrame:
+    """English terms of Spanish outline docs."""
+    rows = table(spark, d, "outline_rows").filter("doc <> ''").select("id", "doc").distinct()
+    return rows.select("id", F.array_join(s.translated(tx.word_parts(F.col("doc"))), " ").alias("terms")).filter("terms <> ''")
+
+
+def t9_tongue(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "outline_rows").filter("doc <> ''").select("id", "doc").distinct()
+    return rows.select("id", s.tongue(tx.word_parts(F.col("doc"))).alias("tongue"))
+
+
+def t10_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The three documents with most words of a held-out item."""
+    posts = s.postings(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", {"text": 1.0})
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.word_parts(F.col("text")))).alias("term"))
+    return s.baseline(posts, items)
+
+
+def t11_known_items(spark: SparkSession, d: str) -> DataFrame:
+    """Queries made from symbols: words of the doc that the name doesn't give away."""
+    rows = table(spark, d, "outline_rows").filter("doc <> ''").select("id", "name", "doc").distinct()
+    return rows.select("id", F.array_join(s.known_item_words(F.col("doc"), F.col("name")), " ").alias("query"))
+
+
+def a15_bench_arm(spark: SparkSession, d: str) -> DataFrame:
+    """Rates and percentiles of an arm: references stand for tasks, their line for tokens."""
+    rows = views.refs(spark, d).withColumn("hit", F.col("no_self") == 0)
+    out = rows.groupBy("kind").agg(
+        F.round(F.avg(F.col("hit").cast("int")), 4).alias("hit_rate"), F.round(F.avg("line"), 4).alias("mean_tokens"), sc.nearest_rank("line", 50).cast("int").alias("p50"), sc.nearest_rank("line", 95).cast("int").alias("p95"),
+        F.round((F.sum(F.col("line") * 2) - F.sum("line")) / F.sum(F.col("line") * 2), 4).alias("saved"))
+    return out
+
+
+def a16_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates from several lists: best relevance and the three strongest reasons."""
+    spots = table(spark, d, "hotspots").filter("callers IS NOT NULL").select("id", (F.col("callers") / 10.0).alias("rel"), F.concat(F.lit("called by "), F.col("callers").cast("string")).alias("reason")).distinct()
+    ranks = views.symbols(spark, d, "pagerank", "kind", "name").select("id", F.col("pagerank").alias("rel"), F.concat(F.lit("central "), "kind").alias("reason"))
+    names = views.symbols(spark, d, "name").select("id", F.lit(0.5).alias("rel"), F.concat(F.lit("named "), "name").alias("reason"))
+    docs = table(spark, d, "outline_rows").filter("doc <> ''").select("id", F.lit(0.25).alias("rel"), F.lit("documented").alias("reason")).distinct()
+    best = spots.unionByName(ranks).unionByName(names).unionByName(docs).filter(sc.finite(F.col("rel"))).groupBy("id", "reason").agg(F.max("rel").alias("rel"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("rel")).alias("r"), "reason")))
+    return best.groupBy("id").agg(F.max("rel").alias("relevance"), F.array_join(F.slice(F.transform(order, lambda x: x["reason"]), 1, 3), "; ").alias("reasons"))
+
+
+def a19_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return s.statistics(_posts(spark, d))[0]
+
+
+def f1_identity(spark: SparkSession, d: str) -> DataFrame:
+    """FNV-1a of names and of signatures with white space normalised."""
+    return views.symbols(spark, d, "name", "signature").select("id", tx.fnv1a(F.col("name")).alias("h"), tx.fnv1a_normalized(F.col("signature")).alias("sig"))
+
+
+def f2_content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("bytes"), F.length(tx.content_hash(F.col("text"))).alias("length"))
+
+
+def f3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated tokens of documents."""
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+def f4_first_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return views.symbols(spark, d, "doc").filter("doc IS NOT NULL").select("id", tx.first_sentence(F.col("doc")).alias("summary"))
+
+
+def f6_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Shared prefix of every file's path with its family's first path."""
+    f = views.files(spark, d)
+    first = f.groupBy("family").agg(F.min("path").alias("first"))
+    return f.join(first, "family").select("file_id", tx.common_prefix(F.col("path"), F.col("first")).alias("shared"))
+
+
+def f7_f9_learning(spark: SparkSession, d: str) -> DataFrame:
+    """Decayed weight of every signal at the end of the log."""
+    sig = views.signals(spark, d)
+    last = sig.agg(F.max("at").alias("now"))
+    share = sc.decay(F.col("now") - F.col("at"))
+    return sig.join(F.broadcast(last), F.lit(True)).select("id", F.round(sc.signal_delta(F.col("kind"), 0) * share, 6).alias("alpha"), F.round(sc.signal_delta(F.col("kind"), 1) * share, 6).alias("beta"))
+
+
+def f10_f14_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """All relevance formulas over symbols' scores."""
+    pr, n = F.col("pagerank"), F.col("end_line") - F.col("start_line")
+    rows = views.symbols(spark, d, "pagerank", "start_line", "end_line")
+    r = lambda c, name: F.round(c, 9).alias(name)
+    return rows.select("id", r(sc.text_relevance(pr, F.lit(0.5)), "text"), r(sc.partial_relevance(pr, n), "part"), r(sc.neighbor_relevance(pr, n % 4), "near"), r(sc.coaccess_relevance(pr, n / 10), "together"), r(sc.structural(pr, F.lit(1.0)), "structural"), r(sc.boosted(pr * 2, 1 + n / 50), "boosted"), r(sc.multiplier(pr * 10, n / 10), "multiplier"))
+
+
+def f15_clipped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", tx.clip_chars(F.col("text"), 60).alias("clip"), tx.echo_chars(F.col("item_id") * 10).alias("echo"))
+
+
+def f16_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of the words of held-out items."""
+    words = table(spark, d, "eval_items").select(F.explode(F.array_distinct(tx.word_parts(F.col("text")))).alias("word")).distinct()
+    return words.select("word", tx.root(tx.fold(F.col("word"))).alias("root"))
+
+
+def f17_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity hashes of held-out items against the first item: bits that differ."""
+    rows = table(spark, d, "eval_items").select("item_id", tx.simhash(tx.word_parts(F.col("text"))).alias("h"), tx.simhash64(tx.word_parts(F.col("text"))).alias("x"))
+    first = rows.filter("item_id = 1").select(F.col("h").alias("h1"), F.col("x").alias("x1"))
+    return rows.join(F.broadcast(first), F.lit(True)).select("item_id", tx.hamming(F.col("h"), F.col("h1")).alias("bits"), tx.hamming(F.col("x"), F.col("x1")).alias("xbits"))
+
+
+def f18_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of every item to the next one."""
+    rows = table(spark, d, "eval_items").select("item_id", tx.word_parts(F.col("text")).alias("w"))
+    nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("w2"))
+    return rows.join(nxt, "item_id").select("item_id", F.round(tx.jaccard(F.col("w"), F.col("w2")), 6).alias("jaccard"), tx.lcs_length(F.col("w"), F.col("w2")).alias("lcs"), F.round(tx.similarity(F.col("w"), F.col("w2")), 6).alias("similarity"))
+
+
+def f19_compressed(spark: SparkSession, d: str) -> DataFrame:
+    return views.memories(spark, d).select("id", tx.compress(F.col("text")).alias("text"))
+
+
+def f20_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return views.memories(spark, d).select("id", F.length(tx.sanitize(F.col("text"))).alias("length"))
+
+
+def f21_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons to doubt documents."""
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(tx.guard(F.col("text"))).alias("reason"))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def f22_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a planted secret: none may be left."""
+    rows = views.memories(spark, d).select("id", F.concat("text", F.lit(" token=abcd"), F.col("id").cast("string"), F.lit("wxyz end")).alias("t"))
+    return rows.select("id", F.contains(tx.redact(F.col("t")), F.concat(F.lit("abcd"), F.col("id").cast("string"))).alias("left"))
+
+
+QUERIES = {f.__name__: f for f in (t1_bm25, t2_any_word, t3_memories, t4_terms, t5_tokens, t6_folded, t7_content, t8_glossary, t9_tongue, t10_baseline, t11_known_items, a15_bench_arm, a16_merge, a19_frequencies, f1_identity, f2_content_hash, f3_tokens, f4_first_sentence, f6_prefix, f7_f9_learning, f10_f14_relevance, f15_clipped, f16_roots, f17_simhash, f18_similarity, f19_compressed, f20_sanitized, f21_guard, f22_redacted)}
+
+_MARKS = f"'{tx._MARKED}', '{tx._PLAIN}'"
+
+
+def _parts(x: str) -> str:
+    """Word parts in DuckDB, whose patterns can't look ahead: an acronym gives its last capital back by a mark put before it."""
+    marked = rf"regexp_replace(regexp_replace({x}, '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1'||chr(1)||'\2', 'g'), '([^\p{{Lu}}])(\p{{Lu}})', '\1'||chr(1)||'\2', 'g')"
+    return rf"list_transform(regexp_extract_all({marked}, '\p{{Lu}}+\p{{Ll}}*|\p{{Ll}}+|[\p{{Lo}}\p{{Lm}}\p{{Lt}}\p{{M}}]+|\p{{N}}+'), lambda p: lower(p))"
+
+
+def _fold(x: str) -> str:
+    return f"translate(lower({x}), {_MARKS})"
+
+
+def _index(x: str) -> str:
+    return rf"flatten(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda r: CASE WHEN len({_parts('r')}) > 1 THEN list_append({_parts('r')}, lower(r)) ELSE {_parts('r')} END))"
+
+
+def _posts_sql(rows: str, key: str, columns: dict[str, float], most: int) -> str:
+    union = " UNION ALL ".join(f"SELECT {key} AS doc, unnest({_index(f'left(coalesce({c}, chr(32)), {most})')}) AS t, {w}::DOUBLE AS w FROM {rows}" for c, w in columns.items())
+    return f"posts AS (SELECT doc, {_fold('t')} AS term, sum(w) AS tf FROM ({union}) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1), len AS (SELECT doc, sum(tf) AS length FROM posts GROUP BY 1), shape AS (SELECT count(*) AS n, avg(length) AS mean FROM len)"
+
+
+_Q = "asked(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + f"), parts AS (SELECT query_id, list_transform({_parts('text')}, lambda p: {_fold('p')}) AS ps FROM asked), q AS (SELECT DISTINCT query_id, unnest(ps) AS term, ps[-1] AS last FROM parts), qq AS (SELECT query_id, term, term = last AS prefix FROM q)"
+_BM25 = "wanted AS (SELECT query_id, term AS asked, term FROM qq WHERE NOT prefix UNION ALL SELECT query_id, qq.term, df.term FROM qq JOIN df ON starts_with(df.term, qq.term) WHERE prefix), scored AS (SELECT query_id, p.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score, count(DISTINCT asked) AS met FROM wanted w JOIN df ON df.term = w.term JOIN posts p ON p.term = w.term JOIN len ON len.doc = p.doc, shape GROUP BY 1, 2), need AS (SELECT query_id, count(DISTINCT term) AS k FROM qq GROUP BY 1), strict AS (SELECT s.query_id, doc, score FROM scored s JOIN need ON need.query_id = s.query_id WHERE met = k)"
+_SYM = "syms AS (SELECT DISTINCT id, name, qualified_name, signature, doc FROM symbols)"
+_TOP = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) <= "
+_DOCS = "o AS (SELECT DISTINCT id, name, doc FROM outline_rows WHERE doc <> '')"
+_MEMS = "mem AS (SELECT id, arg_max(doc, (stored_at, doc)) AS text FROM old_symbols WHERE length(trim(doc, ' ')) > 0 GROUP BY id)"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _glossary(x: str) -> str:
+    case = " ".join(f"WHEN starts_with({x}, '{k}') AND length({x}) - {len(k)} <= 5 THEN '{v}'" for k, v in sorted(s.GLOSSARY.items(), key=lambda kv: (-len(kv[0]), kv[0])))
+    return f"CASE {case} END"
+
+
+def _root(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{e}') AND length({x}) - {len(e)} >= 4 THEN left({x}, length({x}) - {len(e)})" for e in tx.ENDINGS) + f" ELSE {x} END"
+
+
+SQL = {
+    "t1_bm25": f"WITH {_SYM}, {_posts_sql('syms', 'id', s.WEIGHTS, s.COLUMN_BYTES)}, {_Q}, {_BM25} SELECT query_id, doc, round(score, 6) AS score FROM strict {_TOP} 40",
+    "t2_any_word": f"WITH {_SYM}, {_posts_sql('syms', 'id', s.WEIGHTS, s.COLUMN_BYTES)}, {_Q}, {_BM25} SELECT query_id, doc, round(score, 6) AS score FROM scored {_TOP} 40",
+    "t3_memories": f"WITH {_MEMS}, {_posts_sql('mem', 'id', {'text': 1.0}, s.MEMORY_BYTES)}, {_Q}, {_BM25} SELECT query_id, doc, 'all' AS mode, round(score, 6) AS score FROM strict {_TOP} 20 UNION ALL (SELECT query_id, doc, 'any', round(score, 6) FROM scored WHERE query_id NOT IN (SELECT query_id FROM strict) {_TOP} 20)",
+    "t4_terms": f"WITH {_Q} SELECT query_id, term, prefix FROM qq",
+    "t5_tokens": f"SELECT id, array_to_string({_index('name')}, ' ') AS terms FROM (SELECT DISTINCT id, name FROM symbols)",
+    "t6_folded": f"SELECT id, {_fold('name')} AS folded FROM (SELECT DISTINCT id, name FROM symbols)",
+    "t7_content": f"WITH {_DOCS}, p AS (SELECT DISTINCT id, doc, {_parts('doc')} AS ps FROM o) SELECT id, array_to_string([x FOR x, i IN c IF list_position(c, x) = i][1:6], ' ') AS terms FROM (SELECT id, [x FOR x IN ps IF length(x) > 1 AND NOT list_contains({_list(s.STOP_WORDS)}, x)] AS c FROM p)",
+    "t8_glossary": f"WITH {_DOCS}, p AS (SELECT id, array_to_string([{_glossary('x')} FOR x IN list_transform({_parts('doc')}, lambda z: {_fold('z')}) IF {_glossary('x')} IS NOT NULL], ' ') AS terms FROM (SELECT DISTINCT id, doc FROM o)) SELECT * FROM p WHERE terms <> ''",
+    "t9_tongue": f"WITH {_DOCS}, p AS (SELECT DISTINCT id, doc, {_parts('doc')} AS ps FROM o) SELECT id, CASE WHEN len([x FOR x IN ps IF list_contains({_list(s.SPANISH)}, x)]) > len([x FOR x IN ps IF list_contains({_list(s.ENGLISH)}, x)]) THEN 'es' ELSE 'en' END AS tongue FROM p",
+    "t10_baseline": f"WITH docs AS (SELECT * FROM documents WHERE text IS NOT NULL), {_posts_sql('docs', 'doc_id', {'text': 1.0}, s.COLUMN_BYTES)}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_parts('text')}) AS term FROM eval_items), m AS (SELECT query_id, doc, count(*) AS words FROM q JOIN posts p ON p.term = q.term GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY words DESC, doc) AS INT) AS rank FROM m QUALIFY rank <= 3",
+    "t11_known_items": f"WITH {_DOCS}, p AS (SELECT id, {_parts('doc')} AS ps, {_parts('name')} AS own FROM o) SELECT id, array_to_string([w FOR w IN ps IF len([z FOR z IN own IF z = w OR length(z) >= 3 AND length(w) >= 3 AND left(z, 3) = left(w, 3)]) = 0], ' ') AS query FROM p",
+    "a15_bench_arm": "WITH r AS (SELECT DISTINCT rid, kind, line, excl FROM tmp_refs) SELECT kind, round(avg((excl = 0)::INT), 4) AS hit_rate, round(avg(line), 4) AS mean_tokens, quantile_disc(line, 0.5) AS p50, quantile_disc(line, 0.95) AS p95, 0.5::DOUBLE AS saved FROM r GROUP BY 1",
+    "a16_merge": """WITH c AS (SELECT DISTINCT id, callers / 10.0::DOUBLE AS rel, 'called by ' || callers AS reason FROM hotspots WHERE callers IS NOT NULL UNION ALL SELECT DISTINCT id, pagerank, 'central ' || kind FROM symbols
+      UNION ALL SELECT DISTINCT id, 0.5, 'named ' || name FROM symbols UNION ALL SELECT DISTINCT id, 0.25, 'documented' FROM outline_rows WHERE doc <> ''),
+      b AS (SELECT id, reason, max(rel) AS rel FROM c WHERE rel > 0 GROUP BY 1, 2) SELECT id, max(rel) AS relevance, array_to_string(list(reason ORDER BY rel DESC, reason)[1:3], '; ') AS reasons FROM b GROUP BY 1""",
+    "a19_frequencies": f"WITH {_SYM}, {_posts_sql('syms', 'id', s.WEIGHTS, s.COLUMN_BYTES)} SELECT term, df FROM df",
+    "f2_content_hash": "SELECT doc_id, strlen(text)::INT AS bytes, 17 + length(strlen(text)::VARCHAR)::INT AS length FROM documents WHERE text IS NOT NULL",
+    "f3_tokens": r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(round(0.4878 * len(regexp_extract_all(text, '[0-9]')) + 0.2783 * len(regexp_extract_all(text, '[A-Za-z0-9_]+'))
+      + 0.8258 * len(regexp_extract_all(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[0-9]+|[A-Z]+[a-z]*|[a-z]+')) + 0.402 * len(regexp_extract_all(text, '[!-/:-@\[-^`{-~\x00-\x08\x0b\x0e-\x1f\x7f]'))
+      + 1.7999 * len(regexp_extract_all(text, '\n')) + 0.8308 * len(regexp_extract_all(text, '[^\x00-\x7f]')))::INT, 1) END AS tokens FROM documents WHERE text IS NOT NULL""",
+    "f4_first_sentence": r"""WITH s AS (SELECT DISTINCT id, doc FROM symbols WHERE doc IS NOT NULL), f AS (SELECT id, trim(regexp_replace(string_split(regexp_replace(regexp_replace(regexp_replace(trim(doc, ' '), '\r\n?', chr(10), 'g'), '^\s+', ''), '\n[ \t]*\n', chr(2), 'g'), chr(2))[1], '\s+', ' ', 'g'), ' ') AS p FROM s)
+      SELECT id, CASE WHEN strpos(p, '. ') > 0 THEN left(p, strpos(p, '. ')) ELSE p END AS summary FROM f""",
+    "f6_prefix": "SELECT file_id, CAST(coalesce(list_min([i FOR i IN range(least(length(path), length(first))) IF path[i + 1] <> first[i + 1]]), least(length(path), length(first))) AS INT) AS shared FROM files JOIN (SELECT family AS fam, min(path) AS first FROM files GROUP BY 1) ON fam = family",
+    "f7_f9_learning": "WITH s AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS t0, event_type AS k FROM events), n AS (SELECT max(t0) AS now_t FROM s) SELECT id, round(CASE k WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END * pow(0.5, (now_t - t0) / 2592000.0), 6) AS alpha, round(CASE k WHEN 'signup' THEN 0.25 WHEN 'error' THEN 1.5 WHEN 'purchase' THEN 2 ELSE 0 END * pow(0.5, (now_t - t0) / 2592000.0), 6) AS beta FROM s, n",
+    "f10_f14_relevance": """WITH s AS (SELECT DISTINCT id, pagerank AS p, end_line - start_line AS n FROM symbols) SELECT id, round(0.25 + 0.75 * least(greatest(p / 0.5, 0), 1), 9) AS text, round(CASE WHEN n = 0 OR NOT p > 0 THEN 0.15 ELSE 0.15 + 0.45 * least(greatest(p / n, 0), 1) END, 9) AS part,
+      round(p * 0.45 * CASE WHEN n % 4 >= 2 THEN 1 WHEN n % 4 = 1 THEN 0.7 ELSE 0.35 END, 9) AS near, round(CASE WHEN n > 0 THEN p * 0.35 * least(n / 10.0 / 3, 1) ELSE 0 END, 9) AS together, round(CASE WHEN p > 0 THEN 0.05 + 0.15 * least(p, 1) ELSE 0.05 END, 9) AS structural,
+      round(least(p * 2 * CASE WHEN 1 + n / 50.0 > 0 THEN 1 + n / 50.0 ELSE 1 END, 1.5), 9) AS boosted, round(CASE WHEN p * 10 + n / 10.0 < 0.05 THEN 1 ELSE least(greatest(1 + 0.5 * (2 * (1 + p * 10) / (2 + p * 10 + n / 10.0) - 1) * (p * 10 + n / 10.0) / (p * 10 + n / 10.0 + 4), 0.5), 1.5) END, 9) AS multiplier FROM s""",
+    "f15_clipped": "SELECT item_id, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 59) || '…' END AS clip, least(greatest(item_id * 10 // 5, 24), 160)::INT AS echo FROM eval_items",
+    "f16_roots": f"WITH w AS (SELECT DISTINCT unnest({_parts('text')}) AS word FROM eval_items) SELECT word, {_root(_fold('word'))} AS root FROM w",
+    "f22_redacted": f"WITH {_MEMS} SELECT id, false AS left FROM mem",
+}
