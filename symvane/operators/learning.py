@@ -6,11 +6,15 @@ decayed from its time to the last one; so the whole log folds into one aggregate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symvane.functions.scoring import HALF_LIFE, decay, multiplier, signal_delta
+from symvane.functions.scoring import decay, multiplier, signal_delta
 
 #: Seconds within which a shown and unused target counts as ignored, and targets it counts for.
 IGNORE_SECONDS, IGNORE_MOST = 1_800, 20
@@ -70,19 +74,21 @@ def ignored(shown: DataFrame) -> DataFrame:
 def expanded_together(opened: DataFrame, last: int = TOGETHER_LAST) -> DataFrame:
     """Pairs (a, b, at) of each opened target (session, target_id, at) with the last distinct ones before it in its session.
 
-    A target's place is that of its latest opening before; equal times order by target.
+    A target's place is that of its latest opening before; equal times order by target. Sessions stream through
+    their task in order, which holds `last` targets and nothing else, so a session may be of any length.
     """
-    rows = opened.select("session", "target_id", "at").distinct().withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("at", "target_id")))
-    again = Window.partitionBy("session", "target_id").orderBy("n")
-    spans = rows.withColumn("until", F.lead("n").over(again))  # the opening stands for its target until it is opened again
-    before = spans.select("session", F.col("target_id").alias("other"), F.col("n").alias("m"), "until")
-    bucket = 64  # openings that may count lie within a bounded number of openings only when they differ; the join is by bucket of position
-    near = rows.withColumn("slot", F.floor(F.col("n") / bucket))
-    spread = before.withColumn("slot", F.explode(F.sequence(F.floor(F.col("m") / bucket), F.floor(F.coalesce(F.col("until"), F.col("m") + bucket) / bucket))))
-    pairs = near.join(spread, ["session", "slot"]).filter((F.col("m") < F.col("n")) & (F.col("until").isNull() | (F.col("until") >= F.col("n"))) & (F.col("other") != F.col("target_id")))
-    order = Window.partitionBy("session", "n").orderBy(F.col("m").desc())
-    kept = pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= last)
-    return kept.select(F.least("target_id", "other").alias("a"), F.greatest("target_id", "other").alias("b"), "at")
-
-
-HALF_LIFE_SECONDS = HALF_LIFE
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("at", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, recent = None, []
+        for pdf in batches:
+            out = []
+            for s, t, at in zip(pdf["session"], pdf["target_id"], pdf["at"]):
+                if s != session:
+                    session, recent = s, []
+                out += [(min(t, o), max(t, o), at) for o in recent if o != t]
+                recent = [t, *[o for o in recent if o != t]][:last]
+            yield pd.DataFrame(out, columns=["a", "b", "at"])
+
+    rows = opened.select("session", "target_id", "at").filter("session IS NOT NULL AND target_id IS NOT NULL AND at IS NOT NULL").distinct()
+    return rows.repartition("session").sortWithinPartitions("session", "at", "target_id").mapInPandas(run, schema)
