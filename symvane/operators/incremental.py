@@ -20,16 +20,15 @@ from pyspark.sql import types as T
 def watermark(log: DataFrame, start: str, end: str, committed: Column, failed: Column) -> DataFrame:
     """One row `since`: from where the next run must reread.
 
-    The last successful run is the committed one with the latest `end`. A transaction was open then if it had
-    started and not ended (a null `end` without a failure counts as never ended; one that failed later was
-    still open). `since` is the earliest start of those, else the last run's own start; null if no run ever
-    succeeded, so that everything is read.
+    The last successful run is the committed one with the latest `end`; it saw what was there when it started. A
+    transaction was open then if it had started and not ended (a null `end` without a failure counts as never
+    ended; one that failed later was still open), the run itself included. `since` is the earliest start of those;
+    null if no run ever succeeded, so that everything is read.
     """
     runs = log.select(F.col(start).alias("s"), F.col(end).alias("e"), F.coalesce(committed, F.lit(False)).alias("ok"), F.coalesce(failed, F.lit(False)).alias("bad"))
-    last = runs.filter("ok AND e IS NOT NULL").agg(F.max("e").alias("last"), F.max_by("s", "e").alias("own"))
-    open_then = (F.col("s") <= F.col("last")) & (F.col("e").isNull() & ~F.col("bad") | (F.col("e") > F.col("last")))
-    at_last = runs.join(F.broadcast(last), F.lit(True))  # `last` is a single row
-    return at_last.agg(F.coalesce(F.min(F.when(open_then, F.col("s"))), F.min("own")).alias("since"))
+    last = runs.filter("ok AND e IS NOT NULL").agg(F.max_by("s", "e").alias("own"))
+    open_then = (F.col("s") <= F.col("own")) & (F.col("e").isNull() & ~F.col("bad") | (F.col("e") > F.col("own")))
+    return runs.join(F.broadcast(last), F.lit(True)).agg(F.min(F.when(open_then, F.col("s"))).alias("since"))  # `last` is a single row
 
 
 def processed_ledger(stored: DataFrame, key: str, version: list[str], at: str, removals: DataFrame | None = None, removed_at: str = "removed_at") -> DataFrame:
