@@ -3,10 +3,11 @@
 Links are first combined inside each partition by a weighted disjoint-set forest: every node
 learns its local root and its offset (number of links) below it, by path compression over
 index arrays. Partitions follow a locality column (say the file), bin-packed by load with hot
-values split, so nearly all links end there. Local roots whose parent lies elsewhere form a
-much smaller forest of weighted links, which is merged on the next level: in one task while it
-has at most `merge_rows` links, else by distributed pointer doubling, which closes chains in a
-logarithmic number of rounds and finds cycles exactly. Paths are then laid out by walking the
+values split, so nearly all links end there. The parents that lie outside a child's partition
+form a much smaller forest of weighted links, one node each however many children they have. It
+is merged on the next level: in one task while it has at most `merge_rows` links, else by
+distributed pointer doubling, which closes chains in a logarithmic number of rounds and finds
+cycles exactly. Paths are then laid out by walking the
 indexed parents, local part after the part above it.
 """
 
@@ -20,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symvane.operators.skew import plan_loads
+from symvane.operators.skew import balanced_join, plan_loads
 from symvane.runtime import MERGE_ROWS, cut, tasks_of
 
+#: Most links of the upper levels that are sent to all tasks at once; beyond, the join is spread by load.
+BROADCAST_LINKS = 20_000
+#: Most nodes of one partition-local forest, beside as many tasks as the session plans for.
+TASK_ROWS = 250_000
 #: What a chain ends in.
 ROOTED, ORPHAN, CYCLE, BELOW_CYCLE, OPEN = 0, 1, 2, 3, 4
 STATES = ["rooted", "orphan", "cycle", "below_cycle"]
@@ -132,8 +137,9 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return r | {"state": int(state[i]), "cycle_min": smallest[cycle[i]], "off": None, "labels": None}
         if end["state"] in (CYCLE, BELOW_CYCLE):
             return r | {"state": BELOW_CYCLE, "cycle_min": end["cycle_min"], "off": None, "ids": None, "labels": None}
-        above = done[up[i]] if up[i] >= 0 else {"ids": [], "labels": []}
-        return r | {"state": end["state"], "root_id": end["root_id"], "off": int(off[i]) + end["off"], "ids": above["ids"] + r["ids"], "labels": above["labels"] + r["labels"]}
+        above = done[up[i]] if up[i] >= 0 else {"ids": [], "labels": [], "root_id": r["root_id"]}
+        root = r["root_id"] if above["root_id"] is None else above["root_id"]
+        return r | {"state": end["state"], "root_id": root, "off": int(off[i]) + end["off"], "ids": above["ids"] + r["ids"], "labels": above["labels"] + r["labels"]}
 
     level = np.zeros(len(rows), np.int64)
     steps = compress(up, np.ones(len(rows), np.int64))[1]
@@ -155,7 +161,7 @@ def _double(links: DataFrame) -> DataFrame:
     return both.select(
         "t",
         F.when(through, F.col("f_jump")).otherwise(F.col("jump")).alias("jump"),
-        F.when(through, F.col("f_root_id")).otherwise(F.col("root_id")).alias("root_id"),
+        F.when(through, F.coalesce("f_root_id", "root_id")).otherwise(F.col("root_id")).alias("root_id"),
         F.when(through, F.col("off") + F.col("f_off")).otherwise(F.col("off")).alias("off"),
         F.when(lost, F.lit(BELOW_CYCLE)).when(opened, F.col("f_state")).otherwise(F.col("state")).alias("state"),
         F.when(lost, F.col("f_cycle_min")).otherwise(F.col("cycle_min")).alias("cycle_min"),
@@ -226,17 +232,18 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, lo
     where = F.xxhash64(F.col(locality)) if locality else F.xxhash64(F.col(id_col))
     slim = nodes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), F.col(label_col).cast("string").alias("label"), where.alias("near"))
     once = slim.groupBy("id").agg(F.min(F.struct("parent", "label", "near")).alias("r")).select("id", "r.parent", "r.label", "r.near")
-    plan = plan_loads(slim, ["near"], tasks or tasks_of(spark))  # copies of a row count too: an estimate is enough here
+    plan = plan_loads(slim, ["near"], tasks or tasks_of(spark), TASK_ROWS)  # copies of a row count too: an estimate is enough here
     placed = plan.place(once, "slot", [F.col("id")]).repartition(plan.tasks, "slot")
     local = cut(placed.select("id", "parent", "label").mapInArrow(_local, _LOCAL))
 
-    tops = cut(local.filter((F.col("state") == OPEN) & (F.col("id") == F.col("top"))).select(F.col("id").alias("t"), F.col("out_parent").alias("p")))
-    entry = tops.join(local.select(F.col("id").alias("p"), "top", "off", "out_parent", "state", "cycle_min", "ids", "labels"), "p", "left")
+    # The parents that lie outside their child's partition: however many children name one, it is one node of the next level.
+    outer = cut(local.filter(F.col("state") == OPEN).select(F.col("out_parent").alias("t")).distinct())
+    entry = outer.join(local.withColumnRenamed("id", "t"), "t", "left")
     gone = F.col("state").isNull()
     links = cut(entry.select(
         "t",
-        F.when(F.col("state") == OPEN, F.col("top")).alias("jump"),
-        F.when(gone, F.col("t")).otherwise(F.col("top")).alias("root_id"),
+        F.col("out_parent").alias("jump"),
+        F.col("top").alias("root_id"),
         F.when(gone, F.lit(0)).otherwise(F.col("off") + 1).cast("long").alias("off"),
         F.when(gone, F.lit(ORPHAN)).when(F.col("state") == CYCLE, F.lit(BELOW_CYCLE)).otherwise(F.col("state")).alias("state"),
         "cycle_min",
@@ -245,14 +252,19 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, lo
     ))
     merged = _merge(links, merge_rows)
     ring = merged.filter(F.col("state") == CYCLE).select(F.explode("ids").alias("id"), F.lit(True).alias("on_ring")).distinct()
-    above = merged.select(F.col("t").alias("top"), F.col("root_id").alias("up_root"), F.col("off").alias("up_off"), F.when(F.col("state") == CYCLE, BELOW_CYCLE).otherwise(F.col("state")).alias("up_state"), F.col("cycle_min").alias("up_cycle"), F.col("ids").alias("up_ids"), F.col("labels").alias("up_labels"))
+    above = merged.select(F.col("t").alias("out_parent"), F.col("root_id").alias("up_root"), F.col("off").alias("up_off"), F.when(F.col("state") == CYCLE, BELOW_CYCLE).otherwise(F.col("state")).alias("up_state"), F.col("cycle_min").alias("up_cycle"), F.col("ids").alias("up_ids"), F.col("labels").alias("up_labels"))
+    hanging = local.filter(F.col("state") == OPEN).drop("cycle_min")
+    if links.count() <= BROADCAST_LINKS:
+        joined = hanging.join(F.broadcast(above), "out_parent")
+    else:
+        joined = balanced_join(hanging, above, ["out_parent"], ["id"], plan=plan_loads(hanging, ["out_parent"], plan.tasks))
     inside = local.filter(F.col("state") != OPEN).select(
         "id", "state", F.coalesce("cycle_min", "top").alias("root_id"), F.col("off").alias("depth"), F.when(F.col("state") == ROOTED, F.col("ids")).alias("ids"), F.when(F.col("state") == ROOTED, F.col("labels")).alias("path"))
     whole = F.col("up_state").isin(ROOTED, ORPHAN)
-    crossing = local.filter(F.col("state") == OPEN).join(above, "top").join(ring, "id", "left").select(
+    crossing = joined.join(ring, "id", "left").select(
         "id",
         F.when(F.col("on_ring"), CYCLE).otherwise(F.col("up_state")).alias("state"),
-        F.when(whole, F.col("up_root")).otherwise(F.col("up_cycle")).alias("root_id"),
+        F.when(whole, F.coalesce("up_root", "top")).otherwise(F.col("up_cycle")).alias("root_id"),
         F.when(whole, (F.col("off") + F.col("up_off")).cast("int")).alias("depth"),
         F.when(whole, F.concat("up_ids", "ids")).alias("ids"),
         F.when(whole, F.concat("up_labels", "labels")).alias("path"),

@@ -118,8 +118,6 @@ def latest(stored: DataFrame, key: str, at: str, columns: list[str], tasks: int
 
     With `tasks` the result comes in that many partitions, however small, for costly work on each row.
     """
-    rows = stored.filter(F.col(key).isNotNull()).select(key, at, *columns)
-    if tasks:
-        rows = rows.repartition(tasks, key)
-    rows = rows.groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.struct(*columns).alias("r"))).alias("s"))
-    return rows.select(key, *[F.col(f"s.r.{c}").alias(c) for c in columns])
+    rows = stored.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.struct(*columns).alias("r"))).alias("s"))
+    last = rows.select(key, *[F.col(f"s.r.{c}").alias(c) for c in columns])
+    return last.repartition(tasks, key) if tasks else last  # keys are unique here, so this spreads evenly

@@ -109,8 +109,8 @@ class Plan:
         return self._with_shards(df, shards).withColumn(slot, F.explode(all_slots)).drop(shards)
 
 
-def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> Plan:
-    """Measure the loads of df's keys and pack them onto tasks.
+def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None, task_rows: int | None = None) -> Plan:
+    """Measure the loads of df's keys and pack them onto tasks; with `task_rows` onto more tasks where they would get more rows.
 
     Null is a key like any other. An empty df gives a plan without heavy keys.
     """
@@ -122,6 +122,8 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> Plan
     for b, n in only.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
         loads[b] = n
     total = sum(loads)
+    if task_rows:
+        tasks = max(tasks, -(-total // task_rows))
     limit = max(1, total // (SPLIT * tasks))
     full = [b for b, n in enumerate(loads) if n > limit]
     heavy_rows: list[tuple[tuple, int]] = []

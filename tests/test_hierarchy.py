@@ -65,3 +65,13 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 1, "d"), (5, 5, "r")], "id long, parent_id long, name string")
     placed = hierarchy(df, "id", "parent_id", "name")
     assert sorted(tuple(r) for r in descendants(placed).collect()) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
+
+
+def test_hot_parent_without_broadcast(spark, monkeypatch):
+    from symvane.operators import hierarchy as mod
+
+    monkeypatch.setattr(mod, "BROADCAST_LINKS", -1)
+    monkeypatch.setattr(mod, "TASK_ROWS", 40)
+    rows = [(i, 7 if 100 < i < 400 else i // 2 if i else None, f"n{i}", i % 3 if i < 300 else 9) for i in range(500)] + [(900, 901, "o", 1), (902, 901, "o", 2), (903, 903, "c", 2)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, name string, f int")
+    assert run(df, locality="f", merge_rows=0) == brute([x[:3] for x in rows])
