@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symvane.operators.hierarchy import descendants, hierarchy
-from symvane.operators.incremental import changes, processed_ledger
+from symvane.operators.incremental import changes, processed_ledger, watermark
 from symvane.operators.skew import balanced_distinct_count, balanced_join, heavy_keys, plan_loads
 from symvane.operators.topn import top_n
 from symvane.runtime import cut, table
@@ -85,7 +85,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return changes(table(spark, d, "symbols"), ledger, "id", version)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owner_kinds, p5_found, p6_found)}
+def p6_reread(spark: SparkSession, d: str) -> DataFrame:
+    """Stored rows that the next run reads again: those since the oldest run that was open when the last successful one started."""
+    plans = table(spark, d, "upsert_plans").select("planned_at", "finished_at", "outcome").distinct()
+    since = watermark(plans, "planned_at", "finished_at", F.col("outcome") == "committed", F.col("outcome").isin("failed", "rolled_back"))
+    rows = table(spark, d, "old_symbols").select("id", "sig_hash", "body_hash", "stored_at")
+    return rows.join(F.broadcast(since), F.col("stored_at") >= F.coalesce("since", "stored_at")).select("id", "sig_hash", "body_hash").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owner_kinds, p5_found, p6_found, p6_reread)}
 
 _WALK = """
 WITH RECURSIVE s AS (SELECT DISTINCT id, parent_id, name FROM symbols),
@@ -142,6 +150,10 @@ SELECT * FROM (
   UNION ALL
   SELECT 'hotspots', path, CAST(row_number() OVER (PARTITION BY path ORDER BY callers DESC, line, id) AS INT), id FROM b
 ) WHERE rank_no <= 3""",
+    "p6_reread": """
+WITH l AS (SELECT arg_max(planned_at, finished_at) AS own FROM upsert_plans WHERE outcome = 'committed'),
+w AS (SELECT min(planned_at) AS since FROM upsert_plans, l WHERE planned_at <= own AND (finished_at IS NULL AND coalesce(outcome, '') NOT IN ('failed', 'rolled_back') OR finished_at > own))
+SELECT DISTINCT id, sig_hash, body_hash FROM old_symbols, w WHERE stored_at >= since""",
     "p6_found": """
 WITH stored AS (SELECT id, max(stored_at) AS at, arg_max(sig_hash, stored_at) AS sig, arg_max(body_hash, stored_at) AS body FROM old_symbols GROUP BY id),
 gone AS (SELECT id, max(finished_at) AS fin FROM (SELECT unnest(removed) AS id, finished_at FROM upsert_plans WHERE outcome = 'committed') GROUP BY id),
