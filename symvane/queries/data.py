@@ -86,11 +86,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_reread(spark: SparkSession, d: str) -> DataFrame:
-    """Stored rows that the next run reads again: those since the oldest run that was open when the last successful one started."""
-    plans = table(spark, d, "upsert_plans").select("planned_at", "finished_at", "outcome").distinct()
+    """Runs whose log the next run reads again: those planned since the oldest one open when the last successful one started."""
+    plans = table(spark, d, "upsert_plans").select("plan_id", "file_id", "outcome", "planned_at", "finished_at").distinct()
     since = watermark(plans, "planned_at", "finished_at", F.col("outcome") == "committed", F.col("outcome").isin("failed", "rolled_back"))
-    rows = table(spark, d, "old_symbols").select("id", "sig_hash", "body_hash", "stored_at")
-    return rows.join(F.broadcast(since), F.col("stored_at") >= F.coalesce("since", "stored_at")).select("id", "sig_hash", "body_hash").distinct()
+    return plans.join(F.broadcast(since), F.col("planned_at") >= F.coalesce("since", "planned_at")).select("plan_id", "file_id", "outcome")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owner_kinds, p5_found, p6_found, p6_reread)}
@@ -153,7 +152,7 @@ SELECT * FROM (
     "p6_reread": """
 WITH l AS (SELECT arg_max(planned_at, finished_at) AS own FROM upsert_plans WHERE outcome = 'committed'),
 w AS (SELECT min(planned_at) AS since FROM upsert_plans, l WHERE planned_at <= own AND (finished_at IS NULL AND coalesce(outcome, '') NOT IN ('failed', 'rolled_back') OR finished_at > own))
-SELECT DISTINCT id, sig_hash, body_hash FROM old_symbols, w WHERE stored_at >= since""",
+SELECT DISTINCT plan_id, file_id, outcome FROM upsert_plans, w WHERE planned_at >= since""",
     "p6_found": """
 WITH stored AS (SELECT id, max(stored_at) AS at, arg_max(sig_hash, stored_at) AS sig, arg_max(body_hash, stored_at) AS body FROM old_symbols GROUP BY id),
 gone AS (SELECT id, max(finished_at) AS fin FROM (SELECT unnest(removed) AS id, finished_at FROM upsert_plans WHERE outcome = 'committed') GROUP BY id),
