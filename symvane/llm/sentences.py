@@ -76,6 +76,8 @@ _TOKEN = re.compile(r"[^\s(\[{“”„«»\"「」‚‘]+$")
 _NEXT = re.compile(r"[^\s,;:!?)\]}”»]+")
 _CODELIKE = re.compile(r"\w*_\w|[^\W\d_]+[a-z\d][A-Z]|\w+(?:/[\w.]+)+|\w+\(|\w+(?:::|\.)\w+[.(\w]*$")
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=[฀-ๅ็-๿])")
+_WESTERN = "A-Za-zÀ-ɏЀ-ӿ"
+_THAI_OUT = re.compile(rf"(?<=[\u0e00-\u0e7f])\s+(?=[A-ZÀ-ÞА-Я][a-zà-ÿа-яё]*(?:['’][{_WESTERN}]+)?\s+[{_WESTERN}\d][^\s]*\s+[{_WESTERN}\d])")
 _ALNUM = re.compile(r"[^\W_]")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]$")
 
@@ -142,7 +144,10 @@ def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
     if _NUMBERED.ends(low) and (digit or len(low) == 1):
         return False
     if len(token) == 1 and token.isalpha():
-        return c in PAIRS or c == '"' if token.isupper() else not small
+        if not token.isupper():
+            return not small
+        before = _TOKEN.search(u[: m.start()].rstrip())
+        return c in PAIRS or c == '"' or bool(before and len(before[0]) > 1 and before[0].isalpha() and before[0].isupper())  # else an initial
     if _ACRONYM.match(token):
         return not small
     if token.isdigit():
@@ -189,7 +194,7 @@ def split_block(u: str) -> list[tuple[int, int]]:
         if nxt >= len(u) or _ends(u, a, b, e, nxt):
             cuts.append(e)
     if any("฀" <= c <= "๿" for c in u):
-        cuts = sorted({*cuts, *(m.start() for m in _THAI.finditer(u) if not inside(m.start()))})
+        cuts = sorted({*cuts, *(m.start() for form in (_THAI, _THAI_OUT) for m in form.finditer(u) if not inside(m.start()))})
     out, at = [], 0
     for e in [*cuts, len(u)]:
         s = at

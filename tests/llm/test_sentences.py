@@ -55,3 +55,9 @@ def test_spans_are_ordered_and_trimmed():
         for s, e in sentences(t):
             assert end <= s < e and not t[s].isspace() and not t[e - 1].isspace()
             end = e
+
+
+def test_thai_beside_other_scripts():
+    assert cut("แคชถูกเขียนก่อน\nDer Aufrufer muss warten. ระวังเส้นทาง") == ["แคชถูกเขียนก่อน", "Der Aufrufer muss warten.", "ระวังเส้นทาง"]
+    assert cut("แคช walk_tree ถูกเขียน CachedNode ก่อน") == ["แคช walk_tree ถูกเขียน CachedNode ก่อน"]
+    assert cut("HOW MANY LOOPS DOES A. The caller waits.") == ["HOW MANY LOOPS DOES A.", "The caller waits."]
