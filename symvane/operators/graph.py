@@ -140,18 +140,24 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
         return nodes.select("id", F.lit(0.0).alias("score"))
     flows = links.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     rank = nodes.withColumn("r", F.lit(1.0 / n))
+    loose_ends = bool(nodes.filter("out = 0").take(1))
+    every = 1 if loose_ends else every  # the loose rank reads a round's ranks a second time
     for k in range(1, rounds + 1):
         before = rank
         given = flows.join(before.filter("out > 0").select(F.col("id").alias("src"), (F.col("r") / F.col("out")).alias("part")), "src")
         got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
-        loose = before.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("r"))), F.lit(0.0)).alias("loose"))  # a single row
-        rank = nodes.join(got, "id", "left").join(F.broadcast(loose), F.lit(True)).select("id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))
+        rank = nodes.join(got, "id", "left")
+        share = F.lit(0.0)
+        if loose_ends:
+            rank = rank.join(F.broadcast(before.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("r"))), F.lit(0.0)).alias("loose"))), F.lit(True))  # a single row
+            share = F.col("loose") / n
+        rank = rank.select("id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + share)).alias("r"))
         if k % every == 0 or k == rounds:
-            old = before.select("id", F.col("r").alias("was"))
-            step = cut(rank.join(old, "id"))
-            rank = step.drop("was")
-            if tolerance and step.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] < tolerance:
-                break
+            rank = cut(rank)
+            if tolerance and k > 1:
+                was = before.select("id", F.col("r").alias("was"))
+                if rank.join(was, "id").agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] < tolerance:
+                    break
     flows.unpersist()
     most = rank.agg(F.max("r").alias("most"))
     return rank.join(F.broadcast(most), F.lit(True)).select("id", (F.col("r") / F.col("most")).alias("score"))

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symvane.operators.topn import top_n
+from symvane.runtime import cut
 from symvane.schemas import GUESS, HEURISTIC, RESOLVED
 
 #: Most edges one reference gives, and candidates ranked for it (one more, for its owner may be skipped).
 MAX_LINKS, PICKS = 4, 5
+#: Most candidates of a name in a family that every asking file is compared with.
+FEW = 200
 # Qualifiers that mean the symbol itself, or its module.
 SELF = ["self", "this", "Self", "cls", "$this", "static"]
 MODULE = ["super", "crate", "parent"]
@@ -131,10 +135,22 @@ def hints(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
     return plain.unionByName(own)
 
 
-def picks(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Best candidates of ambiguous names per file: (name, family, file_id, rank, sid, sfile), longest shared path first."""
-    asked = loaded.filter("nsame = 0 AND cnt >= 2 AND hint IS NULL").select("name", "family", "file_id", "path").distinct()
-    pairs = asked.join(candidates.select("name", "family", "sid", "sfile", "spath"), ["name", "family"])
+def picks(loaded: DataFrame, candidates: DataFrame, few: int = FEW) -> DataFrame:
+    """Best candidates of ambiguous names per file: (name, family, file_id, rank, sid, sfile), longest shared path first.
+
+    Files meet all candidates of a name while a family has at most `few`. Beyond that they meet, for each
+    beginning of their path, the five first candidates below it, which always holds the five best: cost then
+    grows with candidates and files, not with their product.
+    """
+    asked = loaded.filter("nsame = 0 AND cnt >= 2 AND hint IS NULL").select("name", "family", "file_id", "path", (F.col("cnt") + F.col("excl") > few).alias("many")).distinct()
+    own = candidates.select("name", "family", "sid", "sfile", "spath")
+    pairs = asked.filter("NOT many").join(own, ["name", "family"]).select("name", "family", "file_id", "path", "sid", "sfile", "spath")
+    hot = asked.filter("many")
+    held = own.join(hot.select("name", "family").distinct(), ["name", "family"], "left_semi")
+    starts = lambda p: F.explode(F.transform(F.sequence(F.lit(0), F.octet_length(p)), lambda k: F.substring(F.hex(F.encode(p, "utf-8")), F.lit(1), 2 * k))).alias("start")
+    first = top_n(held.select("name", "family", "sid", "spath", starts(F.col("spath"))), ["name", "family", "start"], [("spath", False)], "sid", PICKS).drop("rank_no")
+    met = hot.select("name", "family", "file_id", "path", starts(F.col("path"))).join(first, ["name", "family", "start"]).drop("start").distinct()
+    pairs = pairs.unionByName(met.join(own.select("sid", "sfile"), "sid"))
     best = Window.partitionBy("name", "family", "file_id").orderBy(F.col("shared").desc(), "spath", "sid")
     ranked = pairs.withColumn("shared", common_prefix(F.col("spath"), F.col("path"))).withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= PICKS).select("name", "family", "file_id", "rank", "sid", "sfile")
@@ -153,8 +169,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     names nobody carries, give none; empty tables give none.
     """
     candidates = candidates_of(symbols, files)
-    loaded = load_refs(refs, candidates, files)
-    loaded = loaded.join(hints(loaded, candidates), "id", "left")
+    loaded = cut(load_refs(refs, candidates, files))
+    loaded = cut(loaded.join(hints(loaded, candidates), "id", "left"))
     first = same_file(loaded, candidates)
     free = loaded.filter("nsame = 0")
     to = [F.col("owner").alias("src"), F.col("sid").alias("dst"), "kind"]

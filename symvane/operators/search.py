@@ -7,11 +7,14 @@ plain aggregates; the last word of a query also matches as a prefix.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symvane.functions.text import fold, index_terms, word_parts
+from symvane.runtime import cut
 
 #: Weights of columns, and the parameters of BM25.
 WEIGHTS = {"name": 10.0, "qualified_name": 5.0, "signature": 2.0, "doc": 1.0}
@@ -39,6 +42,26 @@ def statistics(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df, length
 
 
+@dataclass
+class Index:
+    """Postings with what every search needs of them, computed once."""
+
+    posts: DataFrame
+    df: DataFrame
+    length: DataFrame
+    documents: int
+    mean: float
+
+
+def index_of(posts: DataFrame) -> Index:
+    """The index of postings; they and their statistics are written once."""
+    kept = cut(posts)
+    df, length = statistics(kept)
+    length = cut(length)
+    n, mean = length.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+    return Index(kept, cut(df), length, n, mean)
+
+
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, term, prefix): at most 32 distinct word parts, the last kept; the last one also matches as a prefix."""
     parts = F.transform(word_parts(F.substring(F.col(text_col), 1, QUERY_BYTES)), fold)
@@ -53,22 +76,20 @@ def content_terms(terms: DataFrame, most: int = 6) -> DataFrame:
     return terms.select("query_id", F.slice(F.array_distinct(F.filter("terms", lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS))), 1, most).alias("terms"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, any_word: bool = False, limit: int | None = None) -> DataFrame:
+def bm25(posts: DataFrame | Index, queries: DataFrame, any_word: bool = False, limit: int | None = None) -> DataFrame:
     """(query_id, doc, score, rank). queries: (query_id, term, prefix).
 
     Unless `any_word`, every term must occur; a prefix term stands for all terms it begins, each scored by its
     own frequency, and counts as one. Equal scores (to 9 digits) rank by doc.
     """
-    df, length = statistics(posts)
-    shape = length.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # a single row
-    vocabulary = df.select("term", "df")
+    index = posts if isinstance(posts, Index) else index_of(posts)
     exact = queries.filter(~F.col("prefix")).select("query_id", F.col("term").alias("asked"), "term")
-    opened = queries.filter("prefix").select("query_id", F.col("term").alias("asked"))
-    started = vocabulary.select("term").join(opened, F.col("term").startswith(F.col("asked"))).select("query_id", "asked", "term")
-    wanted = exact.unionByName(started).join(vocabulary, "term")
-    hits = wanted.join(posts, "term").join(length, "doc").join(F.broadcast(shape), F.lit(True))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    opened = queries.filter("prefix").select("query_id", F.col("term").alias("asked"), F.substring("term", 1, 1).alias("initial"))
+    started = index.df.select("term", F.substring("term", 1, 1).alias("initial")).join(opened, "initial").filter(F.startswith("term", "asked")).select("query_id", "asked", "term")
+    wanted = exact.unionByName(started).join(index.df, "term")
+    hits = wanted.join(index.posts, "term").join(index.length, "doc")
+    idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean))
     scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), 9).alias("score"), F.count_distinct("asked").alias("met"))
     if not any_word:
         scored = scored.join(queries.groupBy("query_id").agg(F.count_distinct("term").alias("need")), "query_id").filter("met = need")
@@ -77,8 +98,9 @@ def bm25(posts: DataFrame, queries: DataFrame, any_word: bool = False, limit: in
     return ranked.filter(F.col("rank") <= limit) if limit is not None else ranked
 
 
-def strict_or_any(posts: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def strict_or_any(posts: DataFrame | Index, queries: DataFrame, limit: int) -> DataFrame:
     """Per query its strict hits, or any-word hits where it has no strict one."""
+    posts = posts if isinstance(posts, Index) else index_of(posts)
     strict = bm25(posts, queries, limit=limit).withColumn("mode", F.lit("all"))
     loose = bm25(posts, queries, any_word=True, limit=limit).withColumn("mode", F.lit("any"))
     return strict.unionByName(loose.join(strict.select("query_id").distinct(), "query_id", "left_anti"))

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from symvane.functions import scoring as sc
 from symvane.functions.text import first_sentence, fold, token_estimate, word_parts
 from symvane.operators.pack import CANDIDATES, pack_batch
-from symvane.operators.search import STOP_WORDS, bm25, query_terms
+from symvane.operators.search import STOP_WORDS, Index, bm25, query_terms
+from symvane.runtime import cut
 
 #: Exact and text seeds of a query, and how few text seeds make it relax.
 EXACT, TEXT, FEW = 10, 40, 8
@@ -30,10 +31,10 @@ SOURCE_TOKENS = 3_000
 
 @dataclass
 class Tables:
-    """What recall reads: symbols (with path), postings, edges, pairs used together, learned state."""
+    """What recall reads: symbols (with path), index, edges, pairs used together, learned state."""
 
     symbols: DataFrame
-    postings: DataFrame
+    postings: Index
     edges: DataFrame
     pairs: DataFrame | None = None
     state: DataFrame | None = None
@@ -47,7 +48,7 @@ def exact_seeds(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return hit.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= EXACT).select("query_id", "id", F.lit(1.0).alias("rel"), F.lit("exact name").alias("reason"))
 
 
-def text_seeds(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def text_seeds(postings: Index, queries: DataFrame) -> DataFrame:
     """Full-text seeds; where there are fewer than eight, without stop words at nine tenths, and then any word."""
     terms = query_terms(queries, "query_id", "text")
     content = terms.filter(~F.col("term").isin(STOP_WORDS) & (F.length("term") > 1))
@@ -56,11 +57,11 @@ def text_seeds(postings: DataFrame, queries: DataFrame) -> DataFrame:
         best = F.max("score").over(Window.partitionBy("query_id"))
         return hits.withColumn("best", best)
 
-    strict = scored(bm25(postings, terms, limit=TEXT)).select("query_id", F.col("doc").alias("id"), sc.text_relevance(F.col("score"), F.col("best")).alias("rel"), F.lit("text").alias("reason"))
+    strict = cut(scored(bm25(postings, terms, limit=TEXT)).select("query_id", F.col("doc").alias("id"), sc.text_relevance(F.col("score"), F.col("best")).alias("rel"), F.lit("text").alias("reason")))
     have = strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     poor = queries.select("query_id").join(have, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < FEW).select("query_id")
     loose_terms = content.join(poor, "query_id", "left_semi")
-    loose = scored(bm25(postings, loose_terms, limit=TEXT)).select("query_id", F.col("doc").alias("id"), (0.9 * sc.text_relevance(F.col("score"), F.col("best"))).alias("rel"), F.lit("content words").alias("reason"))
+    loose = cut(scored(bm25(postings, loose_terms, limit=TEXT)).select("query_id", F.col("doc").alias("id"), (0.9 * sc.text_relevance(F.col("score"), F.col("best"))).alias("rel"), F.lit("content words").alias("reason")))
     have2 = strict.unionByName(loose).select("query_id", "id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     poorer = poor.join(have2, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < FEW).select("query_id")
     some = scored(bm25(postings, content.join(poorer, "query_id", "left_semi"), any_word=True, limit=TEXT))
@@ -100,7 +101,7 @@ def used_together(seeds: DataFrame, partners: DataFrame) -> DataFrame:
 
 def ranked(tables: Tables, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """The best candidates of every question: (query_id, id, relevance, reason)."""
-    seeds = merge(exact_seeds(tables.symbols, queries).unionByName(text_seeds(tables.postings, queries)))
+    seeds = cut(merge(exact_seeds(tables.symbols, queries).unionByName(text_seeds(tables.postings, queries))))
     parts = seeds.unionByName(expand_seeds(seeds, tables.edges, tables.symbols))
     if tables.pairs is not None:
         parts = parts.unionByName(used_together(seeds, tables.pairs))
@@ -135,7 +136,7 @@ def options(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def recall(tables: Tables, queries: DataFrame) -> DataFrame:
     """Answers (query_id, id, level, tokens, relevance, reason). queries: (query_id, text, budget)."""
-    found = ranked(tables, queries)
+    found = cut(ranked(tables, queries))
     chosen = pack_batch(options(found, tables.symbols), queries.select("query_id", "budget"))
     return chosen.join(found, ["query_id", "id"])
 

@@ -350,3 +350,15 @@ def test_batches_can_run_again(spark, tmp_path):
     for _ in range(2):
         sink(b, 1)
         assert sorted(tuple(x) for x in latest_version(spark, table).collect()) == [(1, 1, "a"), (3, 2, "c")]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_picks_are_the_same_with_many_candidates(spark, seed):
+    files, symbols, refs = project(seed)
+    sf = spark.createDataFrame(symbols, "id long, file_id long, name string, qualified_name string, start_line int, parent_id long")
+    ff = spark.createDataFrame(files, "file_id long, path string, family string")
+    rf = spark.createDataFrame(refs, "id long, file_id long, owner_id long, name string, kind string, line int, no_self int, recv string")
+    cand = r.candidates_of(sf, ff)
+    loaded = r.load_refs(rf, cand, ff)
+    loaded = loaded.join(r.hints(loaded, cand), "id", "left")
+    assert sorted(map(tuple, r.picks(loaded, cand).collect())) == sorted(map(tuple, r.picks(loaded, cand, few=0).collect()))
