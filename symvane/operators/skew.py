@@ -91,7 +91,7 @@ class Plan:
     def _with_shards(self, df: DataFrame, shards: str) -> DataFrame:
         if not self.heavy:
             return df.withColumn(shards, F.lit(None).cast("array<int>"))
-        names = [f"__heavy_{i}" for i in range(len(self.keys))]
+        names = fresh(df, *[f"__heavy_{i}" for i in range(len(self.keys))])
         heavy = self.heavy_frame(df, names, shards)  # at most SPLIT * tasks rows
         same = [df[k].eqNullSafe(heavy[n]) for k, n in zip(self.keys, names)]
         return df.join(F.broadcast(heavy), same, "left").drop(*names)
@@ -142,8 +142,8 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None, task_ro
     return Plan(list(keys), tasks, total, [slot_of[t] for t in at[:BUCKETS]], heavy, types)
 
 
-def balanced_distinct_count(df: DataFrame, keys: list[str], unique: str, plan: Plan | None = None) -> DataFrame:
-    """Distinct non-null values of `unique` per key, evenly spread: keys, n BIGINT.
+def balanced_distinct_count(df: DataFrame, keys: list[str], unique: str, plan: Plan | None = None, as_col: str = "n") -> DataFrame:
+    """Distinct non-null values of `unique` per key, evenly spread: keys and their number (BIGINT) as `as_col`.
 
     All rows of one (key, unique) pair share a shard, so shards add up exactly. A null key is a
     group of its own; a group whose `unique` is always null counts 0; an empty df gives no rows.
@@ -153,7 +153,7 @@ def balanced_distinct_count(df: DataFrame, keys: list[str], unique: str, plan: P
     slot, n = fresh(slim, "__slot", "__n")
     placed = plan.place(slim, slot, [F.col(unique)]).repartition(plan.tasks, slot)
     shard = placed.groupBy(slot, *keys, unique).agg(F.lit(1).alias("__one")).groupBy(slot, *keys).agg(F.count(unique).alias(n))
-    return shard.groupBy(*keys).agg(F.sum(n).alias("n"))
+    return shard.groupBy(*keys).agg(F.sum(n).alias(as_col))
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], salt: list[str], how: str = "inner", plan: Plan | None = None) -> DataFrame:

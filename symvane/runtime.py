@@ -63,6 +63,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly work on each row, where it is read from fewer files than there are cores."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a frame made by `cut`, once nothing reads it any more."""
     spark = df.sparkSession
