@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symvane.runtime import spread
+
 #: Where the vocabulary files of public tokenizers lie.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of byte-level BPE vocabularies.
@@ -151,7 +153,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, as_col: str = "ids", pat
     Empty and null texts have the empty list of ids. Strings of special tokens inside a text are ordinary
     text. Repeated rows come out as often as they are given, a null id stays null, other columns are left out.
     """
-    slim = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    slim = spread(docs.select(F.col(id_col), F.col(text_col).alias("__text")))
     schema = T.StructType([slim.schema[0], T.StructField(as_col, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symvane.operators.skew import balanced_join
-from symvane.runtime import cut
+from symvane.runtime import cut, spread
 
 #: Least length of a leaked passage, and words in a fingerprinted run.
 MIN_WORDS, GRAM = 12, 9
@@ -95,7 +95,7 @@ def fingerprints(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray
 
 def _prints(texts: DataFrame, id_col: str, text_col: str, as_id: str, min_words: int, gram: int, pad: str, wanted: np.ndarray | None) -> DataFrame:
     """Kept fingerprints (id, hash, around) with the words around each; only those in `wanted` if given."""
-    slim = texts.select(F.col(id_col).alias(as_id), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    slim = spread(texts.select(F.col(id_col).alias(as_id), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull()))
     schema = T.StructType([slim.schema[as_id], T.StructField("hash", T.LongType()), T.StructField("around", T.ArrayType(T.StringType()))])
     window, side = min_words - gram + 1, min_words - gram
     shared = slim.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None

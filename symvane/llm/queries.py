@@ -42,7 +42,7 @@ def p2_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _documented(spark: SparkSession, d: str) -> DataFrame:
     stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "kind", "signature", "doc"]).filter("kind IN ('function', 'method')")
-    blank = F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s+", "")) == 0
+    blank = F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"(?U)\s+", "")) == 0
     outline = table(spark, d, "outline_rows").filter("doc <> ''").groupBy("id").agg(F.max("doc").alias("__outline"))
     told = stored.filter(~blank).select("id", "name", "signature", "doc")
     untold = stored.filter(blank).join(outline, "id").select("id", "name", "signature", F.col("__outline").alias("doc"))

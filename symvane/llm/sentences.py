@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symvane.runtime import spread
+
 # Abbreviations, without the last period.
 #: Never the end of a sentence, as written here.
 TITLES = "Mr Mrs Ms Dr Prof St Hr Hrn Fr Sr Sra Srta Dra Mme Mlle M MM Lt Col Sgt Rev Hon Messrs Gen"
@@ -298,7 +300,7 @@ def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Offsets are code points from 0. Null, empty and blank texts and those without a letter or digit have no
     rows; repeated rows come out as often as they are given; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    slim = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull()))
     schema = T.StructType([slim.schema["doc_id"], T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
