@@ -141,10 +141,7 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = r["root_id"] if above["root_id"] is None else above["root_id"]
         return r | {"state": end["state"], "root_id": root, "off": int(off[i]) + end["off"], "ids": above["ids"] + r["ids"], "labels": above["labels"] + r["labels"]}
 
-    level = np.zeros(len(rows), np.int64)
-    steps = compress(up, np.ones(len(rows), np.int64))[1]
-    level[:] = steps
-    for i in np.argsort(level, kind="stable"):
+    for i in np.argsort(compress(up, np.ones(len(rows), np.int64))[1], kind="stable"):  # parents before children
         done[i] = finish(int(i)) if state[i] == ROOTED else {}
     out = [done[i] if state[i] == ROOTED else finish(i) for i in range(len(rows))]
     arrow = pa.schema([("t", pa.int64()), ("jump", pa.int64()), ("root_id", pa.int64()), ("off", pa.int64()), ("state", pa.int32()), ("cycle_min", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string()))])
@@ -192,29 +189,27 @@ def _loops(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _merge(links: DataFrame, merge_rows: int) -> DataFrame:
+    """All links closed: each leads to the end of its chain, or is known to lead into a cycle."""
+    total, opened = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int"))).first())
+    if not opened:
+        return links
+    if total <= merge_rows:
+        return cut(links.coalesce(1).mapInArrow(_merge_task, _LINK))
     first = links
-    while True:
-        total, opened = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int"))).first())
-        if not opened:
-            return links
-        if total <= merge_rows:
-            return cut(links.coalesce(1).mapInArrow(_merge_task, _LINK)) if links is first else _close_rest(first, links, merge_rows)
-        doubled = cut(_double(links))
-        if doubled.filter(F.col("state") == OPEN).count() == opened:  # whatever is left runs into cycles
-            return _close_rest(first, doubled, 0)
-        links = doubled
-
-
-def _close_rest(first: DataFrame, links: DataFrame, merge_rows: int) -> DataFrame:
-    """Close links that are open after doubling, from the links as they were at first."""
-    rest = links.filter(F.col("state") == OPEN).select("t")
-    if merge_rows:
-        done = links.filter(F.col("state") != OPEN).select(_LINK.names)
-        return cut(done.unionByName(first.join(rest, "t", "left_semi").unionByName(done).select(_LINK.names).coalesce(1).mapInArrow(_merge_task, _LINK).join(rest, "t", "left_semi")))
-    ahead = first.join(rest, "t", "left_semi")
-    found = _loops(ahead, ahead)
-    looped = ahead.drop("state", "cycle_min", "off", "labels").join(found, "t").select(
-        "t", "jump", "root_id", F.lit(None).cast("bigint").alias("off"), F.when(F.col("on_cycle"), CYCLE).otherwise(BELOW_CYCLE).alias("state"), "cycle_min", "ids", F.lit(None).cast("array<string>").alias("labels"))
+    while opened:
+        links = cut(_double(links))
+        before, opened = opened, links.filter(F.col("state") == OPEN).count()
+        if opened == before:  # a chain of any length would have closed some: what is left runs into cycles
+            return _close_cycles(first, links)
+    return links
+
+
+def _close_cycles(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Close links that doubling can't, from the links as they were at first."""
+    ahead = first.join(links.filter(F.col("state") == OPEN).select("t"), "t", "left_semi")
+    none = F.lit(None).cast("bigint")
+    looped = ahead.drop("state", "cycle_min", "off", "labels").join(_loops(ahead, ahead), "t").select(
+        "t", "jump", "root_id", none.alias("off"), F.when(F.col("on_cycle"), CYCLE).otherwise(BELOW_CYCLE).alias("state"), "cycle_min", "ids", F.lit(None).cast("array<string>").alias("labels"))
     return cut(links.filter(F.col("state") != OPEN).select(_LINK.names).unionByName(looped))
 
 
