@@ -59,13 +59,13 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return balanced_distinct_count(_ref_keys(spark, d), ["field", "key_text"], "rid").withColumnRenamed("n", "refs")
 
 
-def p3_owner_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """References by kind of their owner: the skewed references joined with symbols and shared owners."""
+def p3_owners(spark: SparkSession, d: str) -> DataFrame:
+    """References of every owner with the owner's kind: the skewed references joined with symbols and shared owners."""
     refs = table(spark, d, "tmp_refs").select("rid", "owner").distinct()
     owners = table(spark, d, "symbols").select(F.col("id").alias("owner"), F.col("kind").alias("owner_kind")).distinct()
     shared = table(spark, d, "shared_owners").select(F.col("id").alias("owner"), F.concat(F.lit("shared "), "kind").alias("owner_kind"))
     joined = balanced_join(refs, owners.unionByName(shared), ["owner"], ["rid"], "left", plan_loads(refs, ["owner"]))
-    return joined.groupBy("owner_kind").agg(F.count(F.lit(1)).alias("refs"))
+    return joined.groupBy("owner", "owner_kind").agg(F.count(F.lit(1)).alias("refs"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def p6_reread(spark: SparkSession, d: str) -> DataFrame:
     return plans.join(F.broadcast(since), F.col("planned_at") >= F.coalesce("since", "planned_at")).select("plan_id", "file_id", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owner_kinds, p5_found, p6_found, p6_reread)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owners, p5_found, p6_found, p6_reread)}
 
 _WALK = """
 WITH RECURSIVE s AS (SELECT DISTINCT id, parent_id, name FROM symbols),
@@ -137,10 +137,10 @@ WITH r AS (SELECT DISTINCT rid, name, owner FROM tmp_refs)
 SELECT 'name' AS field, name AS key_text, count(*) AS refs FROM r GROUP BY name
 UNION ALL
 SELECT 'owner', CAST(owner AS VARCHAR), count(*) FROM r GROUP BY owner""",
-    "p3_owner_kinds": """
+    "p3_owners": """
 WITH r AS (SELECT DISTINCT rid, owner FROM tmp_refs),
 o AS (SELECT DISTINCT id, kind FROM symbols UNION ALL SELECT id, 'shared ' || kind FROM shared_owners)
-SELECT o.kind AS owner_kind, count(*) AS refs FROM r LEFT JOIN o ON o.id = r.owner GROUP BY 1""",
+SELECT r.owner, o.kind AS owner_kind, count(*) AS refs FROM r LEFT JOIN o ON o.id = r.owner GROUP BY 1, 2""",
     "p5_found": """
 WITH a AS (SELECT DISTINCT rid, file_id, nsame, line FROM tmp_refs),
 b AS (SELECT DISTINCT id, path, callers, line FROM hotspots WHERE callers IS NOT NULL)
