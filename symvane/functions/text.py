@@ -295,3 +295,17 @@ def similarity(a: Column, b: Column, few: int = 4) -> Column:
     order = 2 * lcs_length(a, b) / F.greatest(F.size(a) + F.size(b), F.lit(1))
     same = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) < few) | (F.size(b) < few), F.when(same, 1.0).otherwise(0.0)).otherwise(0.5 * jaccard(a, b) + 0.5 * order)
+
+
+_PIECE = re.compile(r"[0-9]+|[A-Z]+(?![a-zA-Z])|[A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]+|[a-z]+")
+
+
+def estimate_tokens(text: str) -> int:
+    """As `token_estimate`, of one text inside a task."""
+    if not text:
+        return 0
+    words = re.findall(r"[A-Za-z0-9_]+", text)
+    others = sum(not c.isascii() for c in text)
+    puncts = len(re.findall(r"[!-/:-@\[-^`{-~\x00-\x08\x0b\x0e-\x1f\x7f]", text))
+    raw = DIGIT * len(re.findall(r"[0-9]", text)) + WORD * len(words) + PIECE * sum(len(_PIECE.findall(w)) for w in words) + PUNCT * puncts + NEWLINE * text.count("\n") + NON_ASCII * others
+    return max(int(raw + 0.5), 1)

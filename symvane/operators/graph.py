@@ -163,6 +163,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     return rank.join(F.broadcast(most), F.lit(True)).select("id", (F.col("r") / F.col("most")).alias("score"))
 
 
+def refresh_due(first: bool, forced: bool, rewritten: int, most: int = 50) -> bool:
+    """Whether PageRank is computed again after an index run: the first time, on request, or after many new edges."""
+    return first or forced or rewritten > most
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a drawing. nodes: (id, weight); edges: (src, dst, kind, confidence, ord).
 

@@ -11,6 +11,7 @@ from symvane.operators import graph as g
 from symvane.operators import learning as ln
 from symvane.operators import memory as mem
 from symvane.operators import search as s
+from symvane.plans import capsule as cp
 from symvane.plans import recall as rc
 from symvane.runtime import cut, table
 
@@ -114,6 +115,30 @@ def e1_recall(spark: SparkSession, d: str) -> DataFrame:
     return rc.recall(_tables(spark, d), _questions(spark)).select("query_id", "id", "level", "tokens", F.round("relevance", 6).alias("relevance"))
 
 
+def e1_capsules(spark: SparkSession, d: str) -> DataFrame:
+    """Capsules of five questions, with memories: their sizes."""
+    t = _tables(spark, d)
+    found = cut(rc.ranked(t, _questions(spark)))
+    notes = views.memories(spark, d).select("id", "text")
+    hits = s.strict_or_any(s.postings(notes, "id", {"text": 1.0}, s.MEMORY_BYTES), s.query_terms(_questions(spark), "query_id", "text"), cp.BY_TEXT)
+    known = cp.memory_candidates(found, views.anchors(spark, d).select("memory_id", "symbol_id"), notes, hits)
+    return cp.capsules(found, t.symbols, _questions(spark), known).select("query_id", "used", "symbols", "memories")
+
+
+def f25_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Cost of every symbol at every level of detail."""
+    sym = views.symbols(spark, d, "name", "signature", "doc", "outline")
+    return rc.options(sym.select(F.lit(1).alias("query_id"), "id", F.lit(1.0).alias("relevance")), sym).select("id", "level", "tokens")
+
+
+def e5_brief(spark: SparkSession, d: str) -> DataFrame:
+    """A brief in 300 tokens: (section, id, text)."""
+    central = table(spark, d, "hotspots").filter("callers IS NOT NULL").distinct().orderBy(F.col("callers").desc(), "id").limit(40).select("id", F.concat("name", F.lit(" "), "path").alias("text"))
+    mods = g.modules(views.files(spark, d), 1).groupBy("module").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "module").limit(20).select(F.xxhash64("module").alias("id"), F.concat("module", F.lit(" files "), F.col("n").cast("string")).alias("text"))
+    rows = rc.brief({"central": central, "modules": mods}, 300)
+    return spark.createDataFrame([(k, r[0], r[1]) for k, rs in rows.items() for r in rs], "section string, id bigint, text string")
+
+
 def o3_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rc.ranked(_tables(spark, d), _questions(spark)).select("query_id", "id", F.round("relevance", 6).alias("relevance"), "reason")
 
@@ -168,7 +193,7 @@ def e6_insights(spark: SparkSession, d: str) -> DataFrame:
     return lang.unionByName(mods).unionByName(spots).unionByName(runs)
 
 
-QUERIES = {f.__name__: f for f in (l1_utility, l1_multipliers, a13_status, a14_usage, l2_ignored, l3_together, l4_coaccess, o4_partners, j18_boosts, m6_stale, m5_reanchor, m3_corroborate, j19_pairs, m1_compare, m1_admitted, o3_candidates, e1_recall, e2_expand, e3_outline, e4_map, e6_insights, e7_names, e8_doc_gaps, e10_bench)}
+QUERIES = {f.__name__: f for f in (l1_utility, l1_multipliers, a13_status, a14_usage, l2_ignored, l3_together, l4_coaccess, o4_partners, j18_boosts, m6_stale, m5_reanchor, m3_corroborate, j19_pairs, m1_compare, m1_admitted, o3_candidates, e1_recall, e1_capsules, f25_costs, e5_brief, e2_expand, e3_outline, e4_map, e6_insights, e7_names, e8_doc_gaps, e10_bench)}
 
 _SIG = "sig AS (SELECT event_id AS id, user_id AS t, floor(epoch(ts))::BIGINT AS s0, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 ELSE 0.0 END AS da, CASE event_type WHEN 'signup' THEN 0.25 WHEN 'error' THEN 1.5 WHEN 'purchase' THEN 2.0 ELSE 0.0 END AS db FROM events), lst AS (SELECT t, max(s0) AS u FROM sig GROUP BY 1), st AS (SELECT sig.t, sum(da * pow(0.5, (u - s0) / 2592000.0)) AS alpha, sum(db * pow(0.5, (u - s0) / 2592000.0)) AS beta, max(u) AS u FROM sig JOIN lst ON lst.t = sig.t GROUP BY 1), sh AS (SELECT t, CASE WHEN 1706745600 <= u THEN 1 ELSE pow(0.5, (1706745600 - u) / 2592000.0) END AS k, alpha, beta FROM st), mu AS (SELECT t, CASE WHEN (alpha + beta) * k < 0.05 THEN 1 ELSE least(greatest(1 + 0.5 * (2 * (1 + alpha * k) / (2 + (alpha + beta) * k) - 1) * (alpha + beta) * k / ((alpha + beta) * k + 4), 0.5), 1.5) END AS m FROM sh)"
 _TOG = "tog AS (SELECT x.l_partkey AS a, y.l_partkey AS b, floor(epoch(o_orderdate))::BIGINT AS s0 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey JOIN orders ON o_orderkey = x.l_orderkey), tl AS (SELECT a, b, max(s0) AS u FROM tog GROUP BY 1, 2), co AS (SELECT tog.a, tog.b, sum(pow(0.5, (u - s0) / 2592000.0)) AS w, max(u) AS u FROM tog JOIN tl ON tl.a = tog.a AND tl.b = tog.b GROUP BY 1, 2)"

@@ -362,3 +362,28 @@ def test_picks_are_the_same_with_many_candidates(spark, seed):
     loaded = r.load_refs(rf, cand, ff)
     loaded = loaded.join(r.hints(loaded, cand), "id", "left")
     assert sorted(map(tuple, r.picks(loaded, cand).collect())) == sorted(map(tuple, r.picks(loaded, cand, few=0).collect()))
+
+
+def test_capsules_keep_their_budget(spark):
+    from symvane.functions.text import estimate_tokens
+    from symvane.plans import capsule as cp
+    from symvane.sources.toon import decode
+
+    syms = [(i, f"name_{i}", f"fn name_{i}(a: &str, b: u32) -> Result<()>", f"Does thing number {i} in its own way. More." if i % 3 else None, [f"call_{k}" for k in range(i % 5)]) for i in range(60)]
+    sf = spark.createDataFrame(syms, "id long, name string, signature string, doc string, outline array<string>")
+    budgets = list(range(20, 6000, 237))
+    qs = spark.createDataFrame([(i, "how does it work", b) for i, b in enumerate(budgets)] + [(999, "nothing found", 100)], "query_id int, text string, budget int")
+    found = qs.filter("query_id < 999").crossJoin(sf.select("id")).select("query_id", "id", (1.0 / (1 + F.col("id"))).alias("relevance"))
+    notes = spark.createDataFrame([(1, "Keep the lock while reading. " * 3, None), (2, "Short note", 5)], "id long, text string, stale_since long")
+    known = cp.memory_candidates(found, spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "memory_id long, symbol_id long"), notes)
+    assert {r.id: round(r.relevance, 3) for r in known.filter("query_id = 0").collect()} == {1: 1.0, 2: 0.3}
+    rows = {r.query_id: r for r in cp.capsules(found, sf, qs, known).collect()}
+    last = 0
+    for i, b in enumerate(budgets):
+        r = rows[i]
+        assert r.used <= b and (not r.capsule or r.used == estimate_tokens(r.capsule) == decode(r.capsule)["used"])
+        assert r.symbols >= last * 0.7
+        last = r.symbols
+    assert rows[len(budgets) - 1].symbols == 60 and rows[999].symbols == 0 and g.refresh_due(False, False, 51) and not g.refresh_due(False, False, 50)
+    for t in ["", "x", "fn parse(a)\n", "ünï 12", "HTTPServer2Go ABc"]:
+        assert one(spark, tx.token_estimate(F.lit(t))) == estimate_tokens(t)
