@@ -38,6 +38,10 @@ _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|del|dfn|em|font|i|ins|kbd|ma
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)|\]\[[^\]\n]*\]")
 _ESCAPE = re.compile(r"\\(?:[nrt]|u200[b-f]|ufeff)")
+_COMMAND = re.compile(r"\\[A-Za-z]+\*?(?=\{)")
+_ROLE = re.compile(r":[A-Za-z][A-Za-z-]*:(?=`)")
+_NOTE = re.compile(r"\[\^?\d{1,3}\]")
+_PARTED = re.compile(r"(?<=[^\W\d_])[-‐]\r?\n[ \t]*(?:(?://[/!]?|\*|#|>|--|\|)[ \t]*)*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBERED = re.compile(r"^([^\w\n]*)\d{1,4}([.):\]|]|\t| {2,})(?=\s|\W)", re.M)
 
@@ -60,10 +64,17 @@ def words(text: str) -> list[str]:
 
 
 def readings(text: str) -> list[list[str]]:
-    """The word sequences a text may be read as: as it stands, and where lines are numbered or hold escapes, also without those."""
+    """The word sequences a text may be read as: as it stands, and also without what a setting may have put in.
+
+    That is numbers of lines and notes, escapes in strings, names of markup commands, and words parted at line ends.
+    """
     out = [words(text)]
-    other = _ESCAPE.sub(" ", text) if "\\" in text else text
-    other = _NUMBERED.sub(r"\1", other)
+    other = text
+    if "\\" in text:
+        other = _ESCAPE.sub(" ", _COMMAND.sub("", other))
+    if ":`" in text:
+        other = _ROLE.sub("", other)
+    other = _PARTED.sub("", _NOTE.sub("", _NUMBERED.sub(r"\1", other)))
     if other != text:
         out.append(words(other))
     return out

@@ -16,6 +16,7 @@ def settings():
         "plain": "Look: " + " ".join(part) + ". End.", "upper": " ".join(part).upper(), "lines": "// " + "\n// ".join([" ".join(part[:5]), " ".join(part[5:])]), "markup": " ".join(f"**{x}**" if i % 2 else f"<b>{x}</b>" for i, x in enumerate(part)),
         "hidden": " ​".join(x[:2] + "­" + x[2:] for x in part), "spaces": " ".join(part), "wide": "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in " ".join(part)), "list": "\n".join(f"- {x}" for x in part), "numbered": "\n".join(f"{i + 1}. {x}" for i, x in enumerate(part)),
         "code": 'let p = "' + " ".join(part[:6]) + ' " +\n    "' + " ".join(part[6:]) + '";', "links": " ".join(f"[{x}](http://a.b/{i})" for i, x in enumerate(part)), "quote": "> " + " ".join(part[:4]) + "\n> " + " ".join(part[4:]),
+        "latex": " ".join("\\emph{" + x + "}" for x in part), "notes": " ".join(f"{x}[{i}]" for i, x in enumerate(part)), "parted": "// " + " ".join(part[:5]) + " " + part[5][:3] + "-\n// " + part[5][3:] + " " + " ".join(part[6:]), "role": " ".join(f":ref:`{x}`" for x in part),
     }
 
 
