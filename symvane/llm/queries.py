@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     """Each language's share of the running doc text of every file."""
-    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["file_id", "name", "doc"])
+    stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["file_id", "name", "doc"], 2 * tasks_of(spark))
     keyed = stored.select(F.struct("file_id", "id").alias("row"), "name", "doc")
     found = languages(keyed, "row", "doc", "name", _detector(spark, d)).filter("field = 'doc'")
     sums = found.groupBy(F.col("id.file_id").alias("file_id"), "lang").agg(F.sum("chars").alias("chars"))
