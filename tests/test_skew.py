@@ -60,3 +60,14 @@ def test_share(spark):
     df = spark.createDataFrame([("a", 10), ("b", 9), ("c", 0)], "key string, n long")
     assert [r.key for r in heavy_keys(df, 1000, 0.01).collect()] == ["a"]
     assert heavy_keys(df.filter("n = 0"), 0, 0.01).collect() == []
+
+
+def test_join_edges(spark):
+    left = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), (None, None, None)], "key string, rid long, __slot string")
+    right = spark.createDataFrame([("a", "y")], "key string, __slot string")
+    got = sorted(map(str, balanced_join(left, right, ["key"], ["rid"], "left").collect()))
+    assert len(got) == 3 and sum("='y'" in r for r in got) == 2 and balanced_join(left, right, ["key"], ["rid"]).columns == ["key", "rid", "__slot", "__slot_right"]
+    assert balanced_join(left.limit(0), right, ["key"], ["rid"]).collect() == [] and balanced_join(left, right.limit(0), ["key"], ["rid"]).collect() == []
+    assert balanced_join(left, right.limit(0), ["key"], ["rid"], "left_anti").count() == 3
+    long = spark.createDataFrame([("k" * 200_000, i) for i in range(50)], "key string, rid long")
+    assert balanced_join(long, long.limit(1).withColumnRenamed("rid", "n"), ["key"], ["rid"]).count() == 50
