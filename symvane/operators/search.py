@@ -25,11 +25,12 @@ COLUMN_BYTES, MEMORY_BYTES, QUERY_TERMS, QUERY_BYTES = 8_192, 16_384, 32, 2_048
 STOP_WORDS = "a about after all also an and any are as at be been before but by can could did do does for from had has have how i if in into is it its me my no not of on or our please should so that the their then there these this those to up was we were what when where which who why will with would you your".split()
 
 
-def postings(rows: DataFrame, id_col: str, columns: dict[str, float], most_bytes: int = COLUMN_BYTES) -> DataFrame:
-    """(doc, term, tf): weighted counts of the terms of each row. Texts are cut to `most_bytes` characters, as the index is defined."""
+def postings(rows: DataFrame, id_col: str, columns: dict[str, float], most: int | None = None) -> DataFrame:
+    """(doc, term, tf): weighted counts of the terms of each row, of whole texts unless an index is defined on the first `most` characters."""
     per = None
     for c, weight in columns.items():
-        terms = F.transform(index_terms(F.substring(F.coalesce(F.col(c), F.lit("")), 1, most_bytes)), fold)
+        text = F.coalesce(F.col(c), F.lit(""))
+        terms = F.transform(index_terms(F.substring(text, 1, most) if most else text), fold)
         one = rows.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term"), F.lit(weight).alias("w"))
         per = one if per is None else per.unionByName(one)
     return per.groupBy("doc", "term").agg(F.sum("w").alias("tf"))

@@ -58,8 +58,8 @@ def g1_modules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """Six neighbours each way of every part of one brand."""
-    seeds = table(spark, d, "part").filter("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("seed"))
+    """Six neighbours each way of every part."""
+    seeds = views.parts(spark, d).select(F.col("id").alias("seed"))
     return g.neighbors(views.part_edges(spark, d), seeds, views.parts(spark, d), 6, 1).select("seed", "direction", "id", "kind", "confidence", "line", "rank")
 
 
@@ -187,7 +187,7 @@ SQL = {
     "g2_neighbors": PARTS + """SELECT seed, direction, id, kind, confidence, line, rank FROM (
       SELECT x.*, CAST(row_number() OVER (PARTITION BY seed, direction ORDER BY confidence DESC, path, line, start_line, x.id, kind) AS INT) AS rank FROM (
         SELECT src AS seed, 'out' AS direction, dst AS id, kind, confidence, line FROM e UNION ALL SELECT dst, 'in', src, kind, confidence, line FROM e) x
-      JOIN part ON p_partkey = seed AND p_brand = 'Brand#11' JOIN p ON p.id = x.id WHERE confidence >= 1) WHERE rank <= 6""",
+      JOIN p ON p.id = x.id WHERE confidence >= 1) WHERE rank <= 6""",
     "g3_impact": PARTS + "SELECT root, id, depth, confidence FROM callers",
     "g4_verdicts": PARTS + """SELECT p.id AS root, coalesce(n, 0) AS callers, CASE WHEN n IS NULL AND visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict
       FROM p LEFT JOIN (SELECT dst, count(*) AS n, min(c) AS w FROM (SELECT dst, src, max(confidence) AS c FROM e WHERE confidence >= 1 AND src <> dst GROUP BY 1, 2) GROUP BY 1) x ON x.dst = p.id""",

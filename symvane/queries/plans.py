@@ -100,7 +100,7 @@ def m1_admitted(spark: SparkSession, d: str) -> DataFrame:
 
 def _tables(spark: SparkSession, d: str) -> rc.Tables:
     sym = views.symbols(spark, d, "file_id", "name", "qualified_name", "signature", "doc", "outline", "visibility", "start_line", "pagerank").join(views.files(spark, d).select("file_id", "path"), "file_id")
-    return rc.Tables(cut(sym), s.index_of(s.postings(sym, "id", s.WEIGHTS)), cut(views.edges(spark, d)))
+    return rc.Tables(cut(sym), s.index_of(s.postings(sym, "id", s.WEIGHTS, s.COLUMN_BYTES)), cut(views.edges(spark, d)))
 
 
 QUESTIONS = [(1, "sealBucket", 500), (2, "write the frozen journal", 1000), (3, "which caller must hold the lock", 1000), (4, "parse token tree", 2000), (5, "tabla registro", 500)]

@@ -65,8 +65,8 @@ def p11_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p12_finite(spark: SparkSession, d: str) -> DataFrame:
-    x = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, -F.col("pagerank")).otherwise(F.col("pagerank"))
-    return views.symbols(spark, d, "pagerank").select("id", x.alias("x")).filter(sc.finite(F.col("x")))
+    x = F.when(F.col("kind") == "function", F.lit(float("nan"))).when(F.col("kind") == "method", -F.col("pagerank")).otherwise(F.col("pagerank"))
+    return views.symbols(spark, d, "pagerank", "kind").select("id", x.alias("x")).filter(sc.finite(F.col("x")))
 
 
 def p13_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,7 @@ SQL = {
     "inv_p6_find": "WITH w AS (SELECT name FROM tmp_refs GROUP BY name HAVING count(DISTINCT rid) >= 20) SELECT w.name AS wanted, s.id, s.name, (s.name = w.name)::INT AS exact FROM w JOIN (SELECT DISTINCT id, name FROM symbols) s ON lower(s.name) = lower(w.name)",
     "inv_p7_memories": f"WITH {_MEM} SELECT id, 'decision' AS kind, CASE kind WHEN 'class' THEN 'auto' ELSE 'tool' END AS provenance, floor(epoch(stored_at))::BIGINT AS created_at FROM lastrow WHERE kind IN ('class', 'struct', 'interface')",
     "inv_p11_tests": "SELECT file_id, regexp_matches(p, '(^|/)(tests?|spec|__tests__)/', 'i') OR regexp_matches(p, '[_.](test|spec)\\.[^/]*$', 'i') AS test FROM (SELECT file_id, CASE family WHEN 'go' THEN regexp_replace(path, '\\.go$', '_test.go') WHEN 'python' THEN 'tests/' || path ELSE path END AS p FROM files)",
-    "inv_p12_finite": "SELECT id, pagerank AS x FROM (SELECT DISTINCT id, pagerank FROM symbols) WHERE id % 3 = 2 AND pagerank > 0",
+    "inv_p12_finite": "SELECT id, pagerank AS x FROM (SELECT DISTINCT id, pagerank, kind FROM symbols) WHERE kind NOT IN ('function', 'method') AND pagerank > 0",
     "inv_p13_maps": "SELECT DISTINCT language, CASE WHEN language IN ('javascript', 'typescript', 'tsx') THEN 'ecmascript' WHEN language IN ('c', 'cpp') THEN 'c_family' ELSE language END AS family FROM files UNION ALL VALUES ('call', 'calls'), ('type', 'uses'), ('inherit', 'inherits')",
     "j12_left": "SELECT f.file_id, coalesce(o.n, 0) AS outgoing, coalesce(s.n, 0) AS symbols FROM files f LEFT JOIN (SELECT file_id, count(DISTINCT rid) AS n FROM tmp_refs GROUP BY 1) o ON o.file_id = f.file_id LEFT JOIN (SELECT file_id, count(DISTINCT id) AS n FROM symbols GROUP BY 1) s ON s.file_id = f.file_id",
     "j13_semi": "SELECT DISTINCT id, name FROM symbols WHERE id IN (SELECT owner FROM tmp_refs)",

@@ -20,7 +20,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
-    return s.postings(views.symbols(spark, d, "name", "qualified_name", "signature", "doc"), "id", s.WEIGHTS)
+    return s.postings(views.symbols(spark, d, "name", "qualified_name", "signature", "doc"), "id", s.WEIGHTS, s.COLUMN_BYTES)
 
 
 def t1_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -209,8 +209,8 @@ def _index(x: str) -> str:
     return rf"flatten(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda r: CASE WHEN len({_parts('r')}) > 1 THEN list_append({_parts('r')}, lower(r)) ELSE {_parts('r')} END))"
 
 
-def _posts_sql(rows: str, key: str, columns: dict[str, float], most: int) -> str:
-    union = " UNION ALL ".join(f"SELECT {key} AS doc, unnest({_index(f'left(coalesce({c}, chr(32)), {most})')}) AS t, {w}::DOUBLE AS w FROM {rows}" for c, w in columns.items())
+def _posts_sql(rows: str, key: str, columns: dict[str, float], most: int | None) -> str:
+    union = " UNION ALL ".join(f"SELECT {key} AS doc, unnest({_index(f'left(coalesce({c}, chr(32)), {most})' if most else f'coalesce({c}, chr(32))')}) AS t, {w}::DOUBLE AS w FROM {rows}" for c, w in columns.items())
     return f"posts AS (SELECT doc, {_fold('t')} AS term, sum(w) AS tf FROM ({union}) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1), len AS (SELECT doc, sum(tf) AS length FROM posts GROUP BY 1), shape AS (SELECT count(*) AS n, avg(length) AS mean FROM len)"
 
 
@@ -245,7 +245,7 @@ SQL = {
     "t7_content": f"WITH {_DOCS}, p AS (SELECT DISTINCT id, doc, {_parts('doc')} AS ps FROM o) SELECT id, array_to_string([x FOR x, i IN c IF list_position(c, x) = i][1:6], ' ') AS terms FROM (SELECT id, [x FOR x IN ps IF length(x) > 1 AND NOT list_contains({_list(s.STOP_WORDS)}, x)] AS c FROM p)",
     "t8_glossary": f"WITH {_DOCS}, p AS (SELECT id, array_to_string([{_glossary('x')} FOR x IN list_transform({_parts('doc')}, lambda z: {_fold('z')}) IF {_glossary('x')} IS NOT NULL], ' ') AS terms FROM (SELECT DISTINCT id, doc FROM o)) SELECT * FROM p WHERE terms <> ''",
     "t9_tongue": f"WITH {_DOCS}, p AS (SELECT DISTINCT id, doc, {_parts('doc')} AS ps FROM o) SELECT id, CASE WHEN len([x FOR x IN ps IF list_contains({_list(s.SPANISH)}, x)]) > len([x FOR x IN ps IF list_contains({_list(s.ENGLISH)}, x)]) THEN 'es' ELSE 'en' END AS tongue FROM p",
-    "t10_baseline": f"WITH docs AS (SELECT * FROM documents WHERE text IS NOT NULL), {_posts_sql('docs', 'doc_id', {'text': 1.0}, s.COLUMN_BYTES)}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_parts('text')}) AS term FROM eval_items), m AS (SELECT query_id, doc, count(*) AS words FROM q JOIN posts p ON p.term = q.term GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY words DESC, doc) AS INT) AS rank FROM m QUALIFY rank <= 3",
+    "t10_baseline": f"WITH docs AS (SELECT * FROM documents WHERE text IS NOT NULL), {_posts_sql('docs', 'doc_id', {'text': 1.0}, None)}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_parts('text')}) AS term FROM eval_items), m AS (SELECT query_id, doc, count(*) AS words FROM q JOIN posts p ON p.term = q.term GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY words DESC, doc) AS INT) AS rank FROM m QUALIFY rank <= 3",
     "t11_known_items": f"WITH {_DOCS}, p AS (SELECT id, {_parts('doc')} AS ps, {_parts('name')} AS own FROM o) SELECT id, array_to_string([w FOR w IN ps IF len([z FOR z IN own IF z = w OR length(z) >= 3 AND length(w) >= 3 AND left(z, 3) = left(w, 3)]) = 0], ' ') AS query FROM p",
     "a15_bench_arm": "WITH r AS (SELECT DISTINCT rid, kind, line, excl FROM tmp_refs) SELECT kind, round(avg((excl = 0)::INT), 4) AS hit_rate, round(avg(line), 4) AS mean_tokens, quantile_disc(line, 0.5) AS p50, quantile_disc(line, 0.95) AS p95, 0.5::DOUBLE AS saved FROM r GROUP BY 1",
     "a16_merge": """WITH c AS (SELECT DISTINCT id, callers / 10.0::DOUBLE AS rel, 'called by ' || callers AS reason FROM hotspots WHERE callers IS NOT NULL UNION ALL SELECT DISTINCT id, pagerank, 'central ' || kind FROM symbols
