@@ -7,8 +7,8 @@ values split, so nearly all links end there. The parents that lie outside a chil
 form a much smaller forest of weighted links, one node each however many children they have. It
 is merged on the next level: in one task while it has at most `merge_rows` links, else by
 distributed pointer doubling, which closes chains in a logarithmic number of rounds and finds
-cycles exactly. Paths are then laid out by walking the
-indexed parents, local part after the part above it.
+cycles exactly. Paths are then laid out by walking the indexed parents, local part after the
+part above it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from symvane.operators.skew import balanced_join, plan_loads
 from symvane.runtime import MERGE_ROWS, cut, tasks_of
 
-#: Most links of the upper levels that are sent to all tasks at once; beyond, the join is spread by load.
-BROADCAST_LINKS = 20_000
+#: Most links of the upper levels, and path elements they hold, that are sent to all tasks at once; beyond, the join is spread by load.
+BROADCAST_LINKS, BROADCAST_ELEMENTS = 20_000, 500_000
 #: Most nodes of one partition-local forest, beside as many tasks as the session plans for.
 TASK_ROWS = 250_000
 #: What a chain ends in.
@@ -190,10 +190,10 @@ def _loops(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _merge(links: DataFrame, merge_rows: int) -> DataFrame:
     """All links closed: each leads to the end of its chain, or is known to lead into a cycle."""
-    total, opened = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int"))).first())
+    total, opened, held = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int")), F.sum(F.size("ids"))).first())
     if not opened:
         return links
-    if total <= merge_rows:
+    if total <= merge_rows and held <= 10 * merge_rows:
         return cut(links.coalesce(1).mapInArrow(_merge_task, _LINK))
     first = links
     while opened:
@@ -249,7 +249,8 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, lo
     ring = merged.filter(F.col("state") == CYCLE).select(F.explode("ids").alias("id"), F.lit(True).alias("on_ring")).distinct()
     above = merged.select(F.col("t").alias("out_parent"), F.col("root_id").alias("up_root"), F.col("off").alias("up_off"), F.when(F.col("state") == CYCLE, BELOW_CYCLE).otherwise(F.col("state")).alias("up_state"), F.col("cycle_min").alias("up_cycle"), F.col("ids").alias("up_ids"), F.col("labels").alias("up_labels"))
     hanging = local.filter(F.col("state") == OPEN).drop("cycle_min")
-    if links.count() <= BROADCAST_LINKS:
+    count, elements = merged.agg(F.count("t"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    if count <= BROADCAST_LINKS and elements <= BROADCAST_ELEMENTS:
         joined = hanging.join(F.broadcast(above), "out_parent")
     else:
         joined = balanced_join(hanging, above, ["out_parent"], ["id"], plan=plan_loads(hanging, ["out_parent"], plan.tasks))
