@@ -60,6 +60,16 @@ def status(state: DataFrame, signals: DataFrame, weights: DataFrame) -> DataFram
     return one("targets", state).unionByName(one("signals", signals)).unionByName(one("pairs", weights))
 
 
+def reset(state: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """State without what was learned of some targets (target_kind, target_id), or of all."""
+    return state.limit(0) if targets is None else state.join(targets, ["target_kind", "target_id"], "left_anti")
+
+
+def feedback(targets: DataFrame, kind: str, at: int) -> DataFrame:
+    """Signals of one kind for targets (target_kind, target_id), given by hand at a time."""
+    return targets.select("target_kind", "target_id", F.lit(kind).alias("kind"), F.lit(at).cast("bigint").alias("at"))
+
+
 def ignored(shown: DataFrame) -> DataFrame:
     """Targets shown (session, target_id, at, level, expanded) and, at the next showing within half an hour, not used: (session, target_id, at).
 

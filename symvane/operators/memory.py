@@ -127,6 +127,11 @@ def mark_stale(memories: DataFrame, reasons: DataFrame, now: Column) -> DataFram
     return memories.join(found, "id", "left").withColumn("stale_since", since).withColumn("stale_reason", F.coalesce("__why", "stale_reason")).drop("__why")
 
 
+def forget(memories: DataFrame, anchors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Memories and anchors without those listed (column id)."""
+    return memories.join(gone, "id", "left_anti"), anchors.join(gone.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti")
+
+
 def reanchor(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """Anchors with hashes as they are now: by id, else by path and qualified name; what is gone stays as it was, unlinked."""
     now = symbols.select(F.col("id").alias("symbol_id"), F.col("sig_hash").alias("s1"), F.col("body_hash").alias("b1"))

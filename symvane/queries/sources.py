@@ -87,6 +87,14 @@ def k3_report(spark: SparkSession, d: str) -> DataFrame:
     return rd.report(e6_insights(spark, d))
 
 
+def k3_html(spark: SparkSession, d: str) -> DataFrame:
+    return rd.report_html(e6_insights(spark, d))
+
+
+def k2_text(spark: SparkSession, d: str) -> DataFrame:
+    return rd.as_text(views.files(spark, d).select("path", "language", "lines"))
+
+
 def k6_api(spark: SparkSession, d: str) -> DataFrame:
     """Markdown reference of public symbols."""
     sym = views.symbols(spark, d, "file_id", "kind", "signature", "doc", "visibility", "start_line").join(views.files(spark, d).select("file_id", "path"), "file_id")
@@ -140,7 +148,7 @@ def st6_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "kind").agg(F.max_by("n", "batch_id").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (s1_tree, s2_contents, s4_symbols, s4_refs, s5_lexical, s9_slices, s10_metrics, s11_entries, k1_toon, k2_json, k3_report, k6_api, k7_upsert, st1_diff, st1_dirty, st2_changed, st5_stream, st6_windows)}
+QUERIES = {f.__name__: f for f in (s1_tree, s2_contents, s4_symbols, s4_refs, s5_lexical, s9_slices, s10_metrics, s11_entries, k1_toon, k2_json, k2_text, k3_report, k3_html, k6_api, k7_upsert, st1_diff, st1_dirty, st2_changed, st5_stream, st6_windows)}
 
 from symvane.queries.plans import SQL as _PLANS  # noqa: E402
 
@@ -153,6 +161,7 @@ SQL = {
     "s11_entries": "SELECT name AS symbol, count(*) AS entries FROM (SELECT DISTINCT path, name, doc FROM outline_rows WHERE trim(doc) <> '') GROUP BY 1",
     "k1_toon": "SELECT path, count(*)::INT AS rows, true AS same FROM (SELECT DISTINCT * FROM outline_rows) GROUP BY 1",
     "k2_json": "SELECT '{\"file_id\":' || file_id || ',\"path\":\"' || path || '\",\"lines\":' || lines || '}' AS value FROM files",
+    "k2_text": "SELECT path || '  ' || language || '  ' || lines AS value FROM files",
     "k6_api": "WITH s AS (SELECT DISTINCT s.id, s.start_line, f.path FROM symbols s JOIN files f ON f.file_id = s.file_id WHERE visibility = 'public' AND kind <> 'module' ORDER BY f.path, start_line, id LIMIT 5000) SELECT path, count(*)::INT AS symbols FROM s GROUP BY 1",
     "k7_upsert": f"WITH {_CUR}, r AS (SELECT file_id FROM files WHERE language = 'rust'), n AS (SELECT * FROM c WHERE file_id IN (SELECT file_id FROM r)) SELECT id, file_id, sig_hash FROM o WHERE file_id NOT IN (SELECT file_id FROM n) UNION ALL SELECT id, file_id, sig_hash FROM n",
     "st1_diff": f"WITH {_DIFF} SELECT old_id, new_id, change FROM diff",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,24 @@ def report(sections: DataFrame, language: str = "en") -> DataFrame:
     return rows.select("section", F.concat(F.lit("## "), title, F.lit("\n\n| | |\n|---|---|\n"), line).alias("markdown"))
 
 
+def _escaped(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def report_html(sections: DataFrame) -> DataFrame:
+    """The rows of `report` as HTML: one row (section, html) each."""
+    rows = sections.groupBy("section").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "key"))).alias("ls"))
+    line = F.array_join(F.transform("ls", lambda x: F.concat(F.lit("<tr><td>"), _escaped(x["key"]), F.lit("</td><td>"), (-x["minus"]).cast("string"), F.lit("</td></tr>"))), "")
+    return rows.select("section", F.concat(F.lit("<h2>"), _escaped(F.col("section")), F.lit("</h2><table>"), line, F.lit("</table>")).alias("html"))
+
+
+def as_text(df: DataFrame, separator: str = "  ") -> DataFrame:
+    """Every row as one line of text (column value); null shows as a dash."""
+    return df.select(F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]).alias("value"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Every row as one JSON text (column value)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

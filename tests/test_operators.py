@@ -387,3 +387,16 @@ def test_capsules_keep_their_budget(spark):
     assert rows[len(budgets) - 1].symbols == 60 and rows[999].symbols == 0 and g.refresh_due(False, False, 51) and not g.refresh_due(False, False, 50)
     for t in ["", "x", "fn parse(a)\n", "ünï 12", "HTTPServer2Go ABc"]:
         assert one(spark, tx.token_estimate(F.lit(t))) == estimate_tokens(t)
+
+
+def test_small_things(spark):
+    rows = spark.createDataFrame([("a<b", "k&1", 2), ("a<b", "k2", 5)], "section string, key string, n long")
+    assert rd.report_html(rows).first().html == "<h2>a&lt;b</h2><table><tr><td>k2</td><td>5</td></tr><tr><td>k&amp;1</td><td>2</td></tr></table>"
+    assert rd.report(rows).first().markdown.endswith("| k2 | 5 |\n| k&1 | 2 |")
+    assert [r.value for r in rd.as_text(spark.createDataFrame([(1, None)], "a int, b string")).collect()] == ["1  -"]
+    notes, anchors = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, 5), (2, 6)], "memory_id long, symbol_id long")
+    left, held = mem.forget(notes, anchors, spark.createDataFrame([(1,)], "id long"))
+    assert [r.id for r in left.collect()] == [2] and [r.memory_id for r in held.collect()] == [2]
+    state = spark.createDataFrame([("symbol", 1, 1.0), ("symbol", 2, 1.0)], "target_kind string, target_id long, alpha double")
+    assert ln.reset(state).count() == 0 and [r.target_id for r in ln.reset(state, state.filter("target_id = 1").select("target_kind", "target_id")).collect()] == [2]
+    assert ln.feedback(state, "used", 7).filter("kind = 'used' AND at = 7").count() == 2
