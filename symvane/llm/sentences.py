@@ -67,7 +67,7 @@ _LINE = re.compile(r"\r\n|\n|\r| | ")
 _FENCE = re.compile(r"[\s" + _EDGE + r"]*(?:(?:>|//[/!]?|--|\*|#|;+|%+)[ \t]*)*(`{3,}|~{3,})([^`\n]*)$")
 _COMMENT = re.compile(r"[\s" + _EDGE + r"]*(?:(?:///?!?|//!|--+|;+|%+|/\*+!?|\"\"\"|'''|<!--|>|\||＞)(?=\s|$)[ \t ]*)*")
 _STAR = re.compile(r"[" + _EDGE + r"]*[ \t]\*(?=\s|$)[ \t]*")
-_GLUED = re.compile(r"(?:///?!?|--|>)(?=[^\W\d_]|[“«¿¡])")
+_GLUED = re.compile(r"(?:///?!?|--|>|\"\"\"|''')(?=[^\W\d_]|[“«¿¡])")
 _HASH = re.compile(r"(#{1,6})[ \t ]+")
 _BULLET = re.compile(r"(?:[-*+•‣◦▪–·]|\[[ xX]\])[ \t 　]+(?:\[[ xX]\][ \t]+)?")
 _NUMBER = re.compile(r"\(?(\d{1,3}|[a-zA-Z])([.)])[ \t 　]+")
@@ -137,12 +137,12 @@ def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
     token = m[0] if m else ""
     low = token.casefold()
     digit = first.isdigit() or bool(word and re.match(r"v\d", word[0]))
+    if _TITLES.ends(token) or _MIDDLE.ends(low):
+        return False
     if _ENDING.ends(low):
         if _NUMBERED.ends(low) and digit:
             return False
         return not small or code
-    if _TITLES.ends(token) or _MIDDLE.ends(low):
-        return False
     if _NUMBERED.ends(low) and (digit or len(low) == 1):
         return False
     if len(token) == 1 and token.isalpha():
@@ -254,7 +254,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             kind = ""
             continue
         p = (_STAR.match(line) or _COMMENT.match(line)).end()
-        if not p and (g := _GLUED.match(line)):
+        if g := _GLUED.match(line, p):
             p = g.end()
         while p < len(line) and (line[p].isspace() or line[p] in _EDGE):
             p += 1

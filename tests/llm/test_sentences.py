@@ -61,3 +61,8 @@ def test_thai_beside_other_scripts():
     assert cut("แคชถูกเขียนก่อน\nDer Aufrufer muss warten. ระวังเส้นทาง") == ["แคชถูกเขียนก่อน", "Der Aufrufer muss warten.", "ระวังเส้นทาง"]
     assert cut("แคช walk_tree ถูกเขียน CachedNode ก่อน") == ["แคช walk_tree ถูกเขียน CachedNode ก่อน"]
     assert cut("HOW MANY LOOPS DOES A. The caller waits.") == ["HOW MANY LOOPS DOES A.", "The caller waits."]
+
+
+def test_titles_come_first():
+    assert cut("O Sr. Quel pediu isso. El Sr. López y la Sra. Gil. Fin.") == ["O Sr. Quel pediu isso.", "El Sr. López y la Sra. Gil.", "Fin."]
+    assert cut('"""Docstring here.\n\nMore text.\n"""') == ["Docstring here.", "More text."]
