@@ -225,7 +225,7 @@ class Detector:
                 total[lang][1] += chars
         return {k: (w, c) for k, (w, c) in total.items()}
 
-    def languages(self, texts: list[str]) -> list[dict[str, tuple[int, int]]]:
+    def languages(self, texts: list[str] | pa.Array) -> list[dict[str, tuple[int, int]]]:
         """Of comment texts the languages with enough running text: {language: (words, characters)}."""
         out = []
         for clean in prose(texts):
@@ -283,8 +283,7 @@ def languages(rows: DataFrame, id_col: str, doc_col: str, name_col: str, detecto
         own = Detector(shared.value)
         for batch in batches:
             out: list[tuple] = []
-            docs = batch.column(1).to_pylist()
-            for row, found in enumerate(own.languages([d or "" for d in docs])):
+            for row, found in enumerate(own.languages(batch.column(1))):
                 out += [(row, "doc", k, w, c) for k, (w, c) in found.items()]
             for row, name in enumerate(batch.column(2).to_pylist()):
                 if name and (lang := own.name(name)):

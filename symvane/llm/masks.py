@@ -10,6 +10,7 @@ sequential automaton a column at a time.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: Byte put between texts; it can't occur in UTF-8.
 END = 0xFF
@@ -108,9 +109,21 @@ _IN_COMMENT = {"line", "block", "star"}
 _IN_STRING = {"dq", "dq_esc", "sq", "sq_esc", "bq", "bq_esc", "d1", "ddd", "ddd1", "ddd2", "s1", "sss", "sss1", "sss2"}
 
 
-def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8), np.r_[0, ends]
+def _buffer(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end, each with a reset byte after it, and where each begins. Arrow arrays are taken from their own buffers; null is empty."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    column = texts.fill_null("").cast(pa.large_string())
+    n = len(column)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    sizes = np.diff(at)
+    out = np.full(int(at[-1] - at[0]) + n, END, np.uint8)
+    if len(out) > n:
+        out[np.arange(at[-1] - at[0]) + np.repeat(np.arange(n), sizes)] = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    return out, np.r_[0, np.cumsum(sizes + 1)]
 
 
 def _blanked(data: np.ndarray, keep: np.ndarray, at: np.ndarray) -> list[str]:
@@ -118,9 +131,9 @@ def _blanked(data: np.ndarray, keep: np.ndarray, at: np.ndarray) -> list[str]:
     return [out[s : e - 1].decode("utf-8", "replace") for s, e in zip(at, at[1:])]
 
 
-def prose(texts: list[str]) -> list[str]:
+def prose(texts: list[str] | pa.Array) -> list[str]:
     """Texts of comments with everything but prose blanked, byte by byte; lines stay."""
-    data, at = _buffer([t.encode("utf-8", "surrogatepass") for t in texts])
+    data, at = _buffer(texts)
     state = PROSE.run(data)
     inside = (state == PROSE.number["text"]) | (state == PROSE.number["line"])
     nxt = np.r_[state[1:], PROSE.start]
@@ -134,7 +147,7 @@ def natural(texts: list[str], families: list[str]) -> list[tuple[str, str]]:
     for family, machine in SOURCE.items():
         rows = [i for i, f in enumerate(families) if f == family]
         if rows:
-            data, at = _buffer([texts[i].encode("utf-8", "surrogatepass") for i in rows])
+            data, at = _buffer([texts[i] for i in rows])
             state = machine.run(data)
             both = [np.isin(state, [machine.number[s] for s in kind]) for kind in (_IN_COMMENT, _IN_STRING)]
             for i, comment, string in zip(rows, _blanked(data, both[0], at), _blanked(data, both[1], at)):

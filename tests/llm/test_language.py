@@ -62,3 +62,12 @@ def test_frames(spark, detector):
     assert languages(df.limit(0), "id", "doc", "name", detector).collect() == []
     src = spark.createDataFrame([(1, '// The caller must hold the lock.\nx = "Primero se lee el índice y luego se cierra";', "slash"), (2, None, "slash"), (3, "", None)], "id long, text string, family string")
     assert sorted((r.part, r.lang) for r in source_languages(src, "id", "text", "family", detector).collect()) == [("comment", "en"), ("string", "es")]
+
+
+def test_arrow_buffers_equal_lists():
+    import pyarrow as pa
+
+    texts = ["/// a b", None, "", "ünï 世界\n* c", "x"] * 3
+    whole = pa.array(texts)
+    assert prose(whole) == prose([t or "" for t in texts])
+    assert prose(whole[2:9]) == prose([t or "" for t in texts[2:9]]) and prose(whole[:0]) == [] and prose(pa.array([None, None], pa.string())) == ["", ""]
