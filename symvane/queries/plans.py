@@ -216,3 +216,19 @@ SQL = {
       SELECT query_id, id, CASE WHEN n = 1 OR e = 1 THEN 'found' ELSE 'ambiguous' END AS verdict FROM w WHERE n = 1 OR e <> 1 OR ex = 1 UNION ALL SELECT query_id, NULL, 'unknown' FROM q WHERE query_id NOT IN (SELECT query_id FROM h)""",
     "e8_doc_gaps": r"SELECT s.id, path, coalesce(callers, 0) AS degree FROM (SELECT DISTINCT id, file_id, start_line FROM symbols WHERE visibility = 'public' AND trim(coalesce(doc, ''), E' \t\r\n') = '') s JOIN files f ON f.file_id = s.file_id LEFT JOIN (SELECT DISTINCT id, callers FROM hotspots WHERE callers IS NOT NULL) h ON h.id = s.id ORDER BY degree DESC, path, start_line, s.id LIMIT 2000",
 }
+
+
+def _tokens(x: str) -> str:
+    """The token estimate in DuckDB."""
+    return rf"""(CASE WHEN {x} = '' THEN 0 ELSE greatest(round(0.4878 * len(regexp_extract_all({x}, '[0-9]')) + 0.2783 * len(regexp_extract_all({x}, '[A-Za-z0-9_]+'))
+      + 0.8258 * len(regexp_extract_all(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[0-9]+|[A-Z]+[a-z]*|[a-z]+')) + 0.402 * len(regexp_extract_all({x}, '[!-/:-@\[-^`{{-~\x00-\x08\x0b\x0e-\x1f\x7f]'))
+      + 1.7999 * len(regexp_extract_all({x}, '\n')) + 0.8308 * len(regexp_extract_all({x}, '[^\x00-\x7f]')))::INT, 1) END)"""
+
+
+SQL["e3_outline"] = f"""WITH r AS (SELECT DISTINCT path, id, name, signature, doc FROM outline_rows),
+c AS (SELECT path, sum(9 + {_tokens("signature")} + CASE WHEN doc = '' THEN 0 ELSE {_tokens("doc")} END)::BIGINT AS d, sum(9 + {_tokens("signature")})::BIGINT AS s, sum({_tokens("name")} + 1)::BIGINT AS n FROM r GROUP BY 1),
+x AS (SELECT path, CASE WHEN d <= 600 THEN 'documented' WHEN s <= 600 THEN 'signature' ELSE 'name' END AS detail, CASE WHEN d <= 600 THEN d WHEN s <= 600 THEN s ELSE n END AS tokens FROM c)
+SELECT path, detail, tokens, tokens <= 600 AS fits FROM x"""
+SQL["j19_pairs"] = f"""WITH {_MEM}, m AS (SELECT id, path, qualified_name AS q, CASE WHEN kind IN ('function', 'method') THEN 'fact' WHEN kind IN ('class', 'struct', 'interface') THEN 'decision' WHEN kind = 'module' THEN 'convention' ELSE 'lesson' END AS k FROM lr),
+a AS (SELECT DISTINCT * FROM (SELECT id, k, path, q AS place FROM m UNION ALL SELECT id, k, path, regexp_replace(q, '(::|\.)[^.:]+$', '') FROM m))
+SELECT DISTINCT x.id AS left_id, y.id AS right_id, x.k AS kind FROM a x JOIN a y ON x.path = y.path AND x.place = y.place AND x.k = y.k AND x.id < y.id"""

@@ -170,3 +170,7 @@ SQL = {
     "st5_stream": _PLANS["l1_utility"],
     "st6_windows": "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
 }
+
+_ROWS = _PLANS["e6_insights"]
+SQL["k3_report"] = f"""SELECT section, '## ' || upper(section[1]) || section[2:] || E'\\n\\n| | |\\n|---|---|\\n' || string_agg('| ' || key || ' | ' || n || ' |', E'\\n' ORDER BY n DESC, key) AS markdown FROM ({_ROWS}) GROUP BY 1"""
+SQL["k3_html"] = f"""SELECT section, '<h2>' || section || '</h2><table>' || string_agg('<tr><td>' || key || '</td><td>' || n || '</td></tr>', '' ORDER BY n DESC, key) || '</table>' AS html FROM ({_ROWS}) GROUP BY 1"""
