@@ -229,6 +229,6 @@ SQL["e3_outline"] = f"""WITH r AS (SELECT DISTINCT path, id, name, signature, do
 c AS (SELECT path, sum(9 + {_tokens("signature")} + CASE WHEN doc = '' THEN 0 ELSE {_tokens("doc")} END)::BIGINT AS d, sum(9 + {_tokens("signature")})::BIGINT AS s, sum({_tokens("name")} + 1)::BIGINT AS n FROM r GROUP BY 1),
 x AS (SELECT path, CASE WHEN d <= 600 THEN 'documented' WHEN s <= 600 THEN 'signature' ELSE 'name' END AS detail, CASE WHEN d <= 600 THEN d WHEN s <= 600 THEN s ELSE n END AS tokens FROM c)
 SELECT path, detail, tokens, tokens <= 600 AS fits FROM x"""
-SQL["j19_pairs"] = f"""WITH {_MEM}, m AS (SELECT id, path, qualified_name AS q, CASE WHEN kind IN ('function', 'method') THEN 'fact' WHEN kind IN ('class', 'struct', 'interface') THEN 'decision' WHEN kind = 'module' THEN 'convention' ELSE 'lesson' END AS k FROM lr),
+SQL["j19_pairs"] = rf"""WITH {_MEM}, m AS (SELECT id, path, qualified_name AS q, CASE WHEN kind IN ('function', 'method') THEN 'fact' WHEN kind IN ('class', 'struct', 'interface') THEN 'decision' WHEN kind = 'module' THEN 'convention' ELSE 'lesson' END AS k FROM lr),
 a AS (SELECT DISTINCT * FROM (SELECT id, k, path, q AS place FROM m UNION ALL SELECT id, k, path, regexp_replace(q, '(::|\.)[^.:]+$', '') FROM m))
 SELECT DISTINCT x.id AS left_id, y.id AS right_id, x.k AS kind FROM a x JOIN a y ON x.path = y.path AND x.place = y.place AND x.k = y.k AND x.id < y.id"""
