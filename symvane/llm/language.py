@@ -297,10 +297,10 @@ def languages(rows: DataFrame, id_col: str, doc_col: str, name_col: str, detecto
 def source_languages(files: DataFrame, id_col: str, text_col: str, family_col: str, detector: Detector) -> DataFrame:
     """Languages of the comments and strings of whole source files: (id, part, lang, chars, share).
 
-    `family_col` tells how the language marks comments (slash, hash, dash; others count as slash). `share` is
-    of the file's characters. Null and empty files have no rows.
+    `family_col` tells how the language marks comments (slash, hash, dash, star for excerpts of slash, mixed
+    where it isn't known; others count as slash). `share` is of the file's characters. Null and empty files have no rows.
     """
-    family = F.when(F.col(family_col).isin("hash", "dash"), F.col(family_col)).otherwise("slash")
+    family = F.when(F.col(family_col).isin("hash", "dash", "star", "mixed"), F.col(family_col)).otherwise("slash")
     slim = files.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), family.alias("__family"))
     schema = T.StructType([slim.schema["id"], T.StructField("part", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("chars", T.IntegerType()), T.StructField("share", T.DoubleType())])
     shared = slim.sparkSession.sparkContext.broadcast(detector.models)

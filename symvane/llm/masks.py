@@ -85,6 +85,11 @@ PROSE = Automaton(
 _FAMILY_STATES = ["code", "slash", "line", "block", "star", "dq", "dq_esc", "sq", "sq_esc", "bq", "bq_esc", "dash", "d1", "d2", "ddd", "ddd1", "ddd2", "s1", "s2", "sss", "sss1", "sss2"]
 
 
+#: States of a family that tells where a line begins.
+_LINE_STATES = ["start", "bullet", "hash1", "minus", "tick1", "tick2", "tick3"]
+_NEWLINE = b"\r\n"
+
+
 def _family(slashes: bool, hashes: bool, dashes: bool, triple: bool) -> Automaton:
     """Source code of a family of languages with these kinds of comments and strings."""
     rules: list[tuple[str, bytes | None, str]] = [("line", b"\n", "code"), ("block", b"*", "star"), ("star", None, "block"), ("star", b"*", "star"), ("star", b"/", "code")]
@@ -103,10 +108,34 @@ def _family(slashes: bool, hashes: bool, dashes: bool, triple: bool) -> Automato
     return Automaton(_FAMILY_STATES, rules, "code")
 
 
+def _mixed(marks: bool) -> Automaton:
+    """Excerpts of source code: //, /* */ anywhere, * (a line of a block comment opened before) where a line begins, with `marks` # and -- there too.
+
+    A line's opening ``` is markup and no string; #[ opens an attribute.
+    """
+    rules: list[tuple[str, bytes | None, str]] = [("block", b"*", "star"), ("star", None, "block"), ("star", b"*", "star"), ("star", b"/", "code")]
+    enter = [(b'"', "d1"), (b"'", "s1"), (b"`", "bq"), (b"/", "slash"), (_NEWLINE, "start")]
+    rules += [("code", c, to) for c, to in enter]
+    rules += [("start", None, "code"), *[("start", c, to) for c, to in enter], ("start", _BLANK.replace(b"\r", b"") + b"\xef\xbb\xbf", "start"), ("start", b"*", "bullet"), ("start", b"`", "tick1")]
+    rules += [("start", b"#", "hash1"), ("start", b"-", "minus")] * marks
+    for back in ("slash", "bullet", "minus", "tick2", "tick3"):
+        rules += [(back, None, "code")] + [(back, c, to) for c, to in enter]
+    rules += [("slash", b"/", "line"), ("slash", b"*", "block"), ("bullet", b"*", "bullet"), ("bullet", b" \t/", "line"), ("minus", b"-", "line"), ("line", _NEWLINE, "start")]
+    rules += [("hash1", None, "line"), ("hash1", b"!", "hash1"), ("hash1", b"[", "code"), ("hash1", _NEWLINE, "start")]
+    rules += [("tick1", None, "bq"), ("tick1", b"\\", "bq_esc"), ("tick1", b"`", "tick2"), ("tick2", b"`", "tick3"), ("tick3", b"`", "tick3")]
+    for c, s, esc in ((b'"', "dq", "dq_esc"), (b"'", "sq", "sq_esc"), (b"`", "bq", "bq_esc")):
+        rules += [(s, c, "code"), (s, b"\\", esc), (esc, None, s)]
+        if s != "bq":
+            rules.append((s, _NEWLINE, "start"))
+    for c, q1, q2, body, b1, b2, plain in ((b'"', "d1", "d2", "ddd", "ddd1", "ddd2", "dq"), (b"'", "s1", "s2", "sss", "sss1", "sss2", "sq")):
+        rules += [(q1, None, plain), (q1, c, q2), (q1, b"\\", f"{plain}_esc"), (q1, _NEWLINE, "start"), (q2, None, "code"), *[(q2, x, to) for x, to in enter], (q2, c, body), (body, c, b1), (b1, None, body), (b1, c, b2), (b2, None, body), (b2, c, "code")]
+    return Automaton([*_FAMILY_STATES, *_LINE_STATES], rules, "start")
+
+
 #: Source code by family of comment signs.
-SOURCE = {"slash": _family(True, False, False, False), "hash": _family(False, True, False, True), "dash": _family(False, False, True, False)}
+SOURCE = {"mixed": _mixed(True), "star": _mixed(False), "slash": _family(True, False, False, False), "hash": _family(False, True, False, True), "dash": _family(False, False, True, False)}
 _IN_COMMENT = {"line", "block", "star"}
-_IN_STRING = {"dq", "dq_esc", "sq", "sq_esc", "bq", "bq_esc", "d1", "ddd", "ddd1", "ddd2", "s1", "sss", "sss1", "sss2"}
+_IN_STRING = {"dq", "dq_esc", "sq", "sq_esc", "bq", "bq_esc", "tick1", "d1", "ddd", "ddd1", "ddd2", "s1", "sss", "sss1", "sss2"}
 
 
 def _buffer(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +178,7 @@ def natural(texts: list[str], families: list[str]) -> list[tuple[str, str]]:
         if rows:
             data, at = _buffer([texts[i] for i in rows])
             state = machine.run(data)
-            both = [np.isin(state, [machine.number[s] for s in kind]) for kind in (_IN_COMMENT, _IN_STRING)]
+            both = [np.isin(state, [machine.number[s] for s in kind if s in machine.number]) for kind in (_IN_COMMENT, _IN_STRING)]
             for i, comment, string in zip(rows, _blanked(data, both[0], at), _blanked(data, both[1], at)):
                 out[i] = (comment, string)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symvane.llm.encode import encode
@@ -18,6 +18,17 @@ def _detector(spark: SparkSession, d: str) -> Detector:
     return Detector.fit(labelled_sample(table(spark, d, "documents"), "doc_id", "text", "lang"))
 
 
+# Ends of paths of languages by the signs of their comments.
+SLASH_ENDS = ("rs", "js", "mjs", "jsx", "ts", "tsx", "go", "java", "c", "h", "cpp", "cc", "hpp", "cs", "zig", "kt", "swift", "scala")
+HASH_ENDS, DASH_ENDS = ("py", "rb", "sh", "ex", "r"), ("sql", "lua", "hs")
+
+
+def comment_family(path: Column) -> Column:
+    """How the language of a path marks comments; mixed where the path doesn't tell."""
+    end = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
+    return F.when(end.isin(*SLASH_ENDS), "star").when(end.isin(*HASH_ENDS), "hash").when(end.isin(*DASH_ENDS), "dash").otherwise("mixed")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the doc text and of the name of every stored row."""
     stored = latest(table(spark, d, "old_symbols"), "id", "stored_at", ["name", "doc"], 2 * tasks_of(spark))
@@ -36,7 +47,7 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:
     """Languages of comments and strings of the commented sources among the documents."""
-    sources = table(spark, d, "documents").filter("doc_kind = 'source'").withColumn("family", F.lit("slash"))
+    sources = table(spark, d, "documents").filter("doc_kind = 'source'").withColumn("family", comment_family(F.col("path")))
     return source_languages(sources, "doc_id", "text", "family", _detector(spark, d))
 
 

@@ -71,3 +71,18 @@ def test_arrow_buffers_equal_lists():
     whole = pa.array(texts)
     assert prose(whole) == prose([t or "" for t in texts])
     assert prose(whole[2:9]) == prose([t or "" for t in texts[2:9]]) and prose(whole[:0]) == [] and prose(pa.array([None, None], pa.string())) == ["", ""]
+
+
+def test_every_comment_form_of_documents(spark, detector):
+    from symvane.llm.queries import comment_family
+
+    forms = "-- Das Gewicht sinkt's \n * goes on here\n# hash mark\n\ufeff// slashes\nx = 1; /* a block */ y--;\n#[attr(z)]\n*p = q;\n```rust\n// in code 'x\n```\n"
+    comment, string = natural([forms], ["mixed"])[0]
+    assert comment.split() == ["Das", "Gewicht", "sinkt's", "goes", "on", "here", "hash", "mark", "slashes", "a", "block", "*/", "in", "code", "'x"] and not string.replace("`", "").split()
+    assert natural(["--x;\n#include <a>\n * goes on"], ["star"])[0][0].split() == ["goes", "on"]
+    assert natural(["x = `a\nb`;\n`c` ``` d"], ["mixed"])[0][1].split()[:3] == ["a", "b`", "c`"]
+    german = "-- Das Gewicht sinkt nach 254 Tagen, und danach wird alles gelöscht.\n"
+    rows = [(1, german, "source/a.md"), (2, german.replace("--", " *"), None), (3, "x = 1  " + german.replace("--", "#"), "a.py"), (4, "x = 1  " + german, "a.sql")]
+    df = spark.createDataFrame(rows, "id long, text string, path string")
+    got = source_languages(df.withColumn("family", comment_family(df.path)), "id", "text", "family", detector).collect()
+    assert sorted((r.id, r.part, r.lang) for r in got) == [(i, "comment", "de") for i in (1, 2, 3, 4)]
