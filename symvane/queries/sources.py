@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symvane import views
 from symvane.queries.plans import e6_insights
@@ -18,6 +19,8 @@ from symvane.streaming import signals as st
 
 #: The source tree that the scan queries read: this package.
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Parts of a path's entries.
+ENTRY_PARTS = 16
 
 
 def s1_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +69,11 @@ def s10_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def s11_entries(spark: SparkSession, d: str) -> DataFrame:
     """Documentation entries of every file, from JSON."""
-    rows = table(spark, d, "outline_rows").select("path", "name", "doc").distinct().groupBy("path").agg(F.to_json(F.collect_list(F.struct(F.col("name").alias("symbol"), "doc"))).alias("text"))
+    # a text holds at most MOST_ENTRIES entries, so a path has several; parts keep a hot path from one task
+    parted = table(spark, d, "outline_rows").select("path", "name", "doc").distinct().withColumn("part", F.pmod(F.xxhash64("name", "doc"), F.lit(ENTRY_PARTS)))
+    order = Window.partitionBy("path", "part").orderBy("name", "doc")
+    numbered = parted.withColumn("block", F.floor((F.row_number().over(order) - 1) / rd.MOST_ENTRIES))
+    rows = numbered.groupBy("path", "part", "block").agg(F.to_json(F.collect_list(F.struct(F.col("name").alias("symbol"), "doc"))).alias("text"))
     return rd.read_entries(rows).groupBy("symbol").agg(F.count(F.lit(1)).alias("entries"))
 
 

@@ -331,6 +331,15 @@ def test_trees(spark, tmp_path):
     assert (tmp_path / "out.txt").read_text() == "done"
 
 
+def test_every_entry_of_a_large_path(spark, tmp_path):
+    from symvane.queries.sources import s11_entries
+
+    rows = [("hot", f"n{i % 7}", f"doc {i}") for i in range(12_000)] + [("cold", "n0", "doc 0"), ("hot", "n1", " "), ("hot", "n0", "doc 0")]
+    spark.createDataFrame(rows, "path string, name string, doc string").write.parquet(str(tmp_path / "outline_rows.parquet"))
+    want = {f"n{k}": len(range(k, 12_000, 7)) + (k == 0) for k in range(7)}
+    assert {r.symbol: r.entries for r in s11_entries(spark, str(tmp_path)).collect()} == want
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"event":"a","used":5,"budget":10}\n{bad\n{"op":"a","used":2,"budget":10}\n{"x":1}\n')
     assert [tuple(x) for x in rd.usage(rd.read_metrics(spark, str(tmp_path / "m.jsonl"))).collect()] == [("a", 2, 7, 3, 35)]
