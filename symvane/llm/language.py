@@ -134,6 +134,20 @@ def runs_of(text: str) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
+def latin_prose(text: str) -> list[str]:
+    """Latin words of a sentence in several scripts that stand in a row, at least LEAST_WORDS that are no acronyms."""
+    out: list[str] = []
+    row: list[str] = []
+    for script, words in [x for run in _RUN.findall(_PATH.sub(" ", text)) for x in runs_of(run)] + [("", [])]:
+        if script == "latin":
+            row += words
+            continue
+        if sum(not w.isupper() for w in row) >= LEAST_WORDS:
+            out += row
+        row = []
+    return out
+
+
 def _fold(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
 
@@ -193,36 +207,50 @@ class Detector:
         low = [w.casefold() for w in words]
         return max(among, key=lambda x: sum(self.score(x, w) for w in low))
 
-    def sentence(self, text: str) -> list[tuple[str, int, int]]:
-        """(language, words, characters) of a sentence."""
+    def sentence(self, text: str) -> list[tuple[str, list[str]]]:
+        """(language, words) of a sentence."""
         out = []
         found = dict(runs_of(text))
-        if len(found) > 1 and "latin" in found:  # Latin words inside another script are names or terms
+        if len(found) > 1 and "latin" in found:  # single Latin words inside another script are names or terms
             other = sum(len(w) for k, ws in found.items() if k != "latin" for w in ws)
-            if len(found["latin"]) <= 3 or other > sum(map(len, found["latin"])):
-                del found["latin"]
+            if len(found["latin"]) < LEAST_WORDS or other > sum(map(len, found["latin"])):
+                found["latin"] = latin_prose(text)
+                if not found["latin"]:
+                    del found["latin"]
         for script, ws in found.items():
-            out.append((self.best(ws, SCRIPTS[script]), len(ws), sum(map(len, ws))))
+            out.append((self.best(ws, SCRIPTS[script]), ws))
         return out
 
     def prose_languages(self, clean: str) -> dict[str, tuple[int, int]]:
         """Words and characters of each language in a text whose mask has been applied."""
         total: dict[str, list[int]] = {}
-        short: list[tuple[str, int, int]] = []
+
+        def add(lang: str, words: list[str]) -> None:
+            x = total.setdefault(lang, [0, 0])
+            x[0], x[1] = x[0] + len(words), x[1] + sum(map(len, words))
+
+        short: list[tuple[str, list[str]]] = []
         for s, e in sentences(clean):
             part = clean[s:e]
             for line in part.split("\n") if _SIGNATURE.search(part) else [part]:
                 if not _SIGNATURE.search(line):
-                    for lang, words, chars in self.sentence(line):
-                        if words < LEAST_WORDS and lang in SCRIPTS["latin"]:
-                            short.append((lang, words, chars))
+                    for lang, words in self.sentence(line):
+                        if len(words) < LEAST_WORDS and lang in SCRIPTS["latin"]:
+                            short.append((lang, words))
                         else:
-                            x = total.setdefault(lang, [0, 0])
-                            x[0], x[1] = x[0] + words, x[1] + chars
-        for lang, words, chars in short:  # too short to tell: counts with a language that is there anyway
-            if lang in total:
-                total[lang][0] += words
-                total[lang][1] += chars
+                            add(lang, words)
+        # too short to tell alone: counts with a language that is there anyway, or with others like it, else all that is left together
+        pools: dict[str, list[str]] = {}
+        for lang, words in short:
+            pools.setdefault(lang, []).extend(words)
+        rest: list[str] = []
+        for lang, words in pools.items():
+            if lang in total or len(words) >= LEAST_WORDS:
+                add(lang, words)
+            else:
+                rest += words
+        if rest and ((lang := self.best(rest, SCRIPTS["latin"])) in total or len(rest) >= LEAST_WORDS):
+            add(lang, rest)
         return {k: (w, c) for k, (w, c) in total.items()}
 
     def languages(self, texts: list[str] | pa.Array) -> list[dict[str, tuple[int, int]]]:

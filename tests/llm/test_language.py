@@ -86,3 +86,12 @@ def test_every_comment_form_of_documents(spark, detector):
     df = spark.createDataFrame(rows, "id long, text string, path string")
     got = source_languages(df.withColumn("family", comment_family(df.path)), "id", "text", "family", detector).collect()
     assert sorted((r.id, r.part, r.lang) for r in got) == [(i, "comment", "de") for i in (1, 2, 3, 4)]
+
+
+@pytest.mark.parametrize(("doc", "want"), [
+    ("Opens the file. Closes it again.", {"en": 6}), ("Opens files. Reads them. Done.", {"en": 5}), ("Opens files. Done.", {}), ("Opens the file. Closes it again. Öffnet die Datei. Schließt sie wieder.", {"en": 6, "de": 6}),
+    ("この関数は returns the number of open files を呼び出してから、ファイルの内容をすべて読み込んで保存する。", {"en": 6, "ja": 0}), ("この関数は Buffer と Cache と Queue と Index を順番に読み込んで、あとで必ず保存する。", {"ja": 0}),
+])
+def test_short_and_mixed_sentences(detector, doc, want):
+    found = detector.languages([doc])[0]
+    assert {k: 0 if k == "ja" else w for k, (w, _) in found.items()} == want
