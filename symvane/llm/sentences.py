@@ -237,7 +237,29 @@ def sentences(text: str) -> list[tuple[int, int]]:
         lines.append((at, m.start()))
         at = m.end()
     lines.append((at, len(text)))
-    fence, kind, number, hashes = "", "", 0, {}
+    fence, kind = "", ""
+    levels: list[tuple[int, int]] = []  # open list levels as (indent, number), 0 for bullets
+
+    def level_of(indent: int, new: int) -> int | None:
+        """Which open level a number goes on with: the innermost one, or the one that it returns to."""
+        at = len(levels) - 1
+        if at >= 0 and levels[at][1] and levels[at][1] + 1 == new:
+            return at
+        while at > 0 and levels[at][0] > indent:
+            at -= 1
+        if at > 0 and not levels[at][1] and levels[at][0] == indent == levels[at - 1][0]:
+            at -= 1  # bullets as far in as the numbers they stand below
+        return at if at >= 0 and levels[at][1] and levels[at][1] + 1 == new else None
+
+    def enter(indent: int, new: int) -> None:
+        at = level_of(indent, new) if new > 1 else None
+        if at is not None:
+            indent = min(indent, levels[at][0])
+            del levels[at:]
+        while levels and (levels[-1][0] > indent or levels[-1][0] == indent and (new or not levels[-1][1])):
+            levels.pop()
+        levels.append((indent, new))
+
     for k, (s, e) in enumerate(lines):
         line = text[s:e]
         f = _FENCE.match(line)
@@ -267,9 +289,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 block.append((s + p + h.end(), s + max(end, p + h.end())))
                 flush()
                 kind = ""
+                levels.clear()
                 continue
             p += h.end()
             rest = line[p:]
+        indent = len(line[:p].expandtabs(4))
         item = _BULLET.match(rest)
         if item:
             body = rest[item.end() :]
@@ -281,14 +305,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
             new = int(item[1]) if item[1].isdigit() else 1
             if not item[1].isdigit() and item[2] == ".":
                 item = None  # an initial
-            elif block and not (new == 1 if kind != "item" else new in (number + 1, 1)):
+            elif block and not (new == 1 or kind == "item" and level_of(indent, new) is not None):
                 item = None  # a number at the start of a wrapped line
         if item:
             flush()
             p += item.end()
-            kind, number = "item", new
+            kind = "item"
+            enter(indent, new)
         elif not block:
             kind = ""
+            if levels and indent <= levels[0][0]:
+                levels.clear()
         block.append((s + p, s + max(end, p)))
     flush()
     return out

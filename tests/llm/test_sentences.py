@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from symvane.llm.sentences import sentences, split_sentences
 
@@ -66,3 +67,16 @@ def test_thai_beside_other_scripts():
 def test_titles_come_first():
     assert cut("O Sr. Quel pediu isso. El Sr. López y la Sra. Gil. Fin.") == ["O Sr. Quel pediu isso.", "El Sr. López y la Sra. Gil.", "Fin."]
     assert cut('"""Docstring here.\n\nMore text.\n"""') == ["Docstring here.", "More text."]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("1. Open the file\n - check the path\n2. Read it", ["Open the file", "check the path", "Read it"]),
+    ("1. Open the file\n   1. check the path\n   2. check the size\n2. Read it\n3. Close it", ["Open the file", "check the path", "check the size", "Read it", "Close it"]),
+    ("/// 1. Open the file\n///   - check the path\n///     - twice\n/// 2. Read it", ["Open the file", "check the path", "twice", "Read it"]),
+    ("1. Open the file\n- check the path\n- check the size\n2. Read it", ["Open the file", "check the path", "check the size", "Read it"]),
+    ("1. Open the file\n - check the rule\n   2. of the path\n2. Read it", ["Open the file", "check the rule\n   2. of the path", "Read it"]),
+    ("1. Open the file, see rule\n5. of the path\n2. Read it", ["Open the file, see rule\n5. of the path", "Read it"]),
+    ("- Open\n2. of it", ["Open\n2. of it"]),
+])
+def test_nested_lists(text, want):
+    assert [text[s:e] for s, e in sentences(text)] == want
