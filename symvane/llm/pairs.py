@@ -227,7 +227,10 @@ def informative(doc: str | None, name: str | None, signature: str | None) -> boo
             rest = rest.replace(p, "")
         for run in re.findall(r"[぀-ヿ㐀-鿿฀-๿]+", name or ""):
             rest = rest.replace(run, "")
-        return len(rest) >= 4
+        alone = not _WORD.search(re.sub(r"[぀-ヿ㐀-鿿฀-๿]+", " ", text))  # a short run beside words is a term or what is to do
+        if len(rest) >= 4 or alone and len(rest) >= 2 and rest == "".join(unspaced) and rest not in (name or ""):
+            return True
+        text = re.sub(r"[぀-ヿ㐀-鿿฀-๿]+", " ", text)
     words = [w for w in _WORD.findall(text) if len(w) > 1 or not w.isascii()]
     if not words:
         return False

@@ -64,3 +64,11 @@ def test_frames(spark):
     assert stored_pairs(df.limit(0), "id", "name", "signature", "doc").collect() == []
     src = spark.createDataFrame([(1, RUST, "n"), (2, None, "n"), (3, "", "n")], "id long, text string, name string")
     assert [(r.id, r.name) for r in code_doc_pairs(src, "id", "text").collect()] == [(1, "add")]
+
+
+@pytest.mark.parametrize(("doc", "name", "want"), [
+    ("Converts 円 amounts into dollars at the rate of the day", "convert", True), ("/// 排序表", "run", True), ("/// 待办", "run", False), ("要修正", "run", False), ("TODO: 待补充", "run", False), ("/// 排序表", "排序表", False), ("円", "run", False), ("Converts 円", "converts", False),
+    ("如果表中超过两行就等待", "run", True),
+])
+def test_docs_of_several_scripts(doc, name, want):
+    assert informative(doc, name, f"def {name}(x)") is want
