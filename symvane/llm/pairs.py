@@ -38,6 +38,10 @@ _COMMENT_LINE = re.compile(r"^\s*(?:///?[/!]?|#(?!\[|!\[|include|define|if|endif
 _ATTRIBUTE = re.compile(r"^\s*(?:@\w[\w.]*(?:\(.*\))?|#!?\[.*\]|\[[A-Z]\w*.*\])\s*$")
 _TRIPLE = re.compile(r"^\s*[rRuUbB]?(\"\"\"|''')")
 
+_COMMENTED = re.compile(r"\s+(?://|#(?!\[)|--\s).*$")
+_QUIET = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|'[^'\\]*'(?=\s*[,)\]])|//.*$|#(?!\[).*$|--\s.*$|/\*.*?\*/")
+_NEXT = re.compile(r"^\s*(?:(?:pub(?:\([^)]*\))?|export|default|public|private|protected|static|async|local|unsafe|const|suspend|override)\s+)*(?:def|fn|func|fun|function|class|struct|impl|interface|trait|enum)\s+\w")
+
 
 @dataclass
 class Function:
@@ -53,6 +57,19 @@ def _braces(line: str) -> int:
     return plain.count("{") - plain.count("}")
 
 
+def _signature_end(lines: list[str], at: int) -> int | None:
+    """The line on which the brackets opened on line `at` are closed; None if they never are before the next definition."""
+    depth = 0
+    for k in range(at, len(lines)):
+        if k > at and _NEXT.match(lines[k]):
+            return None
+        plain = _QUIET.sub("", lines[k])
+        depth += plain.count("(") + plain.count("[") - plain.count(")") - plain.count("]")
+        if depth <= 0:
+            return k
+    return None
+
+
 def _body(lines: list[str], at: int, kind: str, pad: int) -> int:
     """The last line of a function whose signature stands on line `at`."""
     if kind == "indent":
@@ -119,21 +136,32 @@ def functions(source: str) -> list[Function]:
         if not line.strip():
             k += 1
             continue
+        last, whole = k, line
+        if _COMMENTED.sub("", line).rstrip().endswith(("(", ",", "[")) or _NEXT.match(line):
+            last = _signature_end(lines, k)
+            last = k if last is None else last
+        if last > k:
+            inner = [_COMMENTED.sub("", x).strip() for x in lines[k : last + 1]]
+            whole = re.match(r"\s*", line)[0] + re.sub(r"([(\[]) | (?=[)\]])", r"\1", " ".join(x for x in inner if x))
         for kind, form in _SIGNATURES:
-            m = form.match(line)
+            m = form.match(line) or last > k and form.match(whole)
             if m:
-                if kind == "indent" and not re.search(r":\s*(?:#.*)?$|:\s*\S", line) and any(_END.match(x) for x in lines[k + 1 :]):
+                if kind == "indent" and not re.search(r":\s*(?:#.*)?$|:\s*\S", lines[last]) and any(_END.match(x) for x in lines[last + 1 :]):
                     kind = "end"
-                end = _body(lines, k, kind, len(m["pad"]))
+                end = _body(lines, last, kind, len(m["pad"]))
                 doc = "\n".join(block) if block and k - closed - 1 <= DISTANCE else ""
-                if not doc and k + 1 < len(lines) and (t := _TRIPLE.match(lines[k + 1])):
-                    held = [lines[k + 1]]
-                    for j in range(k + 2, end + 1):
+                first = last + 1
+                while kind == "indent" and first < end and not lines[first].strip():
+                    first += 1
+                if not doc and first < len(lines) and (t := _TRIPLE.match(lines[first])):
+                    held = [lines[first]]
+                    for j in range(first + 1, end + 1):
                         if held[-1].count(t[1]) and (len(held) > 1 or held[0].count(t[1]) > 1):
                             break
                         held.append(lines[j])
                     doc = "\n".join(held)
-                out.append(Function(m["name"], line.strip().rstrip("{").strip(), doc, k + 1, end + 1))
+                out.append(Function(m["name"], whole.strip().rstrip("{").strip(), doc, k + 1, end + 1))
+                k = last
                 break
         block = []
         k += 1

@@ -72,3 +72,16 @@ def test_frames(spark):
 ])
 def test_docs_of_several_scripts(doc, name, want):
     assert informative(doc, name, f"def {name}(x)") is want
+
+
+@pytest.mark.parametrize(("source", "signature", "doc", "lines"), [
+    ('def load(\n    path: str,  # where (it is\n    mode: str = ")",\n) -> int:\n\n    """Reads the table from disk."""\n    return 1\n\nx = 2\n', 'def load(path: str, mode: str = ")",) -> int:', '    """Reads the table from disk."""', (1, 7)),
+    ('def load(a):\n\n    """Reads the table from disk."""\n    return 1\n', "def load(a):", '    """Reads the table from disk."""', (1, 4)),
+    ("/// Reads the table from disk.\npub fn load(\n    path: &str,\n    mode: u8,\n) -> bool {\n    if mode { 1 }\n}\n", "pub fn load(path: &str, mode: u8,) -> bool", "/// Reads the table from disk.", (2, 7)),
+    ("class A {\n  // Reads the table from disk.\n  load(\n    path: string,\n  ): void {\n    x();\n  }\n}\n", "load(path: string,): void", "  // Reads the table from disk.", (3, 7)),
+    ("# Reads the table from disk.\ndef load(a,\n         b)\n  a + b\nend\n", "def load(a, b)", "# Reads the table from disk.", (2, 5)),
+    ("# Reads the table from disk.\ndef load(\ndef other(a):\n    pass\n", "def load(", "# Reads the table from disk.", None),
+])
+def test_signatures_over_several_lines(source, signature, doc, lines):
+    f = functions(source)[0]
+    assert (f.signature, f.doc) == (signature, doc) and lines in (None, (f.line, f.end_line))
