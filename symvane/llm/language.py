@@ -55,7 +55,7 @@ ROMAN = str.maketrans(dict(zip(_CYRILLIC, _ROMAN)))
 _RUN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CAMEL = re.compile(r"[^\W\d_]*[^\W\d_A-Z][A-Z]")
 _NAMED = "[A-Za-zÀ-ɏЀ-ӿ0-9]"
-_PATH = re.compile(rf"[!-~]*(?:[/\\\\][!-~]+|[A-Za-z0-9]\.(?:[a-z]{{1,4}}|\w+\()(?![A-Za-z0-9])[!-~]*|[A-Za-z0-9]::[!-~]*|[A-Za-z0-9]\([!-~]*|[A-Za-z][0-9][!-~]*)|{_NAMED}*(?:_{_NAMED}*)+\(?\)?")
+_PATH = re.compile(rf"(?<![!-~])[!-~]*(?:[/\\\\][!-~]+|[A-Za-z0-9]\.(?:[a-z]{{1,4}}|\w++\()(?![A-Za-z0-9])[!-~]*|[A-Za-z0-9]::[!-~]*|[A-Za-z0-9]\([!-~]*|[A-Za-z][0-9][!-~]*)|(?:(?<!{_NAMED}){_NAMED}++)?(?:_{_NAMED}*+)++\(?\)?")
 _SIGNATURE = re.compile(r"^\W*(?:(?:pub|async|static|export|public|private|protected|final|override|virtual|inline|unsafe|extern|abstract)\s+)*(?:fn|def|func|function|let|const|var|val|class|struct|enum|interface|trait|impl|return|import|module|namespace|macro_rules!|type|int|void|bool|char|double|float|string|auto)\s+[&*]*\w+\s*(?:[(<{=:;]|$)|->|=>|:=|[;{}]\s*$|\)\s*[:{]\s*$", re.I)
 _WORDS_OF_NAME = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ]+(?![^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ])|[A-ZÀ-ÖØ-ÞА-ЯЁ]?[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ]+")
 

@@ -35,13 +35,14 @@ BLOCK = 2_000_000
 
 _HIDDEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏⠀ㅤ︀-️ﾠ]|\x1b\[[0-9;]*[A-Za-z]")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]*)?/?>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
+_TAG_OR_NOTE = re.compile(_TAG.pattern + r"|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)|\]\[[^\]\n]*\]")
 _ESCAPE = re.compile(r"\\(?:[nrt]|u200[b-f]|ufeff)")
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?(?=\{)")
 _ROLE = re.compile(r":[A-Za-z][A-Za-z-]*:(?=`)")
 _NOTE = re.compile(r"\[\^?\d{1,3}\]")
-_PARTED = re.compile(r"(?<=[^\W\d_])[-‐]\r?\n[ \t]*(?:(?://[/!]?|\*|#|>|--|\|)[ \t]*)*(?=[^\W\d_])")
+_PARTED = re.compile(r"(?<=[^\W\d_])[-‐]\r?\n[ \t]*+(?:(?:/{2,}+!?|\*|#|>|--|\|)[ \t]*+)*+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBERED = re.compile(r"^([^\w\n]*)\d{1,4}([.):\]|]|\t| {2,})(?=\s|\W)", re.M)
 
@@ -53,7 +54,9 @@ def words(text: str) -> list[str]:
     elif "\x1b" in text:
         text = _HIDDEN.sub("", text)
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE.sub("", text))
+        text = _INLINE.sub("", text)
+        closed = text.rfind("-->") + 3  # beyond it no note ends, so none is looked for
+        text = _TAG_OR_NOTE.sub(" ", text[:closed]) + _TAG.sub(" ", text[closed:]) if closed > 2 else _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
         if not text.isascii():

@@ -20,27 +20,32 @@ from pyspark.sql import types as T
 
 #: Lines that may lie between a comment and its signature (attributes and decorators aside).
 DISTANCE = 1
-
-_MODIFIERS = r"(?:(?:pub(?:\([^)]*\))?|export|default|public|private|protected|internal|static|async|final|abstract|override|virtual|inline|constexpr|extern(?:\s+\"[^\"]*\")?|unsafe|const|sealed|synchronized|native|local|suspend|open|fileprivate|mutating|class)\s+)*"
-_NAME = r"(?P<name>[^\W\d]\w*[!?=]?)"
-_SIGNATURES = [
-    ("indent", re.compile(rf"^(?P<pad>\s*)(?:async\s+)?def\s+{_NAME}\s*\(.*$")),
-    ("brace", re.compile(rf"^(?P<pad>\s*){_MODIFIERS}(?:fn|func|fun|function\s*\*?)\s+(?:\([^)]*\)\s*)?{_NAME}\s*(?:<[^>]*>)?\s*[(\[].*$")),
-    ("end", re.compile(rf"^(?P<pad>\s*)(?:local\s+)?(?:def|function|defp?)\s+(?:self\.|[\w.]+[.:])?{_NAME}\s*(?:\(.*\))?(?:\s+do)?\s*$")),
-    ("brace", re.compile(rf"^(?P<pad>\s*){_MODIFIERS}(?!(?:return|else|new|throw|case|if|for|while|switch|catch|await|let|var|import|using|delete|typedef|goto)\b)(?:[^\W\d][\w:.<>,\[\]&*?]*\s+[&*]*)+(?:\w+::)*~?{_NAME}\s*\([^;]*\)?[^;=]*$")),
-    ("brace", re.compile(rf"^(?P<pad>\s*){_MODIFIERS}(?!(?:if|for|while|switch|catch|return|else|function|with|do|try)\b){_NAME}\s*\([^;]*\)\s*(?::\s*[^{{;]+)?\{{\s*$")),
-    ("brace", re.compile(rf"^(?P<pad>\s*)(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>).*$")),
-]
-_OPENS = re.compile(r"^\s*(?:(?:local\s+)?function\b|def\b|defp\b|class\b|module\b|if\b|unless\b|while\b|until\b|for\b|case\b|begin\b|do\b)|\bdo\s*(?:\|[^|]*\|)?\s*$|\bthen\s*$")
-_INLINE_END = re.compile(r"\bend\b\s*$")
-_END = re.compile(r"^\s*end\b")
-_COMMENT_LINE = re.compile(r"^\s*(?:///?[/!]?|#(?!\[|!\[|include|define|if|endif|pragma)|--+|;+|%+|\*(?!\w)|/\*)")
-_ATTRIBUTE = re.compile(r"^\s*(?:@\w[\w.]*(?:\(.*\))?|#!?\[.*\]|\[[A-Z]\w*.*\])\s*$")
-_TRIPLE = re.compile(r"^\s*[rRuUbB]?(\"\"\"|''')")
-
-_COMMENTED = re.compile(r"\s+(?://|#(?!\[)|--\s).*$")
-_QUIET = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|'[^'\\]*'(?=\s*[,)\]])|//.*$|#(?!\[).*$|--\s.*$|/\*.*?\*/")
-_NEXT = re.compile(r"^\s*(?:(?:pub(?:\([^)]*\))?|export|default|public|private|protected|static|async|local|unsafe|const|suspend|override)\s+)*(?:def|fn|func|fun|function|class|struct|impl|interface|trait|enum)\s+\w")
+#: Most lines of a signature; a bracket that stays open longer begins none.
+SIGNATURE_LINES = 500
+
+_MODIFIER = r"(?:pub(?:\([^()]*+\))?|export|default|public|private|protected|internal|static|async|final|abstract|override|virtual|inline|constexpr|extern(?:\s++\"[^\"]*+\")?|unsafe|const|sealed|synchronized|native|local|suspend|open|fileprivate|mutating|class)"
+_NAME = r"(?P<name>[^\W\d]\w*+[!?=]?)"
+_WORDED = re.compile(rf"^(?P<pad>\s*+)(?:{_MODIFIER}\s++)*+(?P<word>defp?|fn|func|fun|function)\b\s*+\*?\s*+(?:\([^()]*+\)\s*+)?(?:[^\W\d]\w*+(?:::|[.:]))*+{_NAME}")
+_ASSIGNED = re.compile(rf"^(?P<pad>\s*+)(?:export\s++)?(?:const|let|var)\s++{_NAME}\s*+=\s*+(?:async\s*+)?(?P<form>function\b|\()")
+_TYPED_NAME = re.compile(rf"^[&*]*+(?:\w++::)*+~?{_NAME}$")
+_TYPE_WORD = re.compile(r"^(?:[^\W\d][\w:.<>,\[\]&*?]*+|[&*]++|\"\w*+\")$")
+#: Before a bracket these open no function.
+_STATEMENTS = set("return else new throw case if for while switch catch await let var import using delete typedef goto function with do try elif unless until match yield assert del and or not in is".split())
+_OPENS = re.compile(r"^\s*+(?:(?:local\s++)?function\b|def\b|defp\b|class\b|module\b|if\b|unless\b|while\b|until\b|for\b|case\b|begin\b|do\b)|\bdo\s*+(?:\|[^|]*+\|\s*+)?$|\bthen\s*+$")
+_INLINE_END = re.compile(r"\bend\b\s*+$")
+_END = re.compile(r"^\s*+end\b")
+_COMMENT_LINE = re.compile(r"^\s*+(?:///?[/!]?|#(?!\[|!\[|include|define|if|endif|pragma)|--+|;+|%+|\*(?!\w)|/\*)")
+_ATTRIBUTE = re.compile(r"^\s*+(?:@\w[\w.]*+(?:\(.*\))?|#!?\[.*\]|\[[A-Z].*\])\s*+$")
+_TRIPLE = re.compile(r"^\s*+[rRuUbB]?(\"\"\"|''')")
+_FENCED = re.compile(r"^\s*+(`{3,}+|~{3,}+)([^`]*+)$")
+
+_COMMENTED = re.compile(r"(?<!\s)\s++(?://|#(?!\[)|--\s).*$")
+_QUOTED = r"\"(?:\\.|[^\"\\])*+(?:\"|$)|'(?:\\.|[^'\\])'"
+_CURLY = re.compile(_QUOTED + r"|//.*$|/\*.*?(?:\*/|$)")
+_QUIET = re.compile(_QUOTED + r"|'[^'\\]*+'(?=\s*+[,)\]])|//.*$|#(?!\[).*$|--\s.*$|/\*.*?(?:\*/|$)")
+_NEXT = re.compile(r"^\s*+(?:(?:pub(?:\([^()]*+\))?|export|default|public|private|protected|static|async|local|unsafe|const|suspend|override)\s++)*+(?:def|fn|func|fun|function|class|struct|impl|interface|trait|enum)\s++\w")
+_AFTER_WORD = re.compile(r"^\s*+(?:\{|->|:|=|where\b|throws\b|;|//|#|do\b|$)")
+_AFTER_TYPED = re.compile(r"^\s*+(?:(?:const|noexcept|override|final|mutable|volatile|async)\b\s*+)*+(?:(?:throws\s|where\s|->|:)[^{;]*+)?(?:\{|$)")
 
 
 @dataclass
@@ -52,73 +57,178 @@ class Function:
     end_line: int
 
 
-def _braces(line: str) -> int:
-    plain = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*$|/\*.*?\*/", "", line)
-    return plain.count("{") - plain.count("}")
+@dataclass
+class _Open:
+    """A function whose body hasn't ended: what was open around it when it began."""
+
+    at: int
+    kind: str
+    pad: int
+    depth: int
+    ends: int
+    opened: bool = False
+
+
+def _fences(lines: list[str]) -> set[int]:
+    """Lines that open or close fenced code, those inside comments and docstrings left out."""
+    out: set[int] = set()
+    fence, until = "", None
+    for k, line in enumerate(lines):
+        m = _FENCED.match(line)
+        if fence:
+            if m and m[1].startswith(fence) and not m[2].strip():
+                out.add(k)
+                fence = ""
+        elif until:
+            until = None if until in line else until
+        elif m:
+            out.add(k)
+            fence = m[1]
+        elif (t := _TRIPLE.match(line)) and line.count(t[1]) == 1:
+            until = t[1]
+        elif line.lstrip().startswith("/*") and "*/" not in line:
+            until = "*/"
+    return out
+
+
+def _closings(lines: list[str], fences: set[int]) -> dict[int, int]:
+    """For lines that leave a bracket open the line that closes the first of these, unless another definition comes first."""
+    out: dict[int, int] = {}
+    stack: list[tuple[int, bool]] = []  # (line, first one open of its line)
+    for k, line in enumerate(lines):
+        if k in fences or stack and _NEXT.match(line):
+            stack = []
+        if not any(c in line for c in "()[]"):
+            continue
+        for c in _QUIET.sub("", line):
+            if c in "([":
+                stack.append((k, not stack or stack[-1][0] != k))
+            elif c in ")]" and stack:
+                at, first = stack.pop()
+                if first and at < k <= at + SIGNATURE_LINES:
+                    out[at] = k
+    return out
 
 
-def _signature_end(lines: list[str], at: int) -> int | None:
-    """The line on which the brackets opened on line `at` are closed; None if they never are before the next definition."""
+def _after(text: str, at: int) -> str | None:
+    """What follows the bracket that is closed after position `at`; None if none is, or it stays open."""
     depth = 0
-    for k in range(at, len(lines)):
-        if k > at and _NEXT.match(lines[k]):
+    for m in re.finditer(_QUOTED + r"|[()]", text[at:]):
+        if m[0] == "(":
+            depth += 1
+        elif m[0] == ")":
+            depth -= 1
+            if depth <= 0:
+                return text[at + m.end() :] if not depth else None
+    return None
+
+
+def _signature(text: str, below: str, ends_later: bool) -> tuple[str, str, int] | None:
+    """(kind, name, indentation) of the function that a line or joined lines declare; a name beside a bracket in prose declares none.
+
+    `below` is the next line that isn't blank: it may hold the brace that opens the body.
+    """
+    if m := _WORDED.match(text):
+        rest, word = text[m.end() :], m["word"]
+        at = rest.find("(")
+        if at < 0 or rest[:at].strip() and rest.lstrip()[0] not in "<[":
+            return ("end", m["name"], len(m["pad"])) if word.startswith("def") and rest.strip() in ("", "do") else None
+        after = _after(rest, at)
+        if after is None and not rest.rstrip().endswith(("(", ",")):
+            return None
+        if after is not None and not _AFTER_WORD.match(after) and not (word[0] == "f" and after.rstrip().endswith(("{", "}"))):
             return None
-        plain = _QUIET.sub("", lines[k])
-        depth += plain.count("(") + plain.count("[") - plain.count(")") - plain.count("]")
-        if depth <= 0:
-            return k
+        if word.startswith("def"):
+            block = after is None or bool(re.match(r"\s*+(?:->.*)?:", after))
+            return "indent" if word == "def" and (block or not ends_later) else "end", m["name"], len(m["pad"])
+        lua = word == "function" and after is not None and not after.strip() and not below.lstrip().startswith("{") and ends_later
+        return "end" if lua else "brace", m["name"], len(m["pad"])
+    if m := _ASSIGNED.match(text):
+        after = _after(text, m.end() - 1) if m["form"] == "(" else "=>"
+        return ("brace", m["name"], len(m["pad"])) if after and re.match(r"\s*+(?::[^=]++)?=>", after) else None
+    at = text.find("(")
+    if at <= 0 or "{" not in text and "=>" not in text and not below.lstrip().startswith("{"):
+        return None
+    head = text[:at].split()
+    if not head or head[0] in _STATEMENTS or not (m := _TYPED_NAME.match(head[-1])) or m["name"] in _STATEMENTS or not all(_TYPE_WORD.match(w) for w in head[:-1]):
+        return None
+    after = _after(text, at)
+    if after is None:
+        return None
+    opened = "{" in after and bool(_AFTER_TYPED.match(after)) or len(head) > 1 and after.lstrip().startswith("=>")
+    if opened or len(head) > 1 and below.lstrip().startswith("{") and _AFTER_TYPED.match(after):
+        return "brace", m["name"], len(text) - len(text.lstrip())
     return None
 
 
-def _body(lines: list[str], at: int, kind: str, pad: int) -> int:
-    """The last line of a function whose signature stands on line `at`."""
-    if kind == "indent":
-        k = at
-        while k < len(lines) and not lines[k].rstrip().endswith(":") and k < at + 40 and ":" not in lines[k]:
-            k += 1
-        last = min(k, len(lines) - 1)
-        for k in range(last + 1, len(lines)):
-            if lines[k].strip():
-                if len(lines[k]) - len(lines[k].lstrip()) <= pad:
-                    break
-                last = k
-        return last
-    if kind == "end":
-        stack = 1
-        for k in range(at + 1, len(lines)):
-            if _END.match(lines[k]):
-                stack -= 1
-                if not stack:
-                    return k
-            elif _OPENS.search(lines[k]) and not _INLINE_END.search(lines[k]):
-                stack += 1
-        return len(lines) - 1
-    depth, opened = 0, False
-    for k in range(at, len(lines)):
-        opened |= "{" in lines[k]
-        depth += _braces(lines[k])
-        if opened and depth <= 0:
-            return k
-        if not opened and (lines[k].rstrip().endswith(";") or k > at + 40 or k + 1 < len(lines) and not lines[k + 1].strip()):
-            return k
-    return len(lines) - 1
-
-
-def functions(source: str) -> list[Function]:
-    """All functions and methods of a source text, with the comment that documents each ('' if none)."""
+def functions(source: str, declared: dict[int, str] | None = None) -> list[Function]:
+    """All functions and methods of a source text, with the comment that documents each ('' if none).
+
+    Bodies are delimited in one pass by a stack of open functions: those of an indentation end where a line comes
+    back to it, those of braces where their depth is reached again, those of end keywords at their own `end`. Fenced
+    code is code of its own: neither comments nor bodies reach over a fence. `declared` names lines (from 1) that are
+    known to declare a function, whatever they look like.
+    """
     lines = re.split(r"\r\n|\n|\r", source)
-    out, block, closed, fence = [], [], -1, None  # block: comment lines just met, the last of them on line `closed`
+    fences = _fences(lines)
+    closings = _closings(lines, fences)
+    last_end = max((k for k, x in enumerate(lines) if _END.match(x)), default=-1)
+    below = [""] * (len(lines) + 1)  # the next line that isn't blank
+    for k in range(len(lines) - 1, -1, -1):
+        below[k] = below[k + 1] if k + 1 >= len(lines) or not lines[k + 1].strip() else lines[k + 1]
+    out: list[Function] = []
+    stack: list[_Open] = []
+    block: list[str] = []  # comment lines just met, the last of them on line `closed`
+    closed, until, ink, depth, ends = -1, None, -1, 0, 0
+
+    def end(line: int) -> None:
+        out[stack.pop().at].end_line = line + 1
+
+    def count(first: int, last: int, declared: bool) -> None:
+        """Braces and end keywords of lines, and what they end."""
+        nonlocal depth, ends
+        for k in range(first, last + 1):
+            line = lines[k]
+            plain = _CURLY.sub("", line) if "{" in line or "}" in line else ""
+            depth += plain.count("{") - plain.count("}")
+            if stack and stack[-1].kind == "brace":
+                stack[-1].opened |= "{" in plain
+                while stack and stack[-1].kind == "brace" and stack[-1].opened and depth <= stack[-1].depth:
+                    end(k)
+                if k == last and stack and stack[-1].kind == "brace" and not stack[-1].opened and (line.rstrip().endswith(";") or k + 1 >= len(lines) or not lines[k + 1].strip()):
+                    end(k)
+            elif stack and stack[-1].kind == "end" and not declared:
+                if _END.match(line):
+                    ends -= 1
+                    if ends <= stack[-1].ends:
+                        end(k)
+                elif _OPENS.search(line) and not _INLINE_END.search(line):
+                    ends += 1
+
     k = 0
     while k < len(lines):
         line = lines[k]
-        if fence is not None:
+        if k in fences:
+            while stack:
+                end(ink if stack[-1].kind == "indent" else k - 1)
+            block, closed, until, depth, ends = [], -1, None, 0, 0
+            k += 1
+            continue
+        if until is not None:
             block.append(line)
             closed = k
-            if fence in line:
-                fence = None
+            if until in line:
+                until = None
+            ink = k if line.strip() else ink
             k += 1
             continue
-        opening = "*/" if re.match(r"^\s*/\*", line) and "*/" not in line else None
+        if not line.strip():
+            k += 1
+            continue
+        indent = len(line) - len(line.lstrip())
+        while stack and stack[-1].kind == "indent" and indent <= stack[-1].pad:
+            end(ink)
+        opening = "*/" if line.lstrip().startswith("/*") and "*/" not in line else None
         triple = _TRIPLE.match(line)
         if triple and line.count(triple[1]) == 1:
             opening = triple[1]
@@ -126,45 +236,49 @@ def functions(source: str) -> list[Function]:
             if k - closed > DISTANCE + 1:
                 block = []
             block.append(line)
-            closed, fence = k, opening
+            closed, until, ink = k, opening, k
             k += 1
             continue
         if _ATTRIBUTE.match(line):
             closed += 1 if closed == k - 1 else 0
-            k += 1
-            continue
-        if not line.strip():
+            ink = k
             k += 1
             continue
         last, whole = k, line
-        if _COMMENTED.sub("", line).rstrip().endswith(("(", ",", "[")) or _NEXT.match(line):
-            last = _signature_end(lines, k)
-            last = k if last is None else last
-        if last > k:
+        if k in closings and (_NEXT.match(line) or _COMMENTED.sub("", line).rstrip().endswith(("(", ",", "["))):
+            last = closings[k]
             inner = [_COMMENTED.sub("", x).strip() for x in lines[k : last + 1]]
             whole = re.match(r"\s*", line)[0] + re.sub(r"([(\[]) | (?=[)\]])", r"\1", " ".join(x for x in inner if x))
-        for kind, form in _SIGNATURES:
-            m = form.match(line) or last > k and form.match(whole)
-            if m:
-                if kind == "indent" and not re.search(r":\s*(?:#.*)?$|:\s*\S", lines[last]) and any(_END.match(x) for x in lines[last + 1 :]):
-                    kind = "end"
-                end = _body(lines, last, kind, len(m["pad"]))
-                doc = "\n".join(block) if block and k - closed - 1 <= DISTANCE else ""
-                first = last + 1
-                while kind == "indent" and first < end and not lines[first].strip():
-                    first += 1
-                if not doc and first < len(lines) and (t := _TRIPLE.match(lines[first])):
-                    held = [lines[first]]
-                    for j in range(first + 1, end + 1):
-                        if held[-1].count(t[1]) and (len(held) > 1 or held[0].count(t[1]) > 1):
-                            break
-                        held.append(lines[j])
-                    doc = "\n".join(held)
-                out.append(Function(m["name"], whole.strip().rstrip("{").strip(), doc, k + 1, end + 1))
-                k = last
-                break
+        found = _signature(whole, below[last], last_end > last)
+        if found is None and declared and k + 1 in declared:
+            found = "brace", declared[k + 1], indent
+        if found is None:
+            last = k
+            count(k, k, False)
+        else:
+            kind, name, pad = found
+            if stack and stack[-1].kind == "brace" and not stack[-1].opened:
+                end(ink)  # one without a body
+            doc = "\n".join(block) if block and k - closed - 1 <= DISTANCE else ""
+            first = last + 1
+            while kind == "indent" and first + 1 < len(lines) and not lines[first].strip() and first not in fences:
+                first += 1
+            if not doc and kind == "indent" and first < len(lines) and (t := _TRIPLE.match(lines[first])) and len(lines[first]) - len(lines[first].lstrip()) > pad:
+                held = [lines[first]]
+                for j in range(first + 1, len(lines)):
+                    if held[-1].count(t[1]) and (len(held) > 1 or held[0].count(t[1]) > 1) or j in fences:
+                        break
+                    held.append(lines[j])
+                doc = "\n".join(held)
+            stack.append(_Open(len(out), kind, pad, depth, ends))
+            ends += kind == "end"
+            out.append(Function(name, whole.strip().rstrip("{").strip(), doc, k + 1, last + 1))
+            count(k, last, True)
         block = []
-        k += 1
+        ink = last
+        k = last + 1
+    while stack:
+        end(ink if stack[-1].kind == "indent" else len(lines) - 1)
     return out
 
 
@@ -179,14 +293,14 @@ NOTICES = r"licensed under|all rights reserved|\bcopyright\b|\(c\)\s*\d{4}|spdx-
 _PLACEHOLDER_WORDS, _ASKED, _FILLER = set(PLACEHOLDERS.split()), set(ASKED.split()), set(FILLER.split())
 _NOTICE = re.compile(NOTICES, re.I)
 _SYNTAX = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!\*)(?=\s|$|@)|//[/!]*|#+(?=\s|$)|--+(?=\s|$)|;+|%+|\"\"\"|'''|<!--)?[ \t]?", re.M)
-_SYNTAX_END = re.compile(r"(?:\*+/|\"\"\"|'''|-->)\s*$", re.M)
+_SYNTAX_END = re.compile(r"(?:(?<!\*)\*++/|\"\"\"|'''|-->)\s*$", re.M)
 _FENCE_BLOCK = re.compile(r"^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _XML = re.compile(r"</?[A-Za-z][^<>]*/?>")
-_BRACED = re.compile(r"\{@\w+[^{}]*\}")
+_BRACED = re.compile(r"\{@\w[^{}]*+\}")
 _TAG_LINE = re.compile(r"^[ \t]*(?:[@\\](?P<tag>\w+)|:(?P<field>[\w ]+):|#(?P<region>(?:end)?region\b.*)|(?P<section>(?:Args|Arguments|Parameters|Params|Returns|Raises|Throws|Yields)):)(?P<rest>.*)$", re.M)
 _NAMED_TAGS = {"param", "arg", "argument", "throws", "throw", "exception", "raises", "raise", "tparam", "typeparam", "property", "prop", "field", "var", "type", "rtype", "template"}
 _POINTER_TAGS = {"see", "link", "seealso", "sa", "inheritdoc", "copydoc", "ref", "since", "version", "author", "date", "override", "internal", "private", "public", "protected", "ignore", "hidden", "meta", "api", "deprecated", "category", "package", "module", "file"}
-_POINTER = re.compile(r"^\W*(?:see(?: also)?|cf\.?|refer to|siehe|vgl\.?|voir|véase|ver|см\.?|参见|参照)\s*:?\s+(?:the\s+)?[`'\"]?[\w./:#()<>-]+[`'\"]?\W*$", re.I)
+_POINTER = re.compile(r"^\W*(?:see(?: also)?|cf\.?|refer to|siehe|vgl\.?|voir|véase|ver|см\.?|参见|参照)(?:\s*+:)?\s++(?:the\s++)?[`'\"]?[\w./:#()<>-]++[`'\"]?\W*+$", re.I)
 _CODE_LINE = re.compile(r"->|=>|::\w+\(|^\s*(?:(?:pub|async|static|export|public|private|protected|inline|unsafe|extern|abstract|final|override)\s+)*(?:fn|def|func|function|let|const|var|class|struct|enum|interface|trait|impl|macro_rules!|type|mod|module|namespace|import|use|package)\s+\S+\s*[(<{=:;]|[;{}]\s*$|^\s*(?:[\w<>\[\]:*&]+\s+)+\w+\([^.!?]*\)\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PART = re.compile(r"[A-ZÀ-ÞА-Я]+(?![^\W\d_A-ZÀ-ÞА-Я])|[A-ZÀ-ÞА-Я]?[^\W\d_A-ZÀ-ÞА-Я]+|\d+")
@@ -294,29 +408,36 @@ def code_doc_pairs(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def as_source(doc: str, signature: str) -> str:
-    """A stored comment and signature as the source lines they came from."""
+def as_source(doc: str, signature: str) -> tuple[str, int]:
+    """A stored comment and signature as the source lines they came from, with an empty body, and the line of the signature."""
     lines = re.split(r"\r\n|\n|\r", doc)
-    if re.match(r"^\s*(?:/\*|\"\"\"|''')", doc) or all(_COMMENT_LINE.match(x) or not x.strip() for x in lines):
-        return f"{doc}\n{signature}"
-    return "\n".join(f"// {x}" for x in lines) + f"\n{signature}"
+    held = doc.strip()
+    whole = any(held.startswith(a) and len(held) >= len(a) + len(b) and held.find(b, len(a)) == len(held) - len(b) for a, b in (("/*", "*/"), ('"""', '"""'), ("'''", "'''")))
+    if not whole and (held.startswith("/*") or not all(_COMMENT_LINE.match(x) and "/*" not in x or not x.strip() for x in lines)):
+        lines = [f"// {x}" for x in lines]
+    while lines and not lines[-1].strip():
+        lines.pop()
+    head = signature.split("\n")[0].strip().rstrip("{").rstrip()
+    body = [f"{head.rstrip(':')}:", "    pass"] if re.match(r"(?:async\s+)?def\b", head) else [f"{head.rstrip(';')} {{", "}"]
+    return "\n".join([*lines, *body]), len(lines) + 1
 
 
 def stored_pairs(rows: DataFrame, id_col: str, name_col: str, signature_col: str, doc_col: str) -> DataFrame:
     """Pairs (id, name, signature, doc) of stored rows whose documentation is informative.
 
-    Each row's comment and signature are set as source and go through the extractor, which attaches the comment;
-    a signature that no form matches keeps its own comment. Null and blank documentation drops the row.
+    Each row's comment and signature are set as source, with an empty body, and go through the extractor: a row counts
+    only if the comment is attached to the signature's line. That line declares a function by the row's own kind, so a
+    null or odd signature is no reason to drop the row; null and blank documentation is.
     """
     slim = rows.filter(F.length(F.trim(F.col(doc_col))) > 0).select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(signature_col).alias("signature"), F.col(doc_col).alias("doc"))
 
+    def attached(name: str, signature: str, doc: str) -> str:
+        source, line = as_source(doc, signature)
+        return next((f.doc for f in functions(source, {line: name}) if f.line == line), "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for name, signature, doc in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                line = (signature or "").split("\n")[0]
-                found = [f for f in functions(as_source(doc, line)) if f.signature == line.strip().rstrip("{").strip()]
-                keep.append(informative(found[-1].doc if found and found[-1].doc else doc, name, signature))
-            yield batch.filter(pa.array(keep))
+            columns = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            yield batch.filter(pa.array([informative(attached(name or "", signature or "", doc), name, signature) for name, signature, doc in columns], pa.bool_()))
 
     return slim.mapInArrow(run, slim.schema)

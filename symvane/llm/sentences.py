@@ -64,19 +64,19 @@ class Trie:
 _TITLES, _MIDDLE, _NUMBERED, _ENDING, _ORDINAL = Trie(TITLES), Trie(MIDDLE), Trie(NUMBERED), Trie(ENDING), set(ORDINAL_AFTER.split())
 _EDGE = "﻿​‌‍⁠­"
 _LINE = re.compile(r"\r\n|\n|\r| | ")
-_FENCE = re.compile(r"[\s" + _EDGE + r"]*(?:(?:>|//[/!]?|--|\*|#|;+|%+)[ \t]*)*(`{3,}|~{3,})([^`\n]*)$")
-_COMMENT = re.compile(r"[\s" + _EDGE + r"]*(?:(?:///?!?|//!|--+|;+|%+|/\*+!?|\"\"\"|'''|<!--|>|\||＞)(?=\s|$)[ \t ]*)*")
+_FENCE = re.compile(r"[\s" + _EDGE + r"]*+(?:(?:>|/{2,}+!?|--|\*|#|;++|%++)[ \t]*+)*+(`{3,}+|~{3,}+)([^`\n]*+)$")
+_COMMENT = re.compile(r"[\s" + _EDGE + r"]*+(?:(?:///?!?|//!|--+|;+|%+|/\*+!?|\"\"\"|'''|<!--|>|\||＞)(?=\s|$)[ \t ]*)*")
 _STAR = re.compile(r"[" + _EDGE + r"]*[ \t]\*(?=\s|$)[ \t]*")
 _GLUED = re.compile(r"(?:///?!?|--|>|\"\"\"|''')(?=[^\W\d_]|[“«¿¡])")
 _HASH = re.compile(r"(#{1,6})[ \t ]+")
 _BULLET = re.compile(r"(?:[-*+•‣◦▪–·]|\[[ xX]\])[ \t 　]+(?:\[[ xX]\][ \t]+)?")
 _NUMBER = re.compile(r"\(?(\d{1,3}|[a-zA-Z])([.)])[ \t 　]+")
-_TAIL = re.compile(r"[\s" + _EDGE + r"]*(?:\*+/|-->|\"\"\"|''')?[\s" + _EDGE + r"]*$")
+_BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace()) + _EDGE
 _MARK = re.compile("[" + re.escape("".join(PAIRS) + "”»›」』)]}）】》〉］\"") + "]")
 _STOP = re.compile(r"[.!?…]+|[。！？｡．؟۔।॥‼⁇⁈⁉]+[.!?…。！？｡]*")
-_TOKEN = re.compile(r"[^\s(\[{“”„«»\"「」‚‘]+$")
+_TOKEN_STOPS = set("([{“”„«»\"「」‚‘")
 _NEXT = re.compile(r"[^\s,;:!?)\]}”»]+")
-_CODELIKE = re.compile(r"\w*_\w|[^\W\d_]+[a-z\d][A-Z]|\w+(?:/[\w.]+)+|\w+\(|\w+(?:::|\.)\w+[.(\w]*$")
+_CODELIKE = re.compile(r"\w*_\w|[^\W\d_]+[a-z\d][A-Z]|\w+(?:/[\w.]+)+|\w+\(|\w+(?:::|\.)\w[.(\w]*$")
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=[฀-ๅ็-๿])")
 _WESTERN = "A-Za-zÀ-ɏЀ-ӿ"
 _THAI_OUT = re.compile(rf"(?<=[\u0e00-\u0e7f])\s+(?=[A-ZÀ-ÞА-Я][a-zà-ÿа-яё]*(?:['’][{_WESTERN}]+)?\s+[{_WESTERN}\d][^\s]*\s+[{_WESTERN}\d])")
@@ -84,19 +84,50 @@ _ALNUM = re.compile(r"[^\W_]")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]$")
 
 
+#: Which openers a closer may close.
+_OPENERS = {c: [o for o, ends in PAIRS.items() if c in ends] for c in set("".join(PAIRS.values()))} | {'"': ['"']}
+
+
+def _tail(line: str) -> int:
+    """Where the blanks and the sign that closes a comment at the end of a line begin."""
+    held = line.rstrip(_BLANKS)
+    for sign in ("*/", "-->", '"""', "'''"):
+        if held.endswith(sign):
+            held = held[: -len(sign)]
+            return len((held.rstrip("*") if sign == "*/" else held).rstrip(_BLANKS))
+    return len(held)
+
+
+def _token(u: str, end: int) -> tuple[int, str]:
+    """The token that ends before position `end`, and where it begins."""
+    at = end
+    while at and not u[at - 1].isspace() and u[at - 1] not in _TOKEN_STOPS:
+        at -= 1
+    return at, u[at:end]
+
+
+def _token_before(u: str, end: int) -> str:
+    """The token before `end`, blanks between left out."""
+    while end and u[end - 1].isspace():
+        end -= 1
+    return _token(u, end)[1]
+
+
 def _pairs(u: str) -> list[tuple[int, int]]:
     """Outermost matched quotations and brackets of a block, as (open, close)."""
     stack: list[tuple[str, int]] = []
+    held: dict[str, list[int]] = {}  # of each opener its places on the stack
     found: list[tuple[int, int]] = []
     for m in _MARK.finditer(u):
         c, i = m[0], m.start()
-        at = next((k for k in range(len(stack) - 1, -1, -1) if c in (PAIRS.get(stack[k][0]) or '"')), None) if stack else None
-        if c == '"' and at is not None and stack[at][0] != '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
+        at = max((held[o][-1] for o in _OPENERS.get(c, ()) if held.get(o)), default=None)
         if at is not None and (c == '"' or c not in PAIRS or c == "“"):
             found.append((stack[at][1], i))
+            for o, _ in stack[at:]:
+                held[o].pop()
             del stack[at:]  # what was opened inside and never closed counts as plain text
         elif c in PAIRS or c == '"':
+            held.setdefault(c, []).append(len(stack))
             stack.append((c, i))
     found.sort()
     outer: list[tuple[int, int]] = []
@@ -110,8 +141,11 @@ def _cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
 
 
-def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
-    """Whether the terminator u[a:b], closed by u[b:e] and followed by u[nxt:], ends a sentence."""
+def _ends(u: str, a: int, b: int, e: int, nxt: int, look: int, ink: int) -> bool:
+    """Whether the terminator u[a:b], closed by u[b:e] and followed by u[nxt:], ends a sentence.
+
+    `look` is where the next letter or digit stands, `ink` where the block's first character that isn't blank does.
+    """
     run, closed, gap = u[a:b], e > b, nxt > e
     c = u[nxt]
     if c in ",;:，、；：،؛)]}）】" and not gap:
@@ -120,9 +154,6 @@ def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
         return not (closed and (c in GO_ON or c in ",;:，、；："))
     if not gap:
         return run[0] in "।॥؟۔" and c.isalpha()
-    look = nxt
-    while look < len(u) and not (u[look].isalnum()):
-        look += 1
     first = u[look] if look < len(u) else c
     small = first.islower()
     if run[0] in "!?؟।॥۔" or (len(run) > 1 and set(run) & set("!?")):
@@ -133,8 +164,7 @@ def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
         return not small or code
     if closed:
         return not small
-    m = _TOKEN.search(u, max(0, a - 60), a)
-    token = m[0] if m else ""
+    at, token = _token(u, a)
     low = token.casefold()
     digit = first.isdigit() or bool(word and re.match(r"v\d", word[0]))
     if _TITLES.ends(token) or _MIDDLE.ends(low):
@@ -148,15 +178,14 @@ def _ends(u: str, a: int, b: int, e: int, nxt: int) -> bool:
     if len(token) == 1 and token.isalpha():
         if not token.isupper():
             return not small
-        before = _TOKEN.search(u[: m.start()].rstrip())
-        return c in PAIRS or c == '"' or bool(before and len(before[0]) > 1 and before[0].isalpha() and before[0].isupper())  # else an initial
+        before = _token_before(u, at)
+        return c in PAIRS or c == '"' or len(before) > 1 and before.isalpha() and before.isupper()  # else an initial
     if _ACRONYM.match(token):
         return not small
     if token.isdigit():
-        before = _TOKEN.search(u[: m.start()].rstrip()) if m else None
-        if m and not u[: m.start()].strip():
+        if at <= ink:
             return False
-        if before and before[0].casefold() in _ORDINAL and len(token) <= 3:
+        if len(token) <= 3 and _token_before(u, at).casefold() in _ORDINAL:
             return False
         return not small or code
     if not small or code:
@@ -171,6 +200,7 @@ def split_block(u: str) -> list[tuple[int, int]]:
     opens = [p[0] for p in pairs]
     quotes = {b for _, b in pairs}
     cuts = []
+    ink, look = len(u) - len(u.lstrip()), 0
 
     def inside(i: int) -> bool:
         k = bisect_right(opens, i) - 1
@@ -193,7 +223,11 @@ def split_block(u: str) -> list[tuple[int, int]]:
         nxt = e
         while nxt < len(u) and (u[nxt].isspace() or u[nxt] in _EDGE):
             nxt += 1
-        if nxt >= len(u) or _ends(u, a, b, e, nxt):
+        if look < nxt:
+            look = nxt
+            while look < len(u) and not u[look].isalnum():
+                look += 1
+        if nxt >= len(u) or _ends(u, a, b, e, nxt, look, ink):
             cuts.append(e)
     if any("฀" <= c <= "๿" for c in u):
         cuts = sorted({*cuts, *(m.start() for form in (_THAI, _THAI_OUT) for m in form.finditer(u) if not inside(m.start()))})
@@ -211,6 +245,15 @@ def split_block(u: str) -> list[tuple[int, int]]:
     return out
 
 
+def _closed(text: str, start: int, end: int) -> bool:
+    """Whether a line ends in a terminator or colon, whatever marks follow it."""
+    while end > start and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        if text[end - 1] in ".!?:…。！？।؟":
+            return True
+        end -= 1
+    return False
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Sentences of a text as (start, end) in code points."""
     out: list[tuple[int, int]] = []
@@ -280,7 +323,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             p = g.end()
         while p < len(line) and (line[p].isspace() or line[p] in _EDGE):
             p += 1
-        end = _TAIL.search(line).start()
+        end = _tail(line)
         rest = line[p:]
         if h := _HASH.match(rest):
             alone = len(h[1]) > 1 or not any(0 <= j < len(lines) and re.match(r"[\s﻿]*#[ \t]", text[lines[j][0] : lines[j][1]]) for j in (k - 1, k + 1))
@@ -297,8 +340,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
         item = _BULLET.match(rest)
         if item:
             body = rest[item.end() :]
-            last = text[block[-1][0] : block[-1][1]].rstrip() if block else ""
-            if block and kind != "item" and body[:1].islower() and not re.search(r"[.!?:…。！？।؟]\W*$", last):
+            if block and kind != "item" and body[:1].islower() and not _closed(text, *block[-1]):
                 item = None
             new = 0
         elif (item := _NUMBER.match(rest)) is not None:

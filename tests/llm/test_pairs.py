@@ -85,3 +85,78 @@ def test_docs_of_several_scripts(doc, name, want):
 def test_signatures_over_several_lines(source, signature, doc, lines):
     f = functions(source)[0]
     assert (f.signature, f.doc) == (signature, doc) and lines in (None, (f.line, f.end_line))
+
+
+PLANTED = """# Notes on reading
+
+When rankRibbon (see the guide) runs first, the reader leaves the table (about 5.52 kB).
+Note that fetch_row(x) may return nothing, and func (the old one) is gone.
+/// Opens the table and holds its lock.
+
+```py
+# Sorts the rows by their owner.
+def sort_rows(rows):
+    return sorted(rows)
+
+def bare(rows):
+    return rows
+```
+
+int total (of all rows) is what it returns {
+
+```c
+/* Frees every page of the pool. */
+static void free_pool(struct pool *p)
+{
+    for (;;) { break; }
+}
+```
+~~~lua
+-- Adds one row at the end.
+function add(t)
+  if t then
+    t.n = 1
+  end
+end
+local x = add(1)
+~~~
+~~~ts
+// Waits until the queue is empty.
+export const drain = async (q: Queue): Promise<void> => {
+  while (q.size) { await q.next(); }
+};
+class A {
+  // Closes the file twice, safely.
+  close(force: boolean): void {
+    x(() => { y(); });
+  }
+}
+~~~
+"""
+
+
+def test_prose_declares_nothing_and_fences_part_code():
+    got = {f.name: f for f in functions(PLANTED)}
+    assert {n: (f.line, f.end_line) for n, f in got.items()} == {"sort_rows": (9, 10), "bare": (12, 13), "free_pool": (20, 23), "add": (27, 31), "drain": (36, 38), "close": (41, 43)}
+    assert {n: bool(f.doc) for n, f in got.items()} == {"sort_rows": True, "bare": False, "free_pool": True, "add": True, "drain": True, "close": True}
+    assert functions("/// Opens it all.\n```\nfn a() {\n```\n}\nfn b() {}\n")[0].end_line == 3  # neither comment nor body crosses a fence
+    assert functions("/// Opens it all.\n```\nfn a() {\n```\n")[0].doc == ""
+
+
+def test_precision_and_recall_on_documents():
+    import re
+
+    import duckdb
+
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    want = found = both = 0
+    for (text,) in rows:  # planted functions stand at the start of a line, with a keyword and a bracket; prose holds none
+        lines = {k + 1 for k, x in enumerate(re.split(r"\r\n|\n|\r", text)) if re.match(r"\s*(?:def|fn|func|function)\s+\w+\s*\(", x)}
+        got = {f.line for f in functions(text)}
+        want, found, both = want + len(lines), found + len(got), both + len(lines & got)
+    assert want > 300 and both / want >= 0.98 and both / found >= 0.98
+
+
+def test_attachment_decides():
+    assert [f.doc for f in functions("// Opens it.\n\n\n\nodd one\n", {5: "odd"})] == [""]
+    assert [(f.name, f.doc) for f in functions("// Opens it.\nodd one\n", {2: "odd"})] == [("odd", "// Opens it.")]
