@@ -1,4 +1,4 @@
-"""Queries of the text problems (2, 4, 7, 8, 9)."""
+"""Queries of the problems for language models (2, 4, 5, 7, 8, 9)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from symvane.llm.language import Detector, labelled_sample, languages, source_la
 from symvane.llm.leakage import leaks
 from symvane.llm.pairs import code_doc_pairs, stored_pairs
 from symvane.llm.sentences import split_sentences
+from symvane.llm.topn import top_n
 from symvane.operators.incremental import latest
 from symvane.runtime import table, tasks_of
 
@@ -75,6 +76,14 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
     return code_doc_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The three leading references of every file and hotspots of every path."""
+    refs = top_n(table(spark, d, "tmp_refs"), ["file_id"], [("nsame", True), ("line", False)], "rid", 3)
+    spots = top_n(table(spark, d, "hotspots"), ["path"], [("callers", True), ("line", False)], "id", 3)
+    return refs.select(F.lit("refs").alias("list_name"), F.col("file_id").cast("string").alias("group_key"), "rank_no", F.col("rid").alias("item_id")).unionByName(
+        spots.select(F.lit("hotspots").alias("list_name"), F.col("path").alias("group_key"), "rank_no", F.col("id").alias("item_id")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encode(table(spark, d, "documents"), "doc_id", "text")
@@ -90,5 +99,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_documents, p4_found, p4_pairs, p4_sources, p7_ids, p8_found, p9_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_documents, p4_found, p4_pairs, p4_sources, p5_found, p7_ids, p8_found, p9_found)}
+SQL: dict[str, str] = {
+    "p5_found": """
+WITH a AS (SELECT DISTINCT rid, file_id, nsame, line FROM tmp_refs),
+b AS (SELECT DISTINCT id, path, callers, line FROM hotspots WHERE callers IS NOT NULL)
+SELECT * FROM (
+  SELECT 'refs' AS list_name, CAST(file_id AS VARCHAR) AS group_key, CAST(row_number() OVER (PARTITION BY file_id ORDER BY nsame DESC, line, rid) AS INT) AS rank_no, rid AS item_id FROM a
+  UNION ALL
+  SELECT 'hotspots', path, CAST(row_number() OVER (PARTITION BY path ORDER BY callers DESC, line, id) AS INT), id FROM b
+) WHERE rank_no <= 3""",
+}
