@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symvane.operators.topn import top_n
 from symvane.runtime import cut
 from symvane.schemas import GUESS, HEURISTIC, RESOLVED
 
@@ -148,7 +147,8 @@ def picks(loaded: DataFrame, candidates: DataFrame, few: int = FEW) -> DataFrame
     hot = asked.filter("many")
     held = own.join(hot.select("name", "family").distinct(), ["name", "family"], "left_semi")
     starts = lambda p: F.explode(F.transform(F.sequence(F.lit(0), F.octet_length(p)), lambda k: F.substring(F.hex(F.encode(p, "utf-8")), F.lit(1), 2 * k))).alias("start")
-    first = top_n(held.select("name", "family", "sid", "spath", starts(F.col("spath"))), ["name", "family", "start"], [("spath", False)], "sid", PICKS).drop("rank_no")
+    begin = Window.partitionBy("name", "family", "start").orderBy("spath", "sid")  # the limit below is applied in each task before the shuffle too
+    first = held.select("name", "family", "sid", "spath", starts(F.col("spath"))).withColumn("nth", F.row_number().over(begin)).filter(F.col("nth") <= PICKS).drop("nth")
     met = hot.select("name", "family", "file_id", "path", starts(F.col("path"))).join(first, ["name", "family", "start"]).drop("start").distinct()
     pairs = pairs.unionByName(met.join(own.select("sid", "sfile"), "sid"))
     best = Window.partitionBy("name", "family", "file_id").orderBy(F.col("shared").desc(), "spath", "sid")

@@ -1,15 +1,17 @@
-"""Queries of the general training-data problems (1, 3, 5, 6)."""
+"""Queries of the general training-data problems (1, 3, 6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symvane.operators.hierarchy import descendants, hierarchy
-from symvane.operators.incremental import changes, processed_ledger, watermark
+from symvane.operators.incremental import Ledger, changes, processed_ledger, watermark
 from symvane.operators.skew import balanced_distinct_count, balanced_join, heavy_keys, plan_loads
-from symvane.operators.topn import top_n
-from symvane.runtime import cut, table
+from symvane.runtime import cut, scratch_dir, table
 
 #: Least share of all rows of a heavy key.
 HEAVY_SHARE = 0.01
@@ -68,21 +70,40 @@ def p3_owners(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("owner", "owner_kind").agg(F.count(F.lit(1)).alias("refs"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The three leading references of every file and hotspots of every path."""
-    refs = top_n(table(spark, d, "tmp_refs"), ["file_id"], [("nsame", True), ("line", False)], "rid", 3)
-    spots = top_n(table(spark, d, "hotspots"), ["path"], [("callers", True), ("line", False)], "id", 3)
-    return refs.select(F.lit("refs").alias("list_name"), F.col("file_id").cast("string").alias("group_key"), "rank_no", F.col("rid").alias("item_id")).unionByName(
-        spots.select(F.lit("hotspots").alias("list_name"), F.col("path").alias("group_key"), "rank_no", F.col("id").alias("item_id")))
+VERSION = ["sig_hash", "body_hash"]
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """The symbols that the next run has to process."""
+def _processed(spark: SparkSession, d: str) -> DataFrame:
     plans = table(spark, d, "upsert_plans").filter("outcome = 'committed' AND finished_at IS NOT NULL")
     removals = plans.select(F.explode("removed").alias("id"), F.col("finished_at").alias("removed_at"))
-    version = ["sig_hash", "body_hash"]
-    ledger = cut(processed_ledger(table(spark, d, "old_symbols"), "id", version, "stored_at", removals))
-    return changes(table(spark, d, "symbols"), ledger, "id", version)
+    return processed_ledger(table(spark, d, "old_symbols"), "id", VERSION, "stored_at", removals)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols that the next run has to process."""
+    return changes(table(spark, d, "symbols"), cut(_processed(spark, d)), "id", VERSION)
+
+
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What a run over the symbols processes after one before it failed, by a ledger on shared storage."""
+    ledger = Ledger(spark, f"{scratch_dir(spark)}/symvane-ledger-{uuid.uuid4().hex}", "id", VERSION, T.LongType(), [T.LongType(), T.LongType()])
+    ledger.load(_processed(spark, d))
+    current = table(spark, d, "symbols").select("id", *VERSION).distinct()
+
+    def process(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        held = ledger.frame().select("id", F.lit(True).alias("known"))
+        kind = F.when(F.col("known"), "modified").otherwise("added")
+        return rows.join(held, "id", "left").select("id", kind.alias("change_kind")).unionByName(gone.select("id", F.lit("removed").alias("change_kind")))
+
+    def fail(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        raise RuntimeError("lost")
+
+    for step in (fail, process):
+        try:
+            found = ledger.run(ledger.pending(current), step, ledger.removed(current))
+        except RuntimeError:
+            continue
+    return found
 
 
 def p6_reread(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +113,7 @@ def p6_reread(spark: SparkSession, d: str) -> DataFrame:
     return plans.join(F.broadcast(since), F.col("planned_at") >= F.coalesce("since", "planned_at")).select("plan_id", "file_id", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owners, p5_found, p6_found, p6_reread)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_counts, p3_owners, p6_found, p6_reread, p6_runs)}
 
 _WALK = """
 WITH RECURSIVE s AS (SELECT DISTINCT id, parent_id, name FROM symbols),
@@ -141,14 +162,6 @@ SELECT 'owner', CAST(owner AS VARCHAR), count(*) FROM r GROUP BY owner""",
 WITH r AS (SELECT DISTINCT rid, owner FROM tmp_refs),
 o AS (SELECT DISTINCT id, kind FROM symbols UNION ALL SELECT id, 'shared ' || kind FROM shared_owners)
 SELECT r.owner, o.kind AS owner_kind, count(*) AS refs FROM r LEFT JOIN o ON o.id = r.owner GROUP BY 1, 2""",
-    "p5_found": """
-WITH a AS (SELECT DISTINCT rid, file_id, nsame, line FROM tmp_refs),
-b AS (SELECT DISTINCT id, path, callers, line FROM hotspots WHERE callers IS NOT NULL)
-SELECT * FROM (
-  SELECT 'refs' AS list_name, CAST(file_id AS VARCHAR) AS group_key, CAST(row_number() OVER (PARTITION BY file_id ORDER BY nsame DESC, line, rid) AS INT) AS rank_no, rid AS item_id FROM a
-  UNION ALL
-  SELECT 'hotspots', path, CAST(row_number() OVER (PARTITION BY path ORDER BY callers DESC, line, id) AS INT), id FROM b
-) WHERE rank_no <= 3""",
     "p6_reread": """
 WITH l AS (SELECT arg_max(planned_at, finished_at) AS own FROM upsert_plans WHERE outcome = 'committed'),
 w AS (SELECT min(planned_at) AS since FROM upsert_plans, l WHERE planned_at <= own AND (finished_at IS NULL AND coalesce(outcome, '') NOT IN ('failed', 'rolled_back') OR finished_at > own))
@@ -162,3 +175,4 @@ SELECT coalesce(c.id, h.id) AS id, CASE WHEN h.id IS NULL THEN 'added' WHEN c.id
 FROM cur c FULL JOIN held h ON h.id = c.id
 WHERE h.id IS NULL OR c.id IS NULL OR c.sig_hash <> h.sig OR c.body_hash <> h.body""",
 }
+SQL["p6_runs"] = SQL["p6_found"]

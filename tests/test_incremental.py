@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symvane.operators.incremental import Ledger, changes, latest, processed_ledger, watermark
+from symvane.operators.incremental import COMPACT_RUNS, Ledger, changes, latest, processed_ledger, watermark
 
 t = lambda d, h=0: datetime(2026, 1, d, h)
 
@@ -53,3 +53,53 @@ def test_runs_survive_failures(spark, tmp_path):
     more = source.union(spark.createDataFrame([(1, 2), (4, 4)], "id long, v long"))
     led.run(led.pending(more), lambda rows: seen.extend(r.id for r in rows.collect()))
     assert sorted(seen[3:]) == [1, 4]
+
+
+def ledger(spark, tmp_path):
+    return Ledger(spark, str(tmp_path / "ledger"), "id", ["v"], T.LongType(), [T.LongType()])
+
+
+def rows(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "id long, v long")
+
+
+def test_a_lazy_failure_leaves_everything_pending(spark, tmp_path):
+    led = ledger(spark, tmp_path)
+    source = rows(spark, (1, 1), (2, 2))
+    with pytest.raises(Exception, match="lost"):
+        led.run(led.pending(source), lambda df: df.select(F.raise_error(F.concat(F.lit("lost "), "id")).cast("string").alias("x")))
+    assert led.runs() == [] and led.pending(source).count() == 2
+    made = led.run(led.pending(source), lambda df: df.select("id", (F.col("v") * 10).alias("w")))
+    assert sorted((r.id, r.w) for r in made.collect()) == [(1, 10), (2, 20)] and led.pending(source).count() == 0
+
+
+def test_a_version_that_returns_is_pending(spark, tmp_path):
+    led = ledger(spark, tmp_path)
+    for v in (10, 11, 10):
+        source = rows(spark, (1, v), (2, 5))
+        assert 1 in {r.id for r in led.pending(source).collect()}
+        led.run(led.pending(source), lambda df: None)
+        assert led.pending(source).count() == 0
+    history = spark.createDataFrame([(1, 10, t(1)), (1, 11, t(2)), (1, 10, t(3)), (1, 12, None), (None, 1, t(9))], "id long, v long, at timestamp")
+    assert led.pending(history, "at").count() == 0 and [r.v for r in led.pending(history, "at", t(9)).collect()] == [12]
+
+
+def test_removed_and_added_again(spark, tmp_path):
+    led = ledger(spark, tmp_path)
+    led.run(rows(spark, (1, 1), (2, 2)), lambda df: None)
+    left = rows(spark, (1, 1))
+    assert [r.id for r in led.removed(left).collect()] == [2]
+    seen = []
+    led.run(led.pending(left), lambda df, gone: seen.extend(r.id for r in gone.collect()), led.removed(left))
+    assert seen == [2] and led.removed(left).count() == 0
+    assert [tuple(r) for r in led.pending(rows(spark, (1, 1), (2, 2))).collect()] == [(2, 2)]
+
+
+def test_runs_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("symvane.operators.incremental.COMPACT_RUNS", 3)
+    led = ledger(spark, tmp_path)
+    for k in range(6):
+        led.run(rows(spark, (k, k), (100, k)), lambda df: None)
+        assert len(led.runs()) <= 3 < COMPACT_RUNS
+    assert sorted((r.id, r.v) for r in led.frame().collect()) == [(k, k) for k in range(6)] + [(100, 5)]
+    assert len(list((tmp_path / "ledger").glob("run=*"))) == len(led.runs())
