@@ -5,10 +5,12 @@ learns its local root and its offset (number of links) below it, by path compres
 index arrays. Partitions follow a locality column (say the file), bin-packed by load with hot
 values split, so nearly all links end there. The parents that lie outside a child's partition
 form a much smaller forest of weighted links, one node each however many children they have. It
-is merged on the next level: in one task while it has at most `merge_rows` links, else by
-distributed pointer doubling, which closes chains in a logarithmic number of rounds and finds
-cycles exactly. Paths are then laid out by walking the indexed parents, local part after the
-part above it.
+is merged level by level: partitions are put together `FAN` at a time, the same forest runs in
+each, and only the links that others still point to from outside go up, until what is left fits
+one task. Where coarser partitions hold too much for a task, or chains are so long that their
+paths would, links are closed by distributed pointer doubling instead, which takes a logarithmic
+number of rounds and finds cycles exactly; open links alone take part in it. Paths are then laid
+out by walking the indexed parents, local part after the part above it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,10 @@ from symvane.runtime import MERGE_ROWS, cut, tasks_of
 BROADCAST_LINKS, BROADCAST_ELEMENTS = 20_000, 500_000
 #: Most nodes of one partition-local forest, beside as many tasks as the session plans for.
 TASK_ROWS = 250_000
+#: Partitions put together from one level of the merge to the next.
+FAN = 8
+#: Most path elements that one task of the merge makes.
+MERGE_ELEMENTS = 5_000_000
 #: What a chain ends in.
 ROOTED, ORPHAN, CYCLE, BELOW_CYCLE, OPEN = 0, 1, 2, 3, 4
 STATES = ["rooted", "orphan", "cycle", "below_cycle"]
@@ -35,7 +42,7 @@ STATES = ["rooted", "orphan", "cycle", "below_cycle"]
 _LOCAL = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("top", T.LongType()), T.StructField("off", T.IntegerType()),
     T.StructField("out_parent", T.LongType()), T.StructField("state", T.IntegerType()), T.StructField("cycle_min", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType())),
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("home", T.IntegerType()),
 ])
 
 
@@ -105,6 +112,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         "cycle_min": pa.array(ids[cycle], mask=good),
         "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[values])),
         "labels": pa.ListArray.from_arrays(pa.array(ends), labels.take(pa.array(values))),
+        "home": pa.array(np.full(len(ids), TaskContext.get().partitionId(), np.int32)),
     })
     yield from out.to_batches(max_chunksize=20_000)
 
@@ -112,19 +120,39 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINK = T.StructType([
     T.StructField("t", T.LongType()), T.StructField("jump", T.LongType()), T.StructField("root_id", T.LongType()),
     T.StructField("off", T.LongType()), T.StructField("state", T.IntegerType()), T.StructField("cycle_min", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType())),
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("home", T.IntegerType()),
 ])
+_ARROW_LINK = pa.schema([("t", pa.int64()), ("jump", pa.int64()), ("root_id", pa.int64()), ("off", pa.int64()), ("state", pa.int32()), ("cycle_min", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("home", pa.int32())])
+_SIZE = T.StructType([T.StructField("elements", T.LongType())])
+
+
+def _upward(t: np.ndarray, jump: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Where the link that each open link jumps to stands among sorted links; -1 for closed ones and jumps out of them."""
+    found = np.minimum(np.searchsorted(t, jump), max(len(t) - 1, 0))
+    return np.where((state == OPEN) & (t[found] == jump), found, -1)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many path elements `_merge_task` would make of these links: one row a task."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got).sort_by("t")
+    t, jump, state, size = (table[c].fill_null(0).to_numpy() for c in ("t", "jump", "state", "size"))
+    up = _upward(t, jump, state)
+    top, above, ended, _ = compress(up, size[np.maximum(up, 0)])
+    yield pa.RecordBatch.from_arrays([pa.array([int((size + np.where(ended == ROOTED, above, 0)).sum())], pa.int64())], names=["elements"])
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links between local roots at once; the caller has checked how many there are."""
+    """All links between the local roots of a task at once; those that jump out of it stay open, from their last link inside."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    rows = sorted(pa.Table.from_batches(got).to_pylist(), key=lambda r: r["t"])
-    at = {r["t"]: i for i, r in enumerate(rows)}
-    up = np.array([at[r["jump"]] if r["state"] == OPEN else -1 for r in rows])
-    top, off, state, cycle = compress(up, np.array([r["off"] for r in rows]))
+    table = pa.Table.from_batches(got).sort_by("t")
+    rows = table.to_pylist()
+    up = _upward(table["t"].to_numpy(), table["jump"].fill_null(0).to_numpy(), table["state"].to_numpy())
+    top, off, state, cycle = compress(up, np.array([r["off"] or 0 for r in rows]))
     smallest: dict[int, int] = {}
     for i, r in enumerate(rows):
         if state[i] == CYCLE:
@@ -139,32 +167,36 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return r | {"state": BELOW_CYCLE, "cycle_min": end["cycle_min"], "off": None, "ids": None, "labels": None}
         above = done[up[i]] if up[i] >= 0 else {"ids": [], "labels": [], "root_id": r["root_id"]}
         root = r["root_id"] if above["root_id"] is None else above["root_id"]
-        return r | {"state": end["state"], "root_id": root, "off": int(off[i]) + end["off"], "ids": above["ids"] + r["ids"], "labels": above["labels"] + r["labels"]}
+        return r | {"state": end["state"], "jump": end["jump"], "root_id": root, "off": int(off[i]) + end["off"], "ids": above["ids"] + r["ids"], "labels": above["labels"] + r["labels"]}
 
     for i in np.argsort(compress(up, np.ones(len(rows), np.int64))[1], kind="stable"):  # parents before children
         done[i] = finish(int(i)) if state[i] == ROOTED else {}
     out = [done[i] if state[i] == ROOTED else finish(i) for i in range(len(rows))]
-    arrow = pa.schema([("t", pa.int64()), ("jump", pa.int64()), ("root_id", pa.int64()), ("off", pa.int64()), ("state", pa.int32()), ("cycle_min", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string()))])
-    yield from pa.Table.from_pylist(out, schema=arrow).to_batches(max_chunksize=5_000)
-
-
-def _double(links: DataFrame) -> DataFrame:
-    """Every open link jumps over the link of the node it points to; offsets and path parts add up."""
-    far = links.select(F.col("t").alias("jump"), *[F.col(c).alias(f"f_{c}") for c in links.columns if c != "t"])
-    both = links.join(far, "jump", "left")
-    opened = F.col("state") == OPEN
-    through = opened & F.col("f_state").isin(ROOTED, ORPHAN, OPEN)
-    lost = opened & F.col("f_state").isin(CYCLE, BELOW_CYCLE)
-    return both.select(
+    yield from pa.Table.from_pylist(out, schema=_ARROW_LINK).to_batches(max_chunksize=5_000)
+
+
+def _through(links: DataFrame, far: DataFrame, tasks: int, count: int) -> DataFrame:
+    """Open links carried on over the links (`far`) of the nodes they point to; offsets and path parts add up. Closed links stay."""
+    ahead = far.select(F.col("t").alias("jump"), *[F.col(c).alias(f"f_{c}") for c in far.columns if c not in ("t", "home")])
+    opened = links.filter(F.col("state") == OPEN)
+    if count <= TASK_ROWS:  # one task would hold them, so no key can be too heavy
+        both = opened.join(ahead, "jump", "left")
+    else:
+        both = balanced_join(opened, ahead, ["jump"], ["t"], "left", plan_loads(opened, ["jump"], tasks))
+    through = F.col("f_state").isin(ROOTED, ORPHAN, OPEN)
+    lost = F.col("f_state").isin(CYCLE, BELOW_CYCLE)
+    moved = both.select(
         "t",
         F.when(through, F.col("f_jump")).otherwise(F.col("jump")).alias("jump"),
         F.when(through, F.coalesce("f_root_id", "root_id")).otherwise(F.col("root_id")).alias("root_id"),
         F.when(through, F.col("off") + F.col("f_off")).otherwise(F.col("off")).alias("off"),
-        F.when(lost, F.lit(BELOW_CYCLE)).when(opened, F.col("f_state")).otherwise(F.col("state")).alias("state"),
+        F.when(lost, F.lit(BELOW_CYCLE)).otherwise(F.col("f_state")).alias("state"),
         F.when(lost, F.col("f_cycle_min")).otherwise(F.col("cycle_min")).alias("cycle_min"),
         F.when(through, F.concat("f_ids", "ids")).otherwise(F.col("ids")).alias("ids"),
         F.when(through, F.concat("f_labels", "labels")).otherwise(F.col("labels")).alias("labels"),
-    )
+        "home",
+    )
+    return links.filter(F.col("state") != OPEN).unionByName(moved)
 
 
 def _loops(links: DataFrame, parts: DataFrame) -> DataFrame:
@@ -188,16 +220,32 @@ def _loops(links: DataFrame, parts: DataFrame) -> DataFrame:
     return step.join(on, "t", "left").join(ring, "jump").select("t", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.col("ring_least").alias("cycle_min"))
 
 
-def _merge(links: DataFrame, merge_rows: int) -> DataFrame:
-    """All links closed: each leads to the end of its chain, or is known to lead into a cycle."""
-    total, opened, held = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int")), F.sum(F.size("ids"))).first())
+def _merge(links: DataFrame, merge_rows: int, groups: int, tasks: int) -> DataFrame:
+    """All links closed: each leads to the end of its chain, or is known to lead into a cycle.
+
+    `groups` is the number of partitions (column home) that links have been merged in so far.
+    """
+    total, opened = (int(x or 0) for x in links.agg(F.count("t"), F.sum((F.col("state") == OPEN).cast("int"))).first())
     if not opened:
         return links
-    if total <= merge_rows and held <= 10 * merge_rows:
-        return cut(links.coalesce(1).mapInArrow(_merge_task, _LINK))
+    coarser = 1 if total <= merge_rows else max(-(-groups // FAN), -(-total // merge_rows)) if merge_rows else groups
+    if coarser < groups:
+        near = links.withColumn("home", F.floor(F.col("home") * coarser / groups).cast("int"))
+        placed = near.coalesce(1) if coarser == 1 else near.repartition(coarser, "home")
+        makes = placed.select("t", "jump", "state", F.coalesce(F.size("ids"), F.lit(0)).alias("size")).mapInArrow(_measure, _SIZE).agg(F.max("elements")).first()[0]
+        if makes <= MERGE_ELEMENTS:
+            merged = cut(placed.mapInArrow(_merge_task, _LINK))
+            if coarser == 1:
+                return merged
+            asked = merged.filter(F.col("state") == OPEN).select(F.col("jump").alias("t")).distinct()
+            upper = _merge(cut(merged.join(asked, "t", "left_semi")), merge_rows, coarser, tasks)
+            lower = _through(merged, upper, tasks, total)
+            ring = upper.filter(F.col("state") == CYCLE).select("t", F.lit(True).alias("__ring"), F.col("cycle_min").alias("__least"))  # they lie on the cycle themselves
+            on_ring = F.coalesce("__ring", F.lit(False))
+            return cut(lower.join(ring, "t", "left").withColumns({"state": F.when(on_ring, CYCLE).otherwise(F.col("state")), "cycle_min": F.when(on_ring, F.col("__least")).otherwise(F.col("cycle_min"))}).select(_LINK.names))
     first = links
     while opened:
-        links = cut(_double(links))
+        links = cut(_through(links, links, tasks, opened))
         before, opened = opened, links.filter(F.col("state") == OPEN).count()
         if opened == before:  # a chain of any length would have closed some: what is left runs into cycles
             return _close_cycles(first, links)
@@ -209,7 +257,7 @@ def _close_cycles(first: DataFrame, links: DataFrame) -> DataFrame:
     ahead = first.join(links.filter(F.col("state") == OPEN).select("t"), "t", "left_semi")
     none = F.lit(None).cast("bigint")
     looped = ahead.drop("state", "cycle_min", "off", "labels").join(_loops(ahead, ahead), "t").select(
-        "t", "jump", "root_id", none.alias("off"), F.when(F.col("on_cycle"), CYCLE).otherwise(BELOW_CYCLE).alias("state"), "cycle_min", "ids", F.lit(None).cast("array<string>").alias("labels"))
+        "t", "jump", "root_id", none.alias("off"), F.when(F.col("on_cycle"), CYCLE).otherwise(BELOW_CYCLE).alias("state"), "cycle_min", "ids", F.lit(None).cast("array<string>").alias("labels"), "home")
     return cut(links.filter(F.col("state") != OPEN).select(_LINK.names).unionByName(looped))
 
 
@@ -244,8 +292,9 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, lo
         "cycle_min",
         F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"),
         F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
+        F.coalesce("home", F.lit(0)).alias("home"),
     ))
-    merged = _merge(links, merge_rows)
+    merged = _merge(links, merge_rows, plan.tasks, plan.tasks)
     ring = merged.filter(F.col("state") == CYCLE).select(F.explode("ids").alias("id"), F.lit(True).alias("on_ring")).distinct()
     above = merged.select(F.col("t").alias("out_parent"), F.col("root_id").alias("up_root"), F.col("off").alias("up_off"), F.when(F.col("state") == CYCLE, BELOW_CYCLE).otherwise(F.col("state")).alias("up_state"), F.col("cycle_min").alias("up_cycle"), F.col("ids").alias("up_ids"), F.col("labels").alias("up_labels"))
     hanging = local.filter(F.col("state") == OPEN).drop("cycle_min")

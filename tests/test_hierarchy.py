@@ -75,3 +75,19 @@ def test_hot_parent_without_broadcast(spark, monkeypatch):
     rows = [(i, 7 if 100 < i < 400 else i // 2 if i else None, f"n{i}", i % 3 if i < 300 else 9) for i in range(500)] + [(900, 901, "o", 1), (902, 901, "o", 2), (903, 903, "c", 2)]
     df = spark.createDataFrame(rows, "id long, parent_id long, name string, f int")
     assert run(df, locality="f", merge_rows=0) == brute([x[:3] for x in rows])
+
+
+@pytest.mark.parametrize("elements", [10**6, 60])
+def test_levels_of_the_merge(spark, monkeypatch, elements):
+    from symvane.operators import hierarchy as mod
+
+    monkeypatch.setattr(mod, "FAN", 2)
+    monkeypatch.setattr(mod, "MERGE_ELEMENTS", elements)
+    r = random.Random(9)
+    rows = [(i, i - 1 if i else None, f"n{i}", i // 9) for i in range(120)] + [(200 + i, 200 + (i + 1) % 60, f"c{i}", i // 7) for i in range(60)]
+    rows += [(300 + i, r.choice([r.randrange(120), 200 + r.randrange(60), 299 + i, 900]), f"t{i}", i // 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, name string, f int")
+    calls = []
+    monkeypatch.setattr(mod, "_through", lambda *a, keep=mod._through: calls.append(a[0] is not a[1]) or keep(*a))
+    assert run(df, locality="f", merge_rows=60, tasks=8) == brute([x[:3] for x in rows])
+    assert any(calls) == (elements > 60)
