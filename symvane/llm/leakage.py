@@ -6,8 +6,11 @@ smallest, so any shared run of `min_words` words shares at least one kept finger
 fingerprints of corpus and items are joined, and each hit is extended to see whether a shared
 run of `min_words` words really spans it.
 
-Items go in blocks of at most `BLOCK` fingerprint hashes; each block's sorted hashes are sent
-to the tasks, which drop all other fingerprints of the corpus before anything is shuffled.
+While the items have at most `BLOCK` distinct fingerprint hashes, these are sent to the tasks,
+which drop all other fingerprints of the corpus before anything is shuffled. Beyond that bound
+nothing is sent: the corpus is winnowed once to pairs of document and hash, which meet the items'
+hashes in a join placed by load, and only documents with a hit are read again for the words
+around it. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from symvane.runtime import cut, spread
 
 #: Least length of a leaked passage, and words in a fingerprinted run.
 MIN_WORDS, GRAM = 12, 9
-#: Most distinct hashes of items that are sent to all tasks at once (16 bytes each at most).
+#: Most distinct hashes of items that are sent to all tasks (8 bytes each); beyond, they are joined.
 BLOCK = 2_000_000
 
 _HIDDEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏⠀ㅤ︀-️ﾠ]|\x1b\[[0-9;]*[A-Za-z]")
@@ -107,10 +110,18 @@ def fingerprints(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray
     return at, h[at].view(np.int64)
 
 
-def _prints(texts: DataFrame, id_col: str, text_col: str, as_id: str, min_words: int, gram: int, pad: str, wanted: np.ndarray | None) -> DataFrame:
-    """Kept fingerprints (id, hash, around) with the words around each; only those in `wanted` if given."""
-    slim = spread(texts.select(F.col(id_col).alias(as_id), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull()))
-    schema = T.StructType([slim.schema[as_id], T.StructField("hash", T.LongType()), T.StructField("around", T.ArrayType(T.StringType()))])
+def _slim(texts: DataFrame, id_col: str, text_col: str, as_id: str) -> DataFrame:
+    return texts.select(F.col(id_col).alias(as_id), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+
+
+def _prints(slim: DataFrame, min_words: int, gram: int, pad: str | None, wanted: np.ndarray | None = None) -> DataFrame:
+    """Kept fingerprints (id, hash) of (id, text) or (id, text, hashes), with `pad` also the words around each.
+
+    Only those in `wanted`, or in the row's own list of hashes, where one is given.
+    """
+    own = len(slim.columns) > 2
+    fields = [slim.schema[0], T.StructField("hash", T.LongType())]
+    schema = T.StructType(fields + ([T.StructField("around", T.ArrayType(T.StringType()))] if pad else []))
     window, side = min_words - gram + 1, min_words - gram
     shared = slim.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
@@ -120,18 +131,21 @@ def _prints(texts: DataFrame, id_col: str, text_col: str, as_id: str, min_words:
         for batch in batches:
             ids, hs, around = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
+                if own:
+                    keep = np.sort(np.array(batch.column(2)[row].as_py(), np.int64))
                 for ws in readings(text):
                     at, h = fingerprints(_hash(known, ws), gram, window)
                     if keep is not None and len(h):
                         found = np.searchsorted(keep, h)
                         ok = keep[np.minimum(found, len(keep) - 1)] == h
                         at, h = at[ok], h[ok]
-                    padded = [pad] * side + ws + [pad] * side if len(at) else []
-                    for p, x in zip(at.tolist(), h.tolist()):
-                        ids.append(row)
-                        hs.append(x)
-                        around.append(padded[p : p + gram + 2 * side])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hs, pa.int64()), pa.array(around, pa.list_(pa.string()))], names=[as_id, "hash", "around"])
+                    ids += [row] * len(h)
+                    hs += h.tolist()
+                    if pad and len(at):
+                        padded = [pad] * side + ws + [pad] * side
+                        around += [padded[p : p + gram + 2 * side] for p in at.tolist()]
+            columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hs, pa.int64())] + ([pa.array(around, pa.list_(pa.string()))] if pad else [])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -144,21 +158,21 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     """
     if not 0 < gram <= min_words:
         raise ValueError("gram must lie between 1 and min_words")
-    held = cut(_prints(items, item_id, item_text, "item_id", min_words, gram, "\x00item", None).distinct())
+    held = cut(_prints(spread(_slim(items, item_id, item_text, "item_id")), min_words, gram, "\x00item").distinct())
     total = held.select("hash").distinct().count()
-    blocks = max(1, -(-total // block))
-    found = None
-    for b in range(blocks):
-        mine = held.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)
-        wanted = np.sort(np.array([r[0] for r in mine.select("hash").distinct().collect()], np.int64))
-        if not len(wanted):
-            continue
-        hits = _prints(docs, doc_id, doc_text, "doc_id", min_words, gram, "\x00doc", wanted)
-        found = hits if found is None else found.unionByName(hits)
-    doc_type = docs.schema[doc_id].dataType
-    if found is None:
-        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", items.schema[item_id].dataType)]))
-    hits = cut(found.distinct())
+    if not total:
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType)]))
+    slim = spread(_slim(docs, doc_id, doc_text, "doc_id"))
+    if total <= block:
+        wanted = np.sort(np.array([r[0] for r in held.select("hash").distinct().collect()], np.int64))  # at most `block`
+        hits = _prints(slim, min_words, gram, "\x00doc", wanted)
+    else:
+        every = cut(_prints(slim, min_words, gram, None).distinct())
+        met = balanced_join(every, held.select("hash").distinct(), ["hash"], ["doc_id"], "left_semi")
+        asked = met.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("hash").alias("__hashes"))  # of one document its own fingerprints
+        again = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "__text", "__hashes")
+        hits = _prints(again, min_words, gram, "\x00doc")
+    hits = cut(hits.distinct())
     pairs = balanced_join(hits, held.withColumnRenamed("around", "item_around"), ["hash"], ["doc_id", "around"])
     spans = None
     for o in range(min_words - gram + 1):

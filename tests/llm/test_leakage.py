@@ -58,6 +58,8 @@ def test_equals_brute_force(spark, block):
     k = spark.createDataFrame([(a, b, "x") for a, b in items], "item_id long, text string, around string")
     got = {tuple(x) for x in leaks(d, "doc_id", "text", k, "item_id", "text", min_words=n, gram=4, block=block).collect()}
     assert got == brute(docs, items, n)
+    nameless = spark.createDataFrame([(None, docs[3][1]), (None, docs[3][1])], "doc_id long, text string")
+    assert {tuple(x) for x in leaks(nameless, "doc_id", "text", k, "item_id", "text", min_words=n, gram=4, block=block).collect()} == {(None, i) for a, i in brute(docs[3:4], items, n)}
     assert leaks(d.limit(0), "doc_id", "text", k, "item_id", "text").collect() == []
     assert leaks(d, "doc_id", "text", k.limit(0), "item_id", "text").collect() == []
 
