@@ -33,11 +33,10 @@ MEMORY_BYTES = 256
 
 
 class Vocabulary:
-    """Ranks of byte strings, read from a file of lines `base64 rank`."""
+    """Ranks of byte strings, from the lines `base64 rank` of a vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes):
+        self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.bytes = {i: b for b, i in self.rank.items()}
         self.single = [self.rank[bytes([i])] for i in range(256)]
         self._pairs: dict[tuple[int, int], int] = {}
@@ -117,11 +116,17 @@ class Vocabulary:
         return out
 
 
+def vocabulary_file(path: str) -> bytes:
+    """The bytes of a vocabulary file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Encodes texts; keeps the ids of pieces it has met."""
 
-    def __init__(self, path: str = VOCABULARY):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, lines: bytes | None = None):
+        self.vocabulary = Vocabulary(vocabulary_file(VOCABULARY) if lines is None else lines)
         self.find = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
@@ -152,12 +157,15 @@ def encode(docs: DataFrame, id_col: str, text_col: str, as_col: str = "ids", pat
 
     Empty and null texts have the empty list of ids. Strings of special tokens inside a text are ordinary
     text. Repeated rows come out as often as they are given, a null id stays null, other columns are left out.
+    The vocabulary file is read by the driver and sent to the tasks (its size is fixed, below a megabyte).
     """
     slim = spread(docs.select(F.col(id_col), F.col(text_col).alias("__text")))
     schema = T.StructType([slim.schema[0], T.StructField(as_col, T.ArrayType(T.IntegerType(), False))])
 
+    lines = slim.sparkSession.sparkContext.broadcast(vocabulary_file(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(lines.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symvane.llm.masks import natural, prose
+from symvane.llm.masks import fenced_code, natural, prose
 from symvane.llm.sentences import sentences
 
 #: Labelled documents per language that the models are fitted on, and the longest taken.
@@ -326,9 +326,10 @@ def source_languages(files: DataFrame, id_col: str, text_col: str, family_col: s
     """Languages of the comments and strings of whole source files: (id, part, lang, chars, share).
 
     `family_col` tells how the language marks comments (slash, hash, dash, star for excerpts of slash, mixed
-    where it isn't known; others count as slash). `share` is of the file's characters. Null and empty files have no rows.
+    where it isn't known, fenced for prose of which only fenced code is source; others count as slash). `share` is of
+    the file's characters. Null and empty files have no rows.
     """
-    family = F.when(F.col(family_col).isin("hash", "dash", "star", "mixed"), F.col(family_col)).otherwise("slash")
+    family = F.when(F.col(family_col).isin("hash", "dash", "star", "mixed", "fenced"), F.col(family_col)).otherwise("slash")
     slim = files.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), family.alias("__family"))
     schema = T.StructType([slim.schema["id"], T.StructField("part", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("chars", T.IntegerType()), T.StructField("share", T.DoubleType())])
     shared = slim.sparkSession.sparkContext.broadcast(detector.models)
@@ -337,7 +338,8 @@ def source_languages(files: DataFrame, id_col: str, text_col: str, family_col: s
         own = Detector(shared.value)
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
-            masked = natural(texts, batch.column(2).to_pylist())
+            families = batch.column(2).to_pylist()
+            masked = natural([fenced_code(t) if f == "fenced" else t for t, f in zip(texts, families)], ["mixed" if f == "fenced" else f for f in families])
             for part, column in (("comment", [c for c, _ in masked]), ("string", [s for _, s in masked])):
                 for row, found in enumerate(own.languages(column)):
                     out += [(row, part, k, c, c / len(texts[row])) for k, (_, c) in found.items()]

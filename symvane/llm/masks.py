@@ -9,6 +9,8 @@ sequential automaton a column at a time.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -182,3 +184,19 @@ def natural(texts: list[str], families: list[str]) -> list[tuple[str, str]]:
             for i, comment, string in zip(rows, _blanked(data, both[0], at), _blanked(data, both[1], at)):
                 out[i] = (comment, string)
     return out
+
+
+_FENCE = re.compile(r"\s*+(`{3,}+|~{3,}+)([^`\n]*+)$")
+
+
+def fenced_code(text: str) -> str:
+    """The lines of a text's fenced code, all others blank; a fence never closed runs to the end."""
+    out, fence = [], ""
+    for line in re.split(r"\r\n|\n|\r", text):
+        m = _FENCE.match(line)
+        if m and (not fence or m[1].startswith(fence) and not m[2].strip()):
+            fence = "" if fence else m[1]
+            out.append("")
+        else:
+            out.append(line if fence else "")
+    return "\n".join(out)

@@ -47,9 +47,9 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of comments and strings of the commented sources among the documents."""
-    sources = table(spark, d, "documents").filter("doc_kind = 'source'").withColumn("family", comment_family(F.col("path")))
-    return source_languages(sources, "doc_id", "text", "family", _detector(spark, d))
+    """Languages of comments and strings in the documents: whole commented sources, and the fenced code of all others."""
+    family = F.when(F.col("doc_kind") == "source", comment_family(F.col("path"))).otherwise("fenced")
+    return source_languages(table(spark, d, "documents").withColumn("family", family), "doc_id", "text", "family", _detector(spark, d))
 
 
 def _documented(spark: SparkSession, d: str) -> DataFrame:

@@ -95,3 +95,12 @@ def test_every_comment_form_of_documents(spark, detector):
 def test_short_and_mixed_sentences(detector, doc, want):
     found = detector.languages([doc])[0]
     assert {k: 0 if k == "ja" else w for k, (w, _) in found.items()} == want
+
+
+def test_only_fenced_code_of_prose(spark, detector):
+    from symvane.llm.masks import fenced_code
+
+    text = "It's a \"quoted\" # word.\n```py\n# Das Gewicht sinkt nach vier Tagen immer weiter.\n```\nMore 'text'\n~~~\n// never closed but read here\n"
+    assert fenced_code(text).split("\n") == ["", "", "# Das Gewicht sinkt nach vier Tagen immer weiter.", "", "", "", "// never closed but read here", ""] and fenced_code("") == ""
+    df = spark.createDataFrame([(1, text, "fenced"), (2, "no code # here", "fenced")], "id long, text string, family string")
+    assert sorted((r.id, r.part, r.lang) for r in source_languages(df, "id", "text", "family", detector).collect()) == [(1, "comment", "de"), (1, "comment", "en")]
