@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,23 +22,45 @@ FILLERS = {
 }
 
 
-def content_hash(content: Column) -> Column:
-    """16 hex digits of a hash, a dash and the length in bytes."""
-    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(content)), 16, "0")), F.lit("-"), F.octet_length(content).cast("string"))
+def content_hash(content: Column, hashed: Column | None = None) -> Column:
+    """16 hex digits of a hash, a dash and the length in bytes. The hash is xxHash64, which stays in the JVM, unless another (say `fnv1a`) is given."""
+    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(content) if hashed is None else hashed), 16, "0")), F.lit("-"), F.octet_length(content).cast("string"))
+
+
+#: FNV-1a, 64 bit: start and factor.
+FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
 
 
 def fnv1a_bytes(data: bytes) -> int:
     """FNV-1a of bytes, 64 bit, as a signed number."""
-    h = 0xCBF29CE484222325
+    h = FNV_START
     for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ b) * FNV_FACTOR) & 0xFFFFFFFFFFFFFFFF
     return h - (1 << 64) if h >> 63 else h
 
 
+def fnv1a_many(texts: list[str]) -> np.ndarray:
+    """FNV-1a of many texts at once: the k-th bytes of all texts that have one are taken together."""
+    data = [t.encode() for t in texts]
+    order = np.argsort([-len(d) for d in data], kind="stable")
+    sizes = np.array([len(data[i]) for i in order])
+    whole = np.frombuffer(b"".join(data[i] for i in order), np.uint8).astype(np.uint64)
+    starts = np.r_[0, np.cumsum(sizes)][:-1]
+    h = np.full(len(data), FNV_START, np.uint64)
+    live = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")  # texts with at least k bytes
+    with np.errstate(over="ignore"):
+        for k, n in enumerate(live):
+            h[:n] = (h[:n] ^ whole[starts[:n] + k]) * np.uint64(FNV_FACTOR)
+    out = np.empty(len(data), np.int64)
+    out[order] = h.view(np.int64)
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a, 64 bit, of the UTF-8 bytes; distinct texts of a batch are hashed once; null stays null."""
-    known = {t: fnv1a_bytes(t.encode()) for t in text.dropna().unique()}
+    once = list(text.dropna().unique())
+    known = dict(zip(once, fnv1a_many(once).tolist()))
     return text.map(known).astype("Int64")
 
 
@@ -97,28 +120,6 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
-# Endings a root drops, longest first, while four letters stay.
-ENDINGS = ["amientos", "imientos", "amiento", "imiento", "aciones", "iciones", "acion", "icion", "mente", "ations", "ation", "ingly", "ados", "idos", "adas", "idas", "ando", "iendo", "ings", "ing", "ies", "ado", "ido", "ada", "ida", "ers", "ed", "es", "er", "ar", "ir", "as", "os", "an", "en", "ly", "s", "a", "o", "e"]
-
-
-def root_of(word: str) -> str:
-    """A word without its ending, at least four letters of it."""
-    for ending in ENDINGS:
-        if word.endswith(ending) and len(word) - len(ending) >= 4:
-            return word[: -len(ending)]
-    return word
-
-
-def root(word: Column) -> Column:
-    """As `root_of`, as an expression."""
-    choice = None
-    for ending in ENDINGS:
-        fits = F.endswith(word, F.lit(ending)) & (F.length(word) - len(ending) >= 4)
-        short = F.substring(word, F.lit(1), F.length(word) - len(ending))
-        choice = F.when(fits, short) if choice is None else choice.when(fits, short)
-    return choice.otherwise(word)
-
-
 def echo_chars(budget: Column) -> Column:
     """Characters of a query that are shown again: a fifth of the budget, 24 to 160."""
     return F.least(F.greatest(F.floor(budget / 5), F.lit(24)), F.lit(160)).cast("int")
@@ -129,21 +130,32 @@ def clip_chars(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))
 
 
-def compress(text: Column) -> Column:
-    """Text without filler phrases and without a leading article before a small letter; short texts stay."""
+_ARTICLE = re.compile(r"(?i:an?|the) (?=[a-z])")
+#: Shortest text, in bytes, that is compressed.
+COMPRESS_BYTES = 24
+
+
+def compressed(text: str) -> str:
+    """As `compress`, of one text: the first phrase of the list that it holds goes, until none is left."""
     out = text
-    for _ in range(2):  # a removed phrase may complete another
-        for phrase, instead in FILLERS.items():
-            out = F.regexp_replace(out, f"(?i){re.escape(phrase)}", instead)
-    out = F.trim(F.regexp_replace(out, r"^(?i:a|an|the) (?=[a-z])", ""))
-    return F.when((F.octet_length(text) < 24) | (F.octet_length(out) >= F.octet_length(text)), text).otherwise(out)
+    while (phrase := next((p for p in FILLERS if p in out.lower()), None)) is not None:
+        out = re.sub(re.escape(phrase), FILLERS[phrase], out, flags=re.I)
+    out = _ARTICLE.sub("", out, count=1) if _ARTICLE.match(out) else out
+    out = out.strip()
+    return out if len(text.encode()) >= COMPRESS_BYTES and len(out.encode()) < len(text.encode()) else text
+
+
+@F.pandas_udf(T.StringType())
+def compress(text: pd.Series) -> pd.Series:
+    """Text without filler phrases and without a leading article before a small letter; short texts and those it doesn't shorten stay."""
+    return text.map(lambda t: compressed(t) if t is not None else None)
 
 
 def sanitize(text: Column) -> Column:
-    """Memory text: no control or invisible characters, one blank between words, no blank lines in a row."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\p{Cc}&&[^\n\t]]|\p{Cf}", "")
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.trim(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+    """Memory text: one kind of line end, no control characters but tabs, no blanks at line ends, at most two blank lines in a row."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\p{Cc}&&[^\n\t]]", "")
+    lines = F.regexp_replace(F.regexp_replace(clean, r"(?U)[\s&&[^\n]]+(?=\n)", ""), r"\n{4,}", "\n\n\n")
+    return F.regexp_replace(lines, r"(?U)^\s+|\s+$", "")
 
 
 # Patterns of secrets and what they are called.
@@ -242,19 +254,15 @@ def simhash64(words: Column) -> Column:
 @F.pandas_udf(T.LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """As `simhash64` over FNV-1a hashes, a batch at a time."""
-    known: dict[str, list[int]] = {}
+    once = sorted({w for ws in words if ws is not None for w in ws})
+    at = {w: i for i, w in enumerate(once)}
+    votes = np.unpackbits(fnv1a_many(once).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
     def one(ws) -> int | None:
         if ws is None:
             return None
-        total = [0] * 64
-        for w in set(ws):
-            if w not in known:
-                h = fnv1a_bytes(w.encode()) & 0xFFFFFFFFFFFFFFFF
-                known[w] = [1 if h >> b & 1 else -1 for b in range(64)]
-            total = [a + b for a, b in zip(total, known[w])]
-        out = sum(1 << b for b, n in enumerate(total) if n > 0)
-        return out - (1 << 64) if out >> 63 else out
+        total = votes[[at[w] for w in set(ws)]].sum(axis=0) if len(ws) else np.zeros(64, np.int32)
+        return int(np.packbits(total > 0, bitorder="little").view(np.int64)[0])
 
     return words.map(one).astype("Int64")
 
@@ -270,13 +278,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+#: Words of a note that its order is judged by.
+SEQUENCE_WORDS = 400
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two word lists, by bit-parallel rows."""
+    """Length of the longest common subsequence of the first SEQUENCE_WORDS words of two lists, by bit-parallel rows."""
 
     def one(x, y) -> int:
         if x is None or y is None:
             return 0
+        x, y = x[:SEQUENCE_WORDS], y[:SEQUENCE_WORDS]
         where: dict[str, int] = {}
         for i, w in enumerate(x):
             where[w] = where.get(w, 0) | 1 << i

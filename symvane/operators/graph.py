@@ -78,25 +78,104 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2, least: int = HEUR
     return seen.filter("depth > 0")
 
 
-def caller_order() -> list[Column]:
-    """Order of callers in a report: depth, certainty, path, line, name, id."""
-    return [F.col("depth"), F.col("confidence").desc(), F.col("path"), F.col("start_line"), F.col("name"), F.col("id")]
+#: Deepest walk, callers listed unless told otherwise, and most callers read of one symbol in a step.
+MOST_DEPTH, CALLERS, FAN_OUT = 5, 50, 500
+#: Alternatives of the same name that are looked up, and offered.
+LOOKED_UP, OFFERED = 16, 5
 
 
-def verdict(callers: DataFrame, roots: DataFrame) -> DataFrame:
-    """Per root what is known of its callers: unknown, exact or lower-bound. roots: (root, visibility)."""
-    seen = callers.groupBy("root").agg(F.count(F.lit(1)).alias("callers"), F.min("confidence").alias("weakest"))
-    told = F.when(F.col("callers").isNull() & F.col("visibility").isin("public", "unknown"), "unknown")
-    told = told.when((F.coalesce("weakest", F.lit(RESOLVED)) >= RESOLVED) & (F.col("visibility") == "private"), "exact").otherwise("lower-bound")
-    return roots.join(seen, "root", "left").select("root", F.coalesce("callers", F.lit(0)).alias("callers"), told.alias("verdict"))
+def walk_callers(edges: DataFrame, roots: DataFrame, symbols: DataFrame, depth: int = 2, least: int = HEURISTIC, limit: int = CALLERS) -> tuple[DataFrame, DataFrame]:
+    """Callers of every root as a report lists them, at most `limit` each, and what is known of the walk.
+
+    (root, id, depth, confidence, kind, line) and (root, structural, truncated). The walk is breadth first; a symbol's
+    callers come by certainty, path, line, start line, id and kind, at most min(limit + 1, FAN_OUT) of them. Each symbol
+    keeps its first place and the weakest confidence of all ways seen; the walk of a root ends with the first caller
+    beyond the limit. Work is bounded by roots, limit and fan-out, however many callers a hub has.
+    """
+    roots = roots.select("root").distinct()
+    if limit <= 0:
+        none = edges.select(F.col("src").alias("root"), F.col("src").alias("id"), F.lit(0).alias("depth"), "confidence", "kind", "line").limit(0)
+        return none, roots.select("root", F.lit(True).alias("structural"), F.lit(True).alias("truncated"))
+    fan = min(limit + 1, FAN_OUT)
+    placed = symbols.select("id", "path", "start_line")
+    back = edges.filter(F.col("confidence") >= least).select(F.col("dst").alias("at"), F.col("src").alias("id"), "kind", "confidence", "line").join(placed, "id")
+    order = Window.partitionBy("at").orderBy(F.col("confidence").desc(), "path", "line", "start_line", "id", "kind")
+    near = cut(back.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= fan).select("at", "id", "kind", "confidence", "line", "place"))
+    front = roots.select("root", F.col("root").alias("at"), F.lit(RESOLVED + 1).alias("reached"), F.lit(0).alias("rank"))
+    found, ways, stops = None, None, None
+    for level in range(1, max(1, min(depth, MOST_DEPTH)) + 1):
+        met = front.join(near, "at").select("root", "id", "kind", "line", "confidence", F.least("reached", "confidence").alias("got"), F.struct("rank", "place").alias("pos"))
+        fresh = met.filter("id <> root").groupBy("root", "id").agg(F.min(F.struct("pos", "got", "kind", "line")).alias("f"))
+        before = F.lit(0)
+        if found is not None:
+            fresh = fresh.join(found.select("root", "id"), ["root", "id"], "left_anti").join(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "left")
+            before = F.coalesce("n", F.lit(0))
+        ranked = fresh.withColumn("rank", (before + F.row_number().over(Window.partitionBy("root").orderBy("f.pos"))).cast("int"))
+        new = cut(ranked.select("root", "id", "rank", "f", F.lit(level).alias("depth")).filter(F.col("rank") <= limit + 1))
+        stop = new.filter(F.col("rank") > limit).select("root", F.col("f.pos").alias("stop"))
+        seen = met.join(stop, "root", "left").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).select("root", "id", "got", "confidence")
+        kept = new.filter(F.col("rank") <= limit)
+        found = kept if found is None else found.unionByName(kept)
+        ways = seen if ways is None else ways.unionByName(seen)
+        stops = stop.select("root") if stops is None else stops.unionByName(stop.select("root"))
+        front = kept.join(stop, "root", "left_anti").select("root", F.col("id").alias("at"), F.col("f.got").alias("reached"), "rank")
+    weakest = ways.groupBy("root", "id").agg(F.min("got").alias("confidence"))
+    callers = found.join(weakest, ["root", "id"]).select("root", "id", "depth", "confidence", "f.kind", "f.line")
+    sure = ways.groupBy("root").agg((F.min("confidence") >= RESOLVED).alias("structural"))
+    flags = roots.join(sure, "root", "left").join(stops.distinct().withColumn("truncated", F.lit(True)), "root", "left")
+    return callers, flags.select("root", F.coalesce("structural", F.lit(True)).alias("structural"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def verdict_of(callers: Column, structural: Column, truncated: Column, visibility: Column) -> Column:
+    """unknown, exact or lower-bound: what a list of callers is worth."""
+    open_to_all = visibility.isin("public", "unknown")
+    return F.when((callers == 0) & open_to_all, "unknown").when(structural & ~truncated & (visibility == "private"), "exact").otherwise("lower-bound")
+
+
+def verdict(callers: DataFrame, flags: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per root (root, visibility) the number of its callers and their worth, from the frames of `walk_callers`."""
+    seen = callers.groupBy("root").agg(F.count(F.lit(1)).alias("callers"))
+    rows = roots.join(flags, "root").join(seen, "root", "left").na.fill(0, ["callers"])
+    return rows.select("root", "callers", verdict_of(F.col("callers"), F.col("structural"), F.col("truncated"), F.col("visibility")).alias("verdict"))
 
 
 def impact_lists(callers: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Per root the sorted files of its callers and those among them that are tests."""
+    """Per root the sorted files of its callers and those among them that are tests; a walk lists a bounded number of callers."""
     placed = callers.join(symbols.select("id", "path"), "id").select("root", "path").distinct()
     return placed.groupBy("root").agg(F.sort_array(F.collect_list("path")).alias("files"), F.sort_array(F.collect_list(F.when(is_test_path(F.col("path")), F.col("path")))).alias("tests"))
 
 
+def alternatives(roots: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per root (column root) up to five other symbols of its name, in any case, exact ones first: `id path qualified_name` each."""
+    own = roots.select("root").join(symbols.select(F.col("id").alias("root"), F.col("name").alias("asked")), "root")
+    # a name's own first symbols, one list per spelling asked for: a common name is looked up once, not once per root
+    asked = own.select("asked").distinct()
+    named = symbols.select("id", "path", "start_line", "qualified_name", "name", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("key"))
+    hits = asked.withColumn("key", F.lower("asked")).join(named, "key")
+    order = Window.partitionBy("asked").orderBy(((F.col("name") == F.col("asked")) | (F.col("qualified_name") == F.col("asked"))).desc(), "path", "start_line", "id")
+    first = hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= LOOKED_UP)
+    listed = first.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("k", "id", F.concat_ws(" ", "id", "path", "qualified_name").alias("told")))).alias("all"))
+    others = F.slice(F.filter("all", lambda x: x["id"] != F.col("root")), 1, OFFERED)
+    return own.join(listed, "asked", "left").select("root", F.coalesce(F.transform(others, lambda x: x["told"]), F.array().cast("array<string>")).alias("alternatives"))
+
+
+def impact_report(edges: DataFrame, roots: DataFrame, symbols: DataFrame, depth: int = 2, least: int = HEURISTIC, limit: int = CALLERS) -> DataFrame:
+    """One row per root: callers, direct, truncated, verdict, files, tests, alternatives and the commands to go on with."""
+    depth = max(1, min(depth, MOST_DEPTH))
+    callers, flags = walk_callers(edges, roots, symbols, depth, least, limit)
+    callers = cut(callers)
+    placed = callers.join(symbols.select("id", "path", "start_line", "name"), "id")
+    top = placed.groupBy("root").agg(
+        F.count(F.lit(1)).alias("callers"), F.count_if(F.col("depth") == 1).alias("direct"), F.min_by("id", F.struct("depth", -F.col("confidence"), "path", "line", "name", "id")).alias("first"))
+    own = symbols.select(F.col("id").alias("root"), "qualified_name", "visibility")
+    rows = flags.join(own, "root").join(top, "root", "left").join(impact_lists(callers, symbols), "root", "left").join(alternatives(roots, symbols), "root", "left").na.fill(0, ["callers", "direct"])
+    none = F.array().cast("array<string>")
+    more = F.when(F.col("truncated"), F.concat(F.lit("impact "), F.col("root").cast("string"), F.lit(f" --limit {max(2 * limit, 2)}"))).when((F.col("callers") > 0) & F.lit(depth < MOST_DEPTH), F.concat(F.lit("impact "), F.col("root").cast("string"), F.lit(f" --depth {depth + 1}")))
+    following = F.array_compact(F.array(F.concat(F.lit("expand "), F.coalesce("first", "root").cast("string")), more, F.concat(F.lit('recall "'), F.col("qualified_name"), F.lit('"'))))
+    worth = verdict_of(F.col("callers"), F.col("structural"), F.col("truncated"), F.col("visibility"))
+    return rows.select("root", "callers", "direct", "truncated", worth.alias("verdict"), F.coalesce("files", none).alias("files"), F.coalesce("tests", none).alias("tests"), "alternatives", following.alias("next"))
+
+
 def around(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Symbols within `depth` edges of the seeds (column id), either way: (id, depth)."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -114,9 +193,13 @@ def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
+def _weight(edges: DataFrame) -> Column:
+    return F.col("weight") if "weight" in edges.columns else F.lit(1)
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge per (src, dst): number of edges, best confidence; no loops."""
-    return edges.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.max("confidence").alias("confidence"))
+    """One edge per (src, dst, kind): its summed weight (1 each where none is given), at least 1, and best confidence; no loops."""
+    return edges.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.greatest(F.sum(_weight(edges)), F.lit(1)).cast("bigint").alias("weight"), F.max("confidence").alias("confidence"))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,12 +254,12 @@ def refresh_due(first: bool, forced: bool, rewritten: int, most: int = 50) -> bo
 def export_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a drawing. nodes: (id, weight); edges: (src, dst, kind, confidence, ord).
 
-    Edges of one pair merge whatever their kind: weights (at least 1 each) add up, the label comes from the first
+    Edges of one pair merge whatever their kind: weights (of a column weight, at least 1 each) add up, the label comes from the first
     certain edge, else the first. The heaviest nodes by (weight, weighted degree, id) stay, then the heaviest edges.
     """
     real = edges.filter("src <> dst")
     merged = real.groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("weight"), F.min_by("kind", F.struct((F.col("confidence") < RESOLVED).alias("unsure"), "ord")).alias("label"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"))
+        F.sum(F.greatest(_weight(edges), F.lit(1))).cast("bigint").alias("weight"), F.min_by("kind", F.struct((F.col("confidence") < RESOLVED).alias("unsure"), "ord")).alias("label"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"))
     both = merged.select(F.col("src").alias("id"), "weight").union(merged.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("degree"))
     kept = nodes.join(both, "id", "left").na.fill(0, ["degree"]).orderBy(F.col("weight").desc(), F.col("degree").desc(), "id").limit(most_nodes)
     return kept, among(merged, kept).orderBy(F.col("weight").desc(), "ord", "src", "dst").limit(most_edges)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symvane.functions.text import ENDINGS, blank, fold, guard, hamming, redact, sanitize, similarity, simhash, word_parts
-from symvane.operators.search import ENGLISH, SPANISH, tongue
+from symvane.functions.text import blank, guard, hamming, redact, sanitize, similarity, simhash
+from symvane.functions.words import CHOICES, NEGATIONS, STOP, content_words, note_words, root_of, tongue
 
 #: Thresholds of comparing: a duplicate, a reinforcement, and bits simhashes may differ in.
 DUPLICATE, REINFORCED, BITS = 0.94, 0.80, 24
@@ -17,37 +17,28 @@ DUPLICATE, REINFORCED, BITS = 0.94, 0.80, 24
 SHARED = 0.45
 #: Most reinforcements that count, and seconds between independent ones.
 CAP, INDEPENDENT_SECONDS = 8, 900
-# Words that deny and words that choose, English and Spanish.
-NEGATIONS = {"en": ["not", "never", "no", "without", "don't", "cannot", "can't", "isn't", "aren't", "doesn't", "won't"], "es": ["no", "nunca", "jamas", "sin", "tampoco", "ni"]}
-CHOICES = {"en": ["use", "uses", "using", "prefer", "choose", "chose", "pick", "adopt"], "es": ["usa", "usar", "usamos", "prefiere", "preferir", "elige", "elegir", "adopta"]}
-
-
-def content_words(text: Column) -> Column:
-    """Folded words of a note without the small words of its language."""
-    return F.filter(F.transform(word_parts(text), fold), lambda w: ~w.isin([x for x in ENGLISH + SPANISH if x not in NEGATIONS["en"] + NEGATIONS["es"]]))
 
 
 @F.pandas_udf(T.StringType())
 def opposition(a: pd.Series, b: pd.Series, kind: pd.Series, lang: pd.Series) -> pd.Series:
-    """negated, different_choice or null for two word lists of notes of one kind."""
+    """negated, different_choice or null for the words of two notes of one kind, read in one language.
 
-    def root(w: str) -> str:
-        for e in ENDINGS:
-            if w.endswith(e) and len(w) - len(e) >= 4:
-                return w[: -len(e)]
-        return w
+    They must share SHARED of the smaller vocabulary. A word is denied if it follows a negation, function words left
+    out; one note denies what the other states without denying it, or both pick something and not the same.
+    """
 
     def judge(x, y, k, g) -> str | None:
-        if x is None or y is None or not len(x) or not len(y):
+        if x is None or y is None:
             return None
-        no, pick = set(NEGATIONS[g]), set(CHOICES[g])
+        no, pick, stop = set(NEGATIONS[g]), set(CHOICES[g]), set(STOP[g])
+        x, y = [w for w in x if w not in stop], [w for w in y if w not in stop]
         subjects = [{w for w in ws if w not in no and w not in pick} for ws in (x, y)]
         small = min(map(len, subjects))
         if not small or len(subjects[0] & subjects[1]) / small < SHARED:
             return None
-        denied = [{root(q) for p, q in zip(ws, ws[1:]) if p in no} for ws in (x, y)]
-        roots = [{root(w) for w in ws} for ws in (x, y)]
-        if (denied[0] - denied[1]) & roots[1] or (denied[1] - denied[0]) & roots[0]:
+        denied = [{root_of(q, g) for p, q in zip(ws, ws[1:]) if p in no} for ws in (x, y)]
+        stated = [{root_of(w, g) for w in ws} - own for ws, own in zip((x, y), denied)]
+        if denied[0] & stated[1] or denied[1] & stated[0]:
             return "negated"
         if k in ("decision", "convention"):
             first = [next((q for p, q in zip(ws, ws[1:]) if p in pick), None) for ws in (x, y)]
@@ -55,7 +46,7 @@ def opposition(a: pd.Series, b: pd.Series, kind: pd.Series, lang: pd.Series) ->
                 return "different_choice"
         return None
 
-    return pd.Series([judge(*row) for row in zip(a, b, kind, lang)])
+    return pd.Series([judge(*row) for row in zip(a, b, kind, lang)], dtype=object)
 
 
 def anchored_pairs(memories: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -74,7 +65,7 @@ def compare(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     outcome: conflicts, duplicate, reinforced or distinct; `reason` of a conflict; `similarity` where the
     simhashes are near enough to compare (else 0).
     """
-    words = memories.select("id", content_words(F.col("text")).alias("w"), F.transform(word_parts(F.col("text")), fold).alias("all"), "text").withColumn("h", simhash(F.col("w")))
+    words = memories.select("id", content_words(F.col("text")).alias("w"), note_words(F.col("text")).alias("all")).withColumn("h", simhash(F.col("w")))
     left = words.select(*[F.col(c).alias(f"l_{c}") for c in words.columns])
     right = words.select(*[F.col(c).alias(f"r_{c}") for c in words.columns])
     both = pairs.join(left, F.col("left_id") == F.col("l_id")).join(right, F.col("right_id") == F.col("r_id"))

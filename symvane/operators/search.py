@@ -21,6 +21,8 @@ WEIGHTS = {"name": 10.0, "qualified_name": 5.0, "signature": 2.0, "doc": 1.0}
 K1, B = 1.2, 0.75
 #: Bytes of a column that are indexed; terms of a query, and bytes of it.
 COLUMN_BYTES, MEMORY_BYTES, QUERY_TERMS, QUERY_BYTES = 8_192, 16_384, 32, 2_048
+#: Letters that prefixes are looked up by.
+PREFIX = 3
 # Words without a meaning of their own in a question.
 STOP_WORDS = "a about after all also an and any are as at be been before but by can could did do does for from had has have how i if in into is it its me my no not of on or our please should so that the their then there these this those to up was we were what when where which who why will with would you your".split()
 
@@ -85,8 +87,9 @@ def bm25(posts: DataFrame | Index, queries: DataFrame, any_word: bool = False, l
     """
     index = posts if isinstance(posts, Index) else index_of(posts)
     exact = queries.filter(~F.col("prefix")).select("query_id", F.col("term").alias("asked"), "term")
-    opened = queries.filter("prefix").select("query_id", F.col("term").alias("asked"), F.substring("term", 1, 1).alias("initial"))
-    started = index.df.select("term", F.substring("term", 1, 1).alias("initial")).join(opened, "initial").filter(F.startswith("term", "asked")).select("query_id", "asked", "term")
+    opened = queries.filter("prefix").select("query_id", F.col("term").alias("asked"), F.substring("term", 1, PREFIX).alias("initial"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda k: F.substring("term", F.lit(1), k)))  # a shorter question meets the terms by its own length
+    started = index.df.select("term", F.explode(starts).alias("initial")).join(opened, "initial").filter(F.startswith("term", "asked")).select("query_id", "asked", "term").distinct()
     wanted = exact.unionByName(started).join(index.df, "term")
     hits = wanted.join(index.posts, "term").join(index.length, "doc")
     idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -119,32 +122,3 @@ def known_item_words(sentence, name):
     own = word_parts(name)
     alike = lambda w: F.exists(own, lambda o: (w == o) | (F.length(w) >= 3) & (F.length(o) >= 3) & (F.substring(w, 1, 3) == F.substring(o, 1, 3)))
     return F.filter(word_parts(sentence), lambda w: ~alike(w))
-
-
-# Words of English and Spanish sentences that tell the two apart.
-ENGLISH = "the a an is are was were be been of to in on for with by from at as this that these those it its and or not never no when which who only must should does do has have will can".split()
-SPANISH = "el la los las un una unos unas es son fue ser de del al en con por para desde como este esta estos estas que y o no nunca cuando quien solo debe hay han ha se su sus lo".split()
-
-
-def tongue(words):
-    """en or es by the number of their small words; a tie is English."""
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    return F.when(count(SPANISH) > count(ENGLISH), "es").otherwise("en")
-
-
-# Stems of Spanish words for programming and their English terms.
-GLOSSARY = {"archiv": "file", "fich": "file", "funcion": "function", "metod": "method", "clase": "class", "usuari": "user", "contrasen": "password", "sesion": "session", "ruta": "path", "lista": "list", "clave": "key", "valor": "value", "cadena": "string", "numer": "number", "error": "error", "prueba": "test", "busc": "search", "guard": "save", "carg": "load", "borr": "delete", "elimin": "remove", "cre": "create", "actualiz": "update", "compar": "compare", "orden": "sort", "filtr": "filter", "memori": "memory", "recuerd": "memory", "graf": "graph", "nodo": "node", "arist": "edge", "simbol": "symbol", "indic": "index", "consult": "query", "resultad": "result", "conexion": "connection", "servid": "server", "client": "client", "configur": "config", "permis": "permission", "fech": "date", "hora": "time", "tabla": "table", "fila": "row", "column": "column", "cola": "queue", "hilo": "thread", "tarea": "task", "peticion": "request", "respuest": "response"}
-
-
-def translated(words):
-    """English terms of words whose longest known stem is in the glossary; others stay out."""
-    pairs = sorted(GLOSSARY.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-
-    def one(w):
-        out = None
-        for stem, english in pairs:
-            hit = F.startswith(w, F.lit(stem)) & (F.length(w) - len(stem) <= 5)
-            out = F.when(hit, english) if out is None else out.when(hit, english)
-        return out
-
-    return F.array_compact(F.transform(F.transform(words, fold), one))

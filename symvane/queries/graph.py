@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symvane import views
 from symvane.operators import graph as g
 from symvane.operators.hierarchy import hierarchy
-from symvane.runtime import table
+from symvane.runtime import cut, table
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +97,24 @@ def g3_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What the list of at most twelve callers of every part is worth."""
     roots = views.parts(spark, d).select(F.col("id").alias("root"), "visibility")
-    return g.verdict(g.impact(views.part_edges(spark, d), roots.select("root"), 1, 1), roots)
+    callers, flags = g.walk_callers(views.part_edges(spark, d), roots, views.parts(spark, d), 1, 1, 12)
+    return g.verdict(callers, flags, roots)
+
+
+def g3_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty callers of every symbol over resolved references, two steps back."""
+    symbols = views.symbols(spark, d, "file_id", "start_line").join(views.files(spark, d).select("file_id", "path"), "file_id")
+    return g.walk_callers(cut(views.edges(spark, d)), symbols.select(F.col("id").alias("root")), symbols, 2, 0)[0]
+
+
+def g5_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The report on every symbol that is referenced: callers, worth, files, tests, alternatives, next steps."""
+    symbols = views.symbols(spark, d, "file_id", "start_line", "name", "qualified_name", "visibility").join(views.files(spark, d).select("file_id", "path"), "file_id")
+    edges = cut(views.edges(spark, d))
+    rows = g.impact_report(edges, edges.select(F.col("dst").alias("root")), symbols, 1, 0)
+    return rows.select("root", "callers", "direct", "truncated", "verdict", *[F.array_join(c, ";").alias(c) for c in ("files", "tests", "alternatives", "next")])
 
 
 def g5_impact_files(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +156,7 @@ def g12_nesting(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("id", F.least("depth", F.lit(32)).alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (central_symbols, a6_module_stats, a7_module_pairs, a11_out_degrees, a12_file_scores, a17_merged_edges, a18_degrees, a20_export_edges, k4_mermaid, k4_dot, g1_modules, g2_neighbors, g3_impact, g4_verdicts, g5_impact_files, g6_around, g6_among, g7_module_graph, g8_pagerank, g8_pagerank_refs, g11_brain_nodes, g11_brain_edges, g12_nesting)}
+QUERIES = {f.__name__: f for f in (central_symbols, a6_module_stats, a7_module_pairs, a11_out_degrees, a12_file_scores, a17_merged_edges, a18_degrees, a20_export_edges, k4_mermaid, k4_dot, g1_modules, g2_neighbors, g3_impact, g3_limited, g4_verdicts, g5_impact_files, g5_reports, g6_around, g6_among, g7_module_graph, g8_pagerank, g8_pagerank_refs, g11_brain_nodes, g11_brain_edges, g12_nesting)}
 
 #: The graph of parts.
 PARTS = """
@@ -179,13 +195,16 @@ def _pagerank(base: str, edges: str, rounds: int) -> str:
 
 from symvane.queries.resolution import BASE  # noqa: E402
 
+#: Ranked callers of every symbol over resolved references.
+_NEAR = """, near AS (SELECT e.dst AS here, e.src AS id, e.kind, e.confidence, e.line, row_number() OVER (PARTITION BY e.dst ORDER BY e.confidence DESC, f.path, e.line, x.start_line, e.src, e.kind) AS place FROM edges e JOIN s x ON x.id = e.src JOIN files f ON f.file_id = x.file_id)"""
+
 SQL = {
     "central_symbols": PARTS + "SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 20",
     "a6_module_stats": PARTS + "SELECT * FROM stats",
     "a7_module_pairs": PARTS + "SELECT * FROM pairs",
     "a11_out_degrees": PARTS + "SELECT src AS id, least(count(*), 24) AS degree FROM e GROUP BY 1",
     "a12_file_scores": PARTS + "SELECT family AS path, (1 + coalesce(sum(degree), 0))::BIGINT AS score, round(1 + ln(1 + coalesce(sum(degree), 0)), 6) AS relevance FROM p LEFT JOIN (SELECT * FROM deg ORDER BY degree DESC, id LIMIT 1000) t ON t.id = p.id GROUP BY 1",
-    "a17_merged_edges": PARTS + "SELECT src, dst, count(*) AS weight, max(confidence) AS confidence FROM e WHERE src <> dst GROUP BY 1, 2",
+    "a17_merged_edges": PARTS + "SELECT src, dst, kind, count(*) AS weight, max(confidence) AS confidence FROM e WHERE src <> dst GROUP BY 1, 2, 3",
     "a18_degrees": PARTS + "SELECT p.id, greatest(coalesce(n, 0), 1) AS degree FROM p LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e WHERE src <> dst UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY 1) x ON x.id = p.id",
     "a20_export_edges": PARTS + "SELECT src, dst, weight, label, confidence FROM drawn",
     "k4_mermaid": PARTS + "SELECT src, dst, '  n' || src || ' -->|' || label || '| n' || dst AS line FROM drawn",
@@ -196,8 +215,29 @@ SQL = {
         SELECT src AS seed, 'out' AS direction, dst AS id, kind, confidence, line FROM e UNION ALL SELECT dst, 'in', src, kind, confidence, line FROM e) x
       JOIN p ON p.id = x.id WHERE confidence >= 1) WHERE rank <= 6""",
     "g3_impact": PARTS + "SELECT root, id, depth, confidence FROM callers",
-    "g4_verdicts": PARTS + """SELECT p.id AS root, coalesce(n, 0) AS callers, CASE WHEN n IS NULL AND visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict
-      FROM p LEFT JOIN (SELECT dst, count(*) AS n, min(c) AS w FROM (SELECT dst, src, max(confidence) AS c FROM e WHERE confidence >= 1 AND src <> dst GROUP BY 1, 2) GROUP BY 1) x ON x.dst = p.id""",
+    "g3_limited": BASE + _NEAR + """, l1 AS (SELECT here AS root, id, confidence AS got, kind, line, place FROM near), f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (
+      SELECT root, id, arg_min(got, place) AS got, arg_min(kind, place) AS kind, arg_min(line, place) AS line, min(place) AS place FROM l1 WHERE id <> root GROUP BY 1, 2)),
+      l2 AS (SELECT f.root, n.id, least(f.got, n.confidence) AS got, n.kind, n.line, f.rank * 1000 + n.place AS pos FROM f1 f JOIN near n ON n.here = f.id),
+      f2 AS (SELECT root, id, arg_min(kind, pos) AS kind, arg_min(line, pos) AS line FROM l2 WHERE id <> root AND (root, id) NOT IN (SELECT (root, id) FROM f1) GROUP BY 1, 2),
+      ways AS (SELECT root, id, min(got) AS confidence FROM (SELECT root, id, got FROM l1 UNION ALL SELECT root, id, got FROM l2) GROUP BY 1, 2)
+      SELECT x.root, x.id, depth, confidence, kind, line FROM (SELECT root, id, 1 AS depth, kind, line FROM f1 UNION ALL SELECT root, id, 2, kind, line FROM f2) x JOIN ways w ON w.root = x.root AND w.id = x.id""",
+    "g4_verdicts": PARTS + """, near AS (SELECT dst, src, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, path, line, start_line, src, kind) AS place FROM e JOIN p ON p.id = src WHERE confidence >= 1),
+      c AS (SELECT dst, count(DISTINCT src) FILTER (src <> dst) AS n, min(confidence) AS w FROM near WHERE place <= 13 GROUP BY 1)
+      SELECT p.id AS root, least(coalesce(n, 0), 12) AS callers, CASE WHEN coalesce(n, 0) = 0 AND visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND coalesce(n, 0) <= 12 AND visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict
+      FROM p LEFT JOIN c ON c.dst = p.id""",
+    "g5_reports": BASE + _NEAR + """, full_s AS (SELECT DISTINCT s.id, s.name, s.qualified_name, s.start_line, y.visibility, f.path FROM s JOIN files f ON f.file_id = s.file_id JOIN symbols y ON y.id = s.id),
+      c AS (SELECT here AS root, id, min(confidence) AS conf, arg_min(line, place) AS line FROM near WHERE id <> here GROUP BY 1, 2),
+      roots AS (SELECT DISTINCT dst AS root FROM edges), sure AS (SELECT here AS root, min(confidence) AS w FROM near GROUP BY 1),
+      t AS (SELECT root, count(*) AS callers, string_agg(DISTINCT path, ';' ORDER BY path) AS files, string_agg(DISTINCT path, ';' ORDER BY path) FILTER (regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__)/') OR regexp_matches(path, '(?i)[_.](test|spec)\\.[^/]*$')) AS tests,
+        (list(c.id ORDER BY conf DESC, path, c.line, name, c.id))[1] AS first FROM c JOIN full_s ON full_s.id = c.id GROUP BY 1),
+      hits AS (SELECT r.root, x.id, x.id || ' ' || x.path || ' ' || x.qualified_name AS told, row_number() OVER (PARTITION BY r.root ORDER BY (x.name = o.name OR x.qualified_name = o.name) DESC, x.path, x.start_line, x.id) AS k
+        FROM roots r JOIN full_s o ON o.id = r.root JOIN full_s x ON lower(x.name) = lower(o.name) OR lower(x.qualified_name) = lower(o.name)),
+      alt AS (SELECT root, list(told ORDER BY k)[1:5] AS told FROM hits WHERE k <= 16 AND id <> root GROUP BY 1)
+      SELECT r.root, coalesce(callers, 0) AS callers, coalesce(callers, 0) AS direct, false AS truncated,
+        CASE WHEN callers IS NULL AND o.visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND o.visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict,
+        coalesce(files, '') AS files, coalesce(tests, '') AS tests, coalesce(array_to_string(told, ';'), '') AS alternatives,
+        'expand ' || coalesce(first, r.root) || CASE WHEN callers > 0 THEN ';impact ' || r.root || ' --depth 2' ELSE '' END || ';recall "' || o.qualified_name || '"' AS next
+      FROM roots r JOIN full_s o ON o.id = r.root LEFT JOIN t ON t.root = r.root LEFT JOIN sure ON sure.root = r.root LEFT JOIN alt ON alt.root = r.root""",
     "g5_impact_files": PARTS + "SELECT root, CAST(count(DISTINCT path) AS INT) AS files, CAST(0 AS INT) AS tests, min(path) AS first FROM callers c JOIN p ON p.id = c.id GROUP BY 1",
     "g6_around": PARTS + """, b2 AS (SELECT src, dst FROM e WHERE confidence >= 2 UNION SELECT dst, src FROM e WHERE confidence >= 2),
       z0 AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), z1 AS (SELECT DISTINCT dst AS id FROM b2 WHERE src IN (SELECT id FROM z0) AND dst NOT IN (SELECT id FROM z0)),
