@@ -196,7 +196,7 @@ def _pagerank(base: str, edges: str, rounds: int) -> str:
 from symvane.queries.resolution import BASE  # noqa: E402
 
 #: Ranked callers of every symbol over resolved references.
-_NEAR = """, near AS (SELECT e.dst AS here, e.src AS id, e.kind, e.confidence, e.line, row_number() OVER (PARTITION BY e.dst ORDER BY e.confidence DESC, f.path, e.line, x.start_line, e.src, e.kind) AS place FROM edges e JOIN s x ON x.id = e.src JOIN files f ON f.file_id = x.file_id)"""
+_NEAR = """, ranked AS (SELECT e.dst AS here, e.src AS id, e.kind, e.confidence, e.line, row_number() OVER (PARTITION BY e.dst ORDER BY e.confidence DESC, f.path, e.line, x.start_line, e.src, e.kind) AS place FROM edges e JOIN s x ON x.id = e.src JOIN files f ON f.file_id = x.file_id)"""
 
 SQL = {
     "central_symbols": PARTS + "SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 20",
@@ -215,9 +215,9 @@ SQL = {
         SELECT src AS seed, 'out' AS direction, dst AS id, kind, confidence, line FROM e UNION ALL SELECT dst, 'in', src, kind, confidence, line FROM e) x
       JOIN p ON p.id = x.id WHERE confidence >= 1) WHERE rank <= 6""",
     "g3_impact": PARTS + "SELECT root, id, depth, confidence FROM callers",
-    "g3_limited": BASE + _NEAR + """, l1 AS (SELECT here AS root, id, confidence AS got, kind, line, place FROM near), f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (
+    "g3_limited": BASE + _NEAR + """, l1 AS (SELECT here AS root, id, confidence AS got, kind, line, place FROM ranked), f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (
       SELECT root, id, arg_min(got, place) AS got, arg_min(kind, place) AS kind, arg_min(line, place) AS line, min(place) AS place FROM l1 WHERE id <> root GROUP BY 1, 2)),
-      l2 AS (SELECT f.root, n.id, least(f.got, n.confidence) AS got, n.kind, n.line, f.rank * 1000 + n.place AS pos FROM f1 f JOIN near n ON n.here = f.id),
+      l2 AS (SELECT f.root, n.id, least(f.got, n.confidence) AS got, n.kind, n.line, f.rank * 1000 + n.place AS pos FROM f1 f JOIN ranked n ON n.here = f.id),
       f2 AS (SELECT root, id, arg_min(kind, pos) AS kind, arg_min(line, pos) AS line FROM l2 WHERE id <> root AND (root, id) NOT IN (SELECT (root, id) FROM f1) GROUP BY 1, 2),
       ways AS (SELECT root, id, min(got) AS confidence FROM (SELECT root, id, got FROM l1 UNION ALL SELECT root, id, got FROM l2) GROUP BY 1, 2)
       SELECT x.root, x.id, depth, confidence, kind, line FROM (SELECT root, id, 1 AS depth, kind, line FROM f1 UNION ALL SELECT root, id, 2, kind, line FROM f2) x JOIN ways w ON w.root = x.root AND w.id = x.id""",
@@ -226,8 +226,8 @@ SQL = {
       SELECT p.id AS root, least(coalesce(n, 0), 12) AS callers, CASE WHEN coalesce(n, 0) = 0 AND visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND coalesce(n, 0) <= 12 AND visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict
       FROM p LEFT JOIN c ON c.dst = p.id""",
     "g5_reports": BASE + _NEAR + """, full_s AS (SELECT DISTINCT s.id, s.name, s.qualified_name, s.start_line, y.visibility, f.path FROM s JOIN files f ON f.file_id = s.file_id JOIN symbols y ON y.id = s.id),
-      c AS (SELECT here AS root, id, min(confidence) AS conf, arg_min(line, place) AS line FROM near WHERE id <> here GROUP BY 1, 2),
-      roots AS (SELECT DISTINCT dst AS root FROM edges), sure AS (SELECT here AS root, min(confidence) AS w FROM near GROUP BY 1),
+      c AS (SELECT here AS root, id, min(confidence) AS conf, arg_min(line, place) AS line FROM ranked WHERE id <> here GROUP BY 1, 2),
+      roots AS (SELECT DISTINCT dst AS root FROM edges), sure AS (SELECT here AS root, min(confidence) AS w FROM ranked GROUP BY 1),
       t AS (SELECT root, count(*) AS callers, string_agg(DISTINCT path, ';' ORDER BY path) AS files, string_agg(DISTINCT path, ';' ORDER BY path) FILTER (regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__)/') OR regexp_matches(path, '(?i)[_.](test|spec)\\.[^/]*$')) AS tests,
         (list(c.id ORDER BY conf DESC, path, c.line, name, c.id))[1] AS first FROM c JOIN full_s ON full_s.id = c.id GROUP BY 1),
       hits AS (SELECT r.root, x.id, x.id || ' ' || x.path || ' ' || x.qualified_name AS told, row_number() OVER (PARTITION BY r.root ORDER BY (x.name = o.name OR x.qualified_name = o.name) DESC, x.path, x.start_line, x.id) AS k
