@@ -161,7 +161,7 @@ def alternatives(roots: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def impact_report(edges: DataFrame, roots: DataFrame, symbols: DataFrame, depth: int = 2, least: int = HEURISTIC, limit: int = CALLERS) -> DataFrame:
     """One row per root: callers, direct, truncated, verdict, files, tests, alternatives and the commands to go on with."""
-    depth = max(1, min(depth, MOST_DEPTH))
+    depth, roots = max(1, min(depth, MOST_DEPTH)), roots.select("root").distinct()
     callers, flags = walk_callers(edges, roots, symbols, depth, least, limit)
     callers = cut(callers)
     placed = callers.join(symbols.select("id", "path", "start_line", "name"), "id")

@@ -215,28 +215,33 @@ SQL = {
         SELECT src AS seed, 'out' AS direction, dst AS id, kind, confidence, line FROM e UNION ALL SELECT dst, 'in', src, kind, confidence, line FROM e) x
       JOIN p ON p.id = x.id WHERE confidence >= 1) WHERE rank <= 6""",
     "g3_impact": PARTS + "SELECT root, id, depth, confidence FROM callers",
-    "g3_limited": BASE + _NEAR + """, l1 AS (SELECT here AS root, id, confidence AS got, kind, line, place FROM ranked), f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (
-      SELECT root, id, arg_min(got, place) AS got, arg_min(kind, place) AS kind, arg_min(line, place) AS line, min(place) AS place FROM l1 WHERE id <> root GROUP BY 1, 2)),
-      l2 AS (SELECT f.root, n.id, least(f.got, n.confidence) AS got, n.kind, n.line, f.rank * 1000 + n.place AS pos FROM f1 f JOIN ranked n ON n.here = f.id),
-      f2 AS (SELECT root, id, arg_min(kind, pos) AS kind, arg_min(line, pos) AS line FROM l2 WHERE id <> root AND (root, id) NOT IN (SELECT (root, id) FROM f1) GROUP BY 1, 2),
-      ways AS (SELECT root, id, min(got) AS confidence FROM (SELECT root, id, got FROM l1 UNION ALL SELECT root, id, got FROM l2) GROUP BY 1, 2)
-      SELECT x.root, x.id, depth, confidence, kind, line FROM (SELECT root, id, 1 AS depth, kind, line FROM f1 UNION ALL SELECT root, id, 2, kind, line FROM f2) x JOIN ways w ON w.root = x.root AND w.id = x.id""",
+    "g3_limited": BASE + _NEAR + """, l1 AS (SELECT here AS root, id, confidence AS got, kind, line, place FROM ranked WHERE place <= 51),
+      f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (SELECT root, id, arg_min(got, place) AS got, arg_min(kind, place) AS kind, arg_min(line, place) AS line, min(place) AS place FROM l1 WHERE id <> root GROUP BY 1, 2)),
+      stop1 AS (SELECT root, place AS stop FROM f1 WHERE rank = 51), w1 AS (SELECT l1.* FROM l1 LEFT JOIN stop1 s ON s.root = l1.root WHERE stop IS NULL OR place < stop),
+      k1 AS (SELECT * FROM f1 WHERE rank <= 50), had AS (SELECT root, count(*) AS n FROM k1 GROUP BY 1),
+      l2 AS (SELECT f.root, n.id, least(f.got, n.confidence) AS got, n.kind, n.line, f.rank * 1000 + n.place AS pos FROM k1 f JOIN ranked n ON n.here = f.id AND n.place <= 51 WHERE f.root NOT IN (SELECT root FROM stop1)),
+      f2 AS (SELECT x.*, n + row_number() OVER (PARTITION BY x.root ORDER BY first) AS rank FROM (SELECT root, id, arg_min(kind, pos) AS kind, arg_min(line, pos) AS line, min(pos) AS first FROM l2 WHERE id <> root AND (root, id) NOT IN (SELECT (root, id) FROM f1) GROUP BY 1, 2) x JOIN had ON had.root = x.root),
+      stop2 AS (SELECT root, min(first) AS stop FROM f2 WHERE rank > 50 GROUP BY 1), w2 AS (SELECT l2.* FROM l2 LEFT JOIN stop2 s ON s.root = l2.root WHERE stop IS NULL OR pos < stop),
+      ways AS (SELECT root, id, min(got) AS confidence FROM (SELECT root, id, got FROM w1 UNION ALL SELECT root, id, got FROM w2) GROUP BY 1, 2)
+      SELECT x.root, x.id, depth, confidence, kind, line FROM (SELECT root, id, 1 AS depth, kind, line FROM k1 UNION ALL SELECT root, id, 2, kind, line FROM f2 WHERE rank <= 50) x JOIN ways w ON w.root = x.root AND w.id = x.id""",
     "g4_verdicts": PARTS + """, near AS (SELECT dst, src, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, path, line, start_line, src, kind) AS place FROM e JOIN p ON p.id = src WHERE confidence >= 1),
       c AS (SELECT dst, count(DISTINCT src) FILTER (src <> dst) AS n, min(confidence) AS w FROM near WHERE place <= 13 GROUP BY 1)
       SELECT p.id AS root, least(coalesce(n, 0), 12) AS callers, CASE WHEN coalesce(n, 0) = 0 AND visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND coalesce(n, 0) <= 12 AND visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict
       FROM p LEFT JOIN c ON c.dst = p.id""",
     "g5_reports": BASE + _NEAR + """, full_s AS (SELECT DISTINCT s.id, s.name, s.qualified_name, s.start_line, y.visibility, f.path FROM s JOIN files f ON f.file_id = s.file_id JOIN symbols y ON y.id = s.id),
-      c AS (SELECT here AS root, id, min(confidence) AS conf, arg_min(line, place) AS line FROM ranked WHERE id <> here GROUP BY 1, 2),
-      roots AS (SELECT DISTINCT dst AS root FROM edges), sure AS (SELECT here AS root, min(confidence) AS w FROM ranked GROUP BY 1),
+      f1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS rank FROM (SELECT here AS root, id, arg_min(line, place) AS line, min(place) AS place FROM ranked WHERE id <> here AND place <= 51 GROUP BY 1, 2)),
+      stops AS (SELECT root, place AS stop FROM f1 WHERE rank = 51), seen AS (SELECT r.* FROM ranked r LEFT JOIN stops ON root = here WHERE place <= 51 AND (stop IS NULL OR place < stop)),
+      c AS (SELECT f1.root, f1.id, f1.line, min(confidence) AS conf FROM f1 JOIN seen ON here = f1.root AND seen.id = f1.id WHERE rank <= 50 GROUP BY 1, 2, 3),
+      roots AS (SELECT DISTINCT dst AS root FROM edges), sure AS (SELECT here AS root, min(confidence) AS w FROM seen GROUP BY 1),
       t AS (SELECT root, count(*) AS callers, string_agg(DISTINCT path, ';' ORDER BY path) AS files, string_agg(DISTINCT path, ';' ORDER BY path) FILTER (regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__)/') OR regexp_matches(path, '(?i)[_.](test|spec)\\.[^/]*$')) AS tests,
         (list(c.id ORDER BY conf DESC, path, c.line, name, c.id))[1] AS first FROM c JOIN full_s ON full_s.id = c.id GROUP BY 1),
       hits AS (SELECT r.root, x.id, x.id || ' ' || x.path || ' ' || x.qualified_name AS told, row_number() OVER (PARTITION BY r.root ORDER BY (x.name = o.name OR x.qualified_name = o.name) DESC, x.path, x.start_line, x.id) AS k
         FROM roots r JOIN full_s o ON o.id = r.root JOIN full_s x ON lower(x.name) = lower(o.name) OR lower(x.qualified_name) = lower(o.name)),
       alt AS (SELECT root, list(told ORDER BY k)[1:5] AS told FROM hits WHERE k <= 16 AND id <> root GROUP BY 1)
-      SELECT r.root, coalesce(callers, 0) AS callers, coalesce(callers, 0) AS direct, false AS truncated,
-        CASE WHEN callers IS NULL AND o.visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND o.visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict,
+      SELECT r.root, coalesce(callers, 0) AS callers, coalesce(callers, 0) AS direct, r.root IN (SELECT root FROM stops) AS truncated,
+        CASE WHEN callers IS NULL AND o.visibility IN ('public', 'unknown') THEN 'unknown' WHEN coalesce(w, 2) >= 2 AND r.root NOT IN (SELECT root FROM stops) AND o.visibility = 'private' THEN 'exact' ELSE 'lower-bound' END AS verdict,
         coalesce(files, '') AS files, coalesce(tests, '') AS tests, coalesce(array_to_string(told, ';'), '') AS alternatives,
-        'expand ' || coalesce(first, r.root) || CASE WHEN callers > 0 THEN ';impact ' || r.root || ' --depth 2' ELSE '' END || ';recall "' || o.qualified_name || '"' AS next
+        'expand ' || coalesce(first, r.root) || CASE WHEN r.root IN (SELECT root FROM stops) THEN ';impact ' || r.root || ' --limit 100' WHEN callers > 0 THEN ';impact ' || r.root || ' --depth 2' ELSE '' END || ';recall "' || o.qualified_name || '"' AS next
       FROM roots r JOIN full_s o ON o.id = r.root LEFT JOIN t ON t.root = r.root LEFT JOIN sure ON sure.root = r.root LEFT JOIN alt ON alt.root = r.root""",
     "g5_impact_files": PARTS + "SELECT root, CAST(count(DISTINCT path) AS INT) AS files, CAST(0 AS INT) AS tests, min(path) AS first FROM callers c JOIN p ON p.id = c.id GROUP BY 1",
     "g6_around": PARTS + """, b2 AS (SELECT src, dst FROM e WHERE confidence >= 2 UNION SELECT dst, src FROM e WHERE confidence >= 2),
