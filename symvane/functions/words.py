@@ -99,8 +99,8 @@ def english_for(word: Column) -> Column:
     w = folded(word)
     stems = [F.when(F.endswith(w, F.lit(e)), F.concat(F.substring(w, F.lit(1), F.length(w) - len(e)), F.lit("*"))) for e in STEM_ENDINGS]
     found = F.filter(F.array(w, *stems), lambda key: key.isNotNull() & F.map_contains_key(known, F.coalesce(key, F.lit(""))))
-    longest = F.element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), 1)
-    return F.when(F.size(found) > 0, F.element_at(known, longest)).otherwise(F.array().cast("array<string>"))
+    longest = F.try_element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    return F.when(F.size(found) > 0, F.try_element_at(known, longest)).otherwise(F.array().cast("array<string>"))
 
 
 def translated(words: Column) -> Column:

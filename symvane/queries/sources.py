@@ -50,12 +50,31 @@ def s5_lexical(spark: SparkSession, d: str) -> DataFrame:
     return ex.symbol_rows(texts).select("path", "name", "kind")
 
 
+#: Languages that are read by token rules.
+GRAMMARS = ("rust", "javascript", "typescript", "go", "java", "csharp", "c", "cpp", "php")
+
+
+def s4_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions found in sources made of every file's documented signatures with bodies that call the name before, by language."""
+    order = Window.partitionBy("file_id").orderBy("seq", "id")
+    rows = views.symbols(spark, d, "file_id", "seq", "name", "signature", "kind").filter("kind IN ('function', 'method')").join(views.files(spark, d).select("file_id", "language").filter(F.col("language").isin(*GRAMMARS)), "file_id")
+    rows = rows.withColumn("before", F.lag("name").over(order)).withColumn("block", F.floor((F.row_number().over(order) - 1) / rd.MOST_ENTRIES))  # a huge file as several texts
+    call = F.when(F.col("before").isNotNull(), F.concat(F.lit("  if (x > 1) { "), F.col("before"), F.lit("(x); }\n"))).otherwise("")
+    piece = F.concat(F.lit("// Said of it: { (\n"), "signature", F.lit(" {\n"), call, F.lit("}\n"))
+    whole = rows.groupBy("file_id", "language", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", piece.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    text = F.when(F.col("language").isin("java", "csharp"), F.concat(F.lit("class Holder {\n"), "body", F.lit("}\n"))).otherwise(F.col("body"))
+    path = F.concat_ws("/", "file_id", "block")
+    found = ex.symbol_rows(whole.select(path.alias("path"), "language", text.alias("text"))).filter("kind IN ('function', 'method')")
+    return found.select(F.split("path", "/")[0].cast("bigint").alias("file_id"), "name", F.coalesce(F.try_element_at("outline", F.lit(1)), F.lit("")).alias("calls"), (F.col("doc") == "Said of it: { (").alias("documented"))
+
+
 def s9_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Source of documents' first bytes, by offsets, only where the hash still holds."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL AND length(text) > 40")
+    """Halves of documents by byte offsets, only where the hash still holds and no character is cut in two."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
     contents = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.md5("text").alias("hash"))
     files = docs.select(F.col("doc_id").alias("file_id"), F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_kind") == "note", F.md5("text")).otherwise("old").alias("hash"))
-    symbols = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"))
+    half = F.floor(F.octet_length("text") / 2).cast("int")
+    symbols = docs.select(F.col("doc_id").alias("file_id"), F.explode(F.array(F.struct((F.col("doc_id") * 2).alias("id"), F.lit(0).alias("start_byte"), half.alias("end_byte")), F.struct((F.col("doc_id") * 2 + 1).alias("id"), half.alias("start_byte"), F.octet_length("text").alias("end_byte")))).alias("s")).select("file_id", "s.*")
     return slices(symbols, files, contents)
 
 
@@ -104,8 +123,8 @@ def k2_text(spark: SparkSession, d: str) -> DataFrame:
 
 def k6_api(spark: SparkSession, d: str) -> DataFrame:
     """Markdown reference of public symbols."""
-    sym = views.symbols(spark, d, "file_id", "kind", "signature", "doc", "visibility", "start_line").join(views.files(spark, d).select("file_id", "path"), "file_id")
-    return rd.api_reference(sym).select("path", F.regexp_count("markdown", F.lit("(?m)^- `")).alias("symbols"))
+    sym = views.symbols(spark, d, "file_id", "kind", "qualified_name", "signature", "doc", "visibility", "start_line").join(views.files(spark, d).select("file_id", "path"), "file_id")
+    return rd.api_reference(sym)
 
 
 def k7_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -155,21 +174,24 @@ def st6_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "kind").agg(F.max_by("n", "batch_id").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (s1_tree, s2_contents, s4_symbols, s4_refs, s5_lexical, s9_slices, s10_metrics, s11_entries, k1_toon, k2_json, k2_text, k3_report, k3_html, k6_api, k7_upsert, st1_diff, st1_dirty, st2_changed, st5_stream, st6_windows)}
+QUERIES = {f.__name__: f for f in (s1_tree, s2_contents, s4_symbols, s4_refs, s4_functions, s5_lexical, s9_slices, s10_metrics, s11_entries, k1_toon, k2_json, k2_text, k3_report, k3_html, k6_api, k7_upsert, st1_diff, st1_dirty, st2_changed, st5_stream, st6_windows)}
 
 from symvane.queries.plans import SQL as _PLANS  # noqa: E402
+from symvane.queries.search import SQL as _SEARCH  # noqa: E402
 
 _CUR = "c AS (SELECT DISTINCT id, file_id, name, qualified_name, kind, ordinal, sig_hash, body_hash FROM symbols), o AS (SELECT * FROM (SELECT DISTINCT * FROM old_symbols) QUALIFY row_number() OVER (PARTITION BY id ORDER BY stored_at DESC, file_id DESC, name DESC) = 1)"
 _DIFF = _CUR + ", diff AS (SELECT o.id AS old_id, c.id AS new_id, coalesce(c.file_id, o.file_id) AS file_id, coalesce(c.name, o.name) AS name, CASE WHEN o.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' WHEN o.name <> c.name THEN 'renamed' WHEN o.sig_hash <> c.sig_hash OR o.body_hash <> c.body_hash THEN 'modified' ELSE 'kept' END AS change FROM o FULL JOIN c ON o.file_id = c.file_id AND o.qualified_name = c.qualified_name AND o.kind = c.kind AND o.ordinal = c.ordinal)"
 
 SQL = {
-    "s9_slices": "SELECT doc_id AS id, text[1] AS source FROM documents WHERE length(text) > 40 AND doc_kind = 'note' AND ord(text[1]) < 128",
+    "s4_functions": "WITH s AS (SELECT DISTINCT s.id, s.file_id, s.seq, s.name FROM symbols s JOIN files f ON f.file_id = s.file_id WHERE s.kind IN ('function', 'method') AND f.language IN ('rust', 'javascript', 'typescript', 'go', 'java', 'csharp', 'c', 'cpp', 'php')) SELECT file_id, name, CASE WHEN lag(name) OVER w = name THEN name ELSE coalesce(lag(name) OVER w, '') END AS calls, true AS documented FROM s WINDOW w AS (PARTITION BY file_id ORDER BY seq, id)",
+    "s9_slices": """WITH h AS (SELECT doc_id, text, [i FOR i IN range(length(text) + 1) IF strlen(text[1:i]) = strlen(text) // 2] AS cuts FROM documents WHERE doc_kind = 'note' AND text IS NOT NULL)
+      SELECT doc_id * 2 AS id, text[1:cuts[1]] AS source FROM h WHERE len(cuts) > 0 UNION ALL SELECT doc_id * 2 + 1, text[cuts[1] + 1:] FROM h WHERE len(cuts) > 0""",
     "s10_metrics": "SELECT event_type AS event, count(*) AS n, sum(floor(coalesce(value, 0)))::BIGINT AS used, (sum(floor(coalesce(value, 0)))::BIGINT // count(*))::BIGINT AS average, (100 * sum(floor(coalesce(value, 0)))::BIGINT // (1000 * count(*)))::BIGINT AS percent FROM events WHERE event_type <> 'view' GROUP BY 1",
     "s11_entries": "SELECT name AS symbol, count(*) AS entries FROM (SELECT DISTINCT path, name, doc FROM outline_rows WHERE trim(doc) <> '') GROUP BY 1",
     "k1_toon": "SELECT path, count(*)::INT AS rows, true AS same FROM (SELECT DISTINCT * FROM outline_rows) GROUP BY 1",
     "k2_json": "SELECT '{\"file_id\":' || file_id || ',\"path\":\"' || path || '\",\"lines\":' || lines || '}' AS value FROM files",
     "k2_text": "SELECT path || '  ' || language || '  ' || lines AS value FROM files",
-    "k6_api": "WITH s AS (SELECT DISTINCT s.id, s.start_line, f.path FROM symbols s JOIN files f ON f.file_id = s.file_id WHERE visibility = 'public' AND kind <> 'module' ORDER BY f.path, start_line, id LIMIT 5000) SELECT path, count(*)::INT AS symbols FROM s GROUP BY 1",
+    "k6_api": "K6",
     "k7_upsert": f"WITH {_CUR}, r AS (SELECT file_id FROM files WHERE language = 'rust'), n AS (SELECT * FROM c WHERE file_id IN (SELECT file_id FROM r)) SELECT id, file_id, sig_hash FROM o WHERE file_id NOT IN (SELECT file_id FROM n) UNION ALL SELECT id, file_id, sig_hash FROM n",
     "st1_diff": f"WITH {_DIFF} SELECT old_id, new_id, change FROM diff",
     "st1_dirty": f"WITH {_DIFF} SELECT DISTINCT d.name, f.family FROM diff d JOIN files f ON f.file_id = d.file_id WHERE change IN ('added', 'removed', 'renamed') AND EXISTS (SELECT 1 FROM tmp_refs r JOIN files g ON g.file_id = r.file_id WHERE r.name = d.name AND g.family = f.family)",
@@ -181,3 +203,8 @@ SQL = {
 _ROWS = _PLANS["e6_insights"]
 SQL["k3_report"] = f"""SELECT section, '## ' || upper(section[1]) || section[2:] || E'\\n\\n| | |\\n|---|---|\\n' || string_agg('| ' || key || ' | ' || n || ' |', E'\\n' ORDER BY n DESC, key) AS markdown FROM ({_ROWS}) GROUP BY 1"""
 SQL["k3_html"] = f"""SELECT section, '<h2>' || section || '</h2><table>' || string_agg('<tr><td>' || key || '</td><td>' || n || '</td></tr>', '' ORDER BY n DESC, key) || '</table>' AS html FROM ({_ROWS}) GROUP BY 1"""
+_CELL = "replace(replace(replace(replace(replace(translate({0}, chr(9) || chr(10) || chr(13), '   '), chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), '`', chr(92) || '`'), '<', '&lt;'), '>', '&gt;')"
+SQL["k6_api"] = f"""WITH sent AS ({_SEARCH['f4_first_sentence']}), s AS (SELECT DISTINCT s.id, s.start_line, s.kind, s.qualified_name, s.signature, coalesce(sent.summary, '') AS summary, f.path FROM symbols s JOIN files f ON f.file_id = s.file_id LEFT JOIN sent ON sent.id = s.id WHERE visibility = 'public' AND kind <> 'module'),
+n AS (SELECT *, row_number() OVER (ORDER BY path, start_line, id) AS k FROM s), kept AS (SELECT * FROM n WHERE k <= 5000)
+SELECT path, '## ' || {_CELL.format('path')} || E'\\n\\n| kind | name | signature | summary |\\n|---|---|---|---|\\n' || string_agg('| ' || kind || ' | ' || {_CELL.format('qualified_name')} || ' | ' || {_CELL.format('signature')} || ' | ' || {_CELL.format('summary')} || ' |', E'\\n' ORDER BY k) AS markdown FROM kept GROUP BY path
+UNION ALL SELECT NULL, '> ' || count(*) || ' more public symbols were left out at the limit of 5000; narrow the reference with a path prefix.' FROM n WHERE k > 5000 HAVING count(*) > 0"""

@@ -1,8 +1,9 @@
 """Symbols and references of source files, one pass a file on the executors.
 
-Python goes through its own parser; other languages through lines: declarations by patterns,
-bodies by braces, indentation, end keywords or a semicolon, comments before a declaration as
-its documentation, and names before a parenthesis as calls.
+Python goes through its own parser, Rust, ECMAScript, Go, Java, C#, C, C++ and PHP through their
+token rules (`grammar.py`); other languages through lines: declarations by patterns, bodies by
+braces, indentation, end keywords or a semicolon, comments before a declaration as its
+documentation, and names before a parenthesis as calls.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from symvane.functions.text import fnv1a_bytes
+from symvane.sources import grammar
 
 #: Bounds of one file: symbols, references, names in an outline, characters of a signature, open declarations.
 MOST_SYMBOLS, MOST_REFS, MOST_OUTLINE, MOST_SIGNATURE, MOST_OPEN = 200_000, 20_000, 24, 240, 64
@@ -203,15 +205,27 @@ def python_source(text: str) -> Extract:
     return out
 
 
+def _read(text: str, language: str) -> Extract:
+    read = grammar.Reader(text, language).read()
+    return Extract(read.symbols, read.refs, text.count("\n") + (1 if text and not text.endswith("\n") else 0), read.errors)
+
+
+_CPP = re.compile(r"\b(?:class|template|namespace|typename|constexpr|nullptr)\b|\b(?:public|private|protected)\s*:|::")
+
+
 def extract(text: str, language: str) -> Extract:
-    """Symbols and references of a file; a C file with errors that looks like C++ is read again as such."""
+    """Symbols and references of a file; a C file with errors that looks like C++ is read again as such, and kept so if errors are fewer."""
     if language == "python":
         return python_source(text)
-    found = lexical(text, language)
-    found.parse_errors = int(language not in ENDED | INDENTED and text.count("{") != text.count("}"))
-    if language == "c" and found.parse_errors and re.search(r"\b(class|template|namespace|public:|private:)\b", text):
-        again = lexical(text, "cpp")
-        if len(again.symbols) > len(found.symbols):
+    if language not in grammar.LANGUAGES:
+        found = lexical(text, language)
+        found.parse_errors = int(language not in ENDED | INDENTED and text.count("{") != text.count("}"))
+        return found
+    found = _read(text, language)
+    if language == "c" and _CPP.search(text):
+        found.parse_errors += len(_CPP.findall(text))  # what C has no words for
+        again = _read(text, "cpp")
+        if again.parse_errors < found.parse_errors:
             return again
     return found
 

@@ -33,13 +33,25 @@ def read_entries(texts: DataFrame) -> DataFrame:
     return listed.filter(F.col("symbol").isNotNull() & ~blank(F.col("doc")) & (F.length("doc") <= MOST_CHARS))
 
 
+def _cell(c: Column) -> Column:
+    """Text of a table's cell: nothing in it ends the cell or opens markup."""
+    for char, instead in (("\\", "\\\\"), ("|", "\\|"), ("`", "\\`"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(char), F.lit(instead))
+    return F.translate(c, "\n\r\t", "   ")
+
+
 def api_reference(symbols: DataFrame, most: int = 5_000) -> DataFrame:
-    """Markdown of the public symbols of every file, in order: (path, markdown), at most `most` rows in all, as the report defines."""
-    public = symbols.filter("visibility = 'public' AND kind <> 'module'").orderBy("path", "start_line", "id").limit(most)
+    """Markdown tables of the public symbols of every file, in order: (path, markdown), `most` rows in all, then the count of the rest (path null)."""
+    public = symbols.filter("visibility = 'public' AND kind <> 'module'")
+    kept = public.orderBy("path", "start_line", "id").limit(most)
     summary = first_sentence(F.coalesce("doc", F.lit("")))
-    line = F.concat(F.lit("- `"), F.col("signature"), F.lit("` ("), F.col("kind"), F.lit(")"), F.when(summary == "", "").otherwise(F.concat(F.lit(": "), summary)))
-    grouped = public.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", line.alias("line")))).alias("ls"))
-    return grouped.select("path", F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("markdown"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "kind", _cell(F.col("qualified_name")), _cell(F.col("signature")), _cell(summary)), F.lit(" |"))
+    grouped = kept.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", line.alias("line")))).alias("ls"))
+    head = F.concat(F.lit("## "), _cell(F.col("path")), F.lit("\n\n| kind | name | signature | summary |\n|---|---|---|---|\n"))
+    rows = grouped.select("path", F.concat(head, F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("markdown"))
+    rest = public.agg((F.count(F.lit(1)) - most).alias("n")).filter("n > 0")
+    told = F.concat(F.lit("> "), F.col("n").cast("string"), F.lit(f" more public symbols were left out at the limit of {most}; narrow the reference with a path prefix."))
+    return rows.unionByName(rest.select(F.lit(None).cast("string").alias("path"), told.alias("markdown")))
 
 
 def report(sections: DataFrame, language: str = "en") -> DataFrame:
