@@ -132,7 +132,44 @@ def st3_touching(spark: SparkSession, d: str) -> DataFrame:
     return r.touching(refs, symbols, files, before, changed, dirty)
 
 
-QUERIES = {f.__name__: f for f in (j2_refs_in_files, j3_same_file, j4_unique_in_family, j5_hints, j6_picks, j7_parents, j8_counts, a1_names, w1_nearest, w3_shared_path, w4_ordinals, g10_edges, a2_edge_tiers, p8_names_type, p9_names_place, p10_no_self, f5_receivers, st3_touching)}
+def _pointed_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    refs, symbols, files = views.pointed(spark, d)
+    candidates = r.candidates_of(symbols, files)
+    return candidates, r.load_refs(refs, candidates, files)
+
+
+def j5_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """As j5_hints, over references whose receivers name types, files and directories."""
+    candidates, loaded = _pointed_parts(spark, d)
+    return r.hints(loaded, candidates)
+
+
+def j8_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """As j8_counts, over references whose receivers name types, files and directories."""
+    return _pointed_parts(spark, d)[1].select("id", "nsame", "cnt")
+
+
+def g10_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of all references whose receivers name types, files and directories."""
+    return r.resolve(*views.pointed(spark, d))
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    candidates, loaded = _pointed_parts(spark, d)
+    return loaded.filter("recv IS NOT NULL AND recv <> ''").select("name", "family", "recv").distinct().join(candidates, ["name", "family"])
+
+
+def p8_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """As p8_names_type, over receivers that name types, files and directories."""
+    return _said(spark, d).filter(r.names_type(F.col("recv"), F.col("name"), F.col("qualified"), F.col("parent"))).select("name", "family", "recv", "sid")
+
+
+def p9_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_names_place, over receivers that name types, files and directories."""
+    return _said(spark, d).filter(r.names_place(F.col("recv"), F.col("spath"))).select("name", "family", "recv", "sid")
+
+
+QUERIES = {f.__name__: f for f in (j2_refs_in_files, j3_same_file, j4_unique_in_family, j5_hints, j6_picks, j7_parents, j8_counts, a1_names, w1_nearest, w3_shared_path, w4_ordinals, g10_edges, a2_edge_tiers, p8_names_type, p9_names_place, p10_no_self, f5_receivers, st3_touching, j5_pointed, j8_pointed, g10_pointed, p8_pointed, p9_pointed)}
 QUERIES = {(f"inv_{k}" if k[0] == "p" else k): f for k, f in QUERIES.items()}  # p and a number is for the training-data problems
 
 _TYPE = """(recv <> '' AND (coalesce(replace(lower(parent), '_', '') = replace(recv, '_', ''), false)
@@ -208,3 +245,16 @@ SQL = {
     "f5_receivers": "SELECT DISTINCT rid AS id, CASE WHEN recv IN ('self', 'this', 'cls', 'static') THEN NULL ELSE lower(recv) END AS word FROM tmp_refs",
     "st3_touching": BASE + "SELECT * FROM edges",
 }
+
+#: The same over references that point, from names of one word.
+POINTED = BASE.replace("WITH s AS (SELECT DISTINCT id, file_id, name, qualified_name, start_line, parent_id FROM symbols),", """WITH s AS (SELECT id, file_id, CASE WHEN short = '' THEN name ELSE lower(short) END AS name, qualified_name, start_line, parent_id FROM (
+  SELECT DISTINCT id, file_id, name, regexp_extract(name, '([A-Z]?[a-z]+)[^a-z]*$', 1) AS short, qualified_name, start_line, parent_id FROM symbols)),""").replace(
+    "r AS (SELECT DISTINCT rid AS id, file_id, owner, name, kind, line, excl, recv FROM tmp_refs),", """nxt AS (SELECT file_id, path, lead(file_id) OVER (PARTITION BY family ORDER BY file_id) AS next_file FROM files),
+r AS (SELECT s.id, next_file AS file_id, s.parent_id AS owner, s.name, 'calls' AS kind, s.start_line + 1 AS line, (s.id % 5 = 0)::INT AS excl,
+  CASE s.id % 5 WHEN 0 THEN lower(p.name) WHEN 1 THEN lower(string_split(string_split(path, '/')[-1], '.')[1]) WHEN 2 THEN lower(string_split(path, '/')[1]) WHEN 3 THEN lower(p.name) || 's' END AS recv
+  FROM s LEFT JOIN s p ON p.id = s.parent_id JOIN nxt ON nxt.file_id = s.file_id WHERE next_file IS NOT NULL AND s.parent_id IS NOT NULL),""")
+SQL |= {
+    "j5_pointed": POINTED + "SELECT id, hint FROM hint", "j8_pointed": POINTED + "SELECT id, nsame, cnt FROM loaded", "g10_pointed": POINTED + "SELECT * FROM edges",
+    "inv_p8_pointed": POINTED + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_TYPE.replace('|| name', '|| a.name')}",
+    "inv_p9_pointed": POINTED + f"SELECT a.name, a.family, recv, sid FROM (SELECT DISTINCT name, family, recv FROM loaded WHERE recv <> '') a JOIN cand c ON c.name = a.name AND c.family = a.family WHERE {_place('spath')}",
+}
