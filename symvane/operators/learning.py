@@ -14,24 +14,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symvane.functions.scoring import decay, multiplier, signal_delta
+from symvane.functions.scoring import HALF_LIFE, decay, multiplier, signal_delta
 
 #: Seconds within which a shown and unused target counts as ignored, and targets it counts for.
 IGNORE_SECONDS, IGNORE_MOST = 1_800, 20
+#: Seconds whose signals are added up together.
+DAY = 86_400
 #: Distinct targets before that one counts as used together with.
 TOGETHER_LAST = 8
 
 
+def _folded(rows: DataFrame, keys: list[str], at: Column, values: dict[str, Column]) -> DataFrame:
+    """Per key its values, each decayed from its time to the key's last one, and that time as updated_at.
+
+    One aggregate, whose parts are combined before each shuffle: a key's values add up by day, decayed to the day's
+    end, and its days, however many rows they stand for, are then rebased to the last time.
+    """
+    end = (F.floor(at / DAY) + 1) * DAY
+    timed = rows.select(*keys, at.alias("__at"), end.alias("__end"), *[v.alias(k) for k, v in values.items()])
+    share = decay(F.col("__end") - F.col("__at"))
+    days = timed.groupBy(*keys, "__end").agg(F.max("__at").alias("__at"), *[F.sum(F.col(k) * share).alias(k) for k in values])
+    whole = days.groupBy(*keys).agg(F.max("__at").alias("updated_at"), F.collect_list(F.struct("__end", *values)).alias("__days"))
+
+    def rebased(k: str) -> Column:
+        return F.aggregate("__days", F.lit(0.0), lambda acc, x: acc + x[k] * F.pow(F.lit(0.5), (F.col("updated_at") - x["__end"]) / HALF_LIFE)).alias(k)
+
+    sums = [rebased(k) for k in values]
+    return whole.select(*keys, *sums, "updated_at")
+
+
 def utility(signals: DataFrame) -> DataFrame:
     """State per target (target_kind, target_id, alpha, beta, updated_at) after the whole log, in order of time.
 
     Signals of unknown kind add nothing but still move the time; null times count as the earliest.
     """
-    at = F.coalesce("at", F.lit(0))
-    last = signals.groupBy("target_kind", "target_id").agg(F.max(at).alias("updated_at"))
-    joined = signals.join(last, ["target_kind", "target_id"])
-    share = decay(F.col("updated_at") - at)
-    return joined.groupBy("target_kind", "target_id").agg(F.sum(signal_delta(F.col("kind"), 0) * share).alias("alpha"), F.sum(signal_delta(F.col("kind"), 1) * share).alias("beta"), F.max("updated_at").alias("updated_at"))
+    values = {"alpha": signal_delta(F.col("kind"), 0), "beta": signal_delta(F.col("kind"), 1)}
+    return _folded(signals, ["target_kind", "target_id"], F.coalesce("at", F.lit(0)).cast("bigint"), values)
 
 
 def multipliers(state: DataFrame, now: Column) -> DataFrame:
@@ -42,8 +60,7 @@ def multipliers(state: DataFrame, now: Column) -> DataFrame:
 
 def coaccess(pairs: DataFrame) -> DataFrame:
     """Weight of every pair (a < b) seen together at times `at`: decayed to the last time, plus one each."""
-    last = pairs.groupBy("a", "b").agg(F.max("at").alias("updated_at"))
-    return pairs.join(last, ["a", "b"]).groupBy("a", "b").agg(F.sum(decay(F.col("updated_at") - F.col("at"))).alias("weight"), F.max("updated_at").alias("updated_at"))
+    return _folded(pairs, ["a", "b"], F.col("at").cast("bigint"), {"weight": F.lit(1.0)})
 
 
 def partners(weights: DataFrame, now: Column, k: int) -> DataFrame:

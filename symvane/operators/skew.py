@@ -129,10 +129,10 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None, task_ro
     heavy_rows: list[tuple[tuple, int]] = []
     if full:
         counted = only.filter(bucket.isin(full)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-        heavy_rows = sorted(((tuple(r[:-1]), r[-1]) for r in counted.collect()), key=lambda x: (-x[1], str(x[0])))
-        hashed = counted.select(bucket.alias("b"), "__n").groupBy("b").agg(F.sum("__n").alias("n")).collect()
-        for b, n in hashed:
-            loads[b] -= n
+        rows = counted.select(*keys, "__n", bucket.alias("__b")).collect()  # at most SPLIT * tasks
+        heavy_rows = sorted(((tuple(r[:-2]), r[-2]) for r in rows), key=lambda x: (-x[1], str(x[0])))
+        for r in rows:
+            loads[r[-1]] -= r[-2]
     shard_counts = [-(-n // limit) for _, n in heavy_rows]
     items = loads + [n // k for (_, n), k in zip(heavy_rows, shard_counts) for _ in range(k)]
     at, slot_of, heavy, i = pack(items, tasks), slots(tasks), [], BUCKETS

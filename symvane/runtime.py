@@ -44,6 +44,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="symvane-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.symvane.scratch", found)
@@ -63,10 +65,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core reads at once; a scan of at least so much for each core has splits enough as it is.
+SPLIT_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before costly work on each row, where it is read from fewer files than there are cores."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    """df over all cores before costly work on each row, where it is a small scan of fewer files than there are cores.
+
+    A scan of SPLIT_BYTES or more a core is left alone, whatever its files: large files are split by the reader.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def release(df: DataFrame) -> None:
