@@ -280,7 +280,7 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, lo
     local = cut(placed.select("id", "parent", "label").mapInArrow(_local, _LOCAL))
 
     # The parents that lie outside their child's partition: however many children name one, it is one node of the next level.
-    outer = cut(local.filter(F.col("state") == OPEN).select(F.col("out_parent").alias("t")).distinct())
+    outer = local.filter(F.col("state") == OPEN).select(F.col("out_parent").alias("t")).distinct()
     entry = outer.join(local.withColumnRenamed("id", "t"), "t", "left")
     gone = F.col("state").isNull()
     links = cut(entry.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symvane.functions.text import blank, guard, hamming, redact, sanitize, similarity, simhash
+from symvane.functions.text import BLOCKING, blank, guard, hamming, redact, sanitize, similarity, simhash
 from symvane.functions.words import CHOICES, NEGATIONS, STOP, content_words, note_words, root_of, tongue
 
 #: Thresholds of comparing: a duplicate, a reinforcement, and bits simhashes may differ in.
@@ -82,6 +82,63 @@ def admitted(notes: DataFrame) -> DataFrame:
     return clean.withColumn("reasons", guard(F.col("text")))
 
 
+#: Anchors a note may have, and memories it is compared with.
+MOST_ANCHORS, COMPARED = 10, 200
+
+
+def remember(notes: DataFrame, anchors: DataFrame, memories: DataFrame, held: DataFrame) -> DataFrame:
+    """What becomes of new notes: (id, outcome, memory_id, reason, similarity).
+
+    notes (id, kind, text) and memories (id, kind, text, created_at) have ids of their own; anchors and held are
+    (memory_id, symbol_id). A note is cleaned first; one that is blank or that the guard blocks is refused. It is compared
+    with the newest COMPARED memories of its kind that share one of its first MOST_ANCHORS anchors. A contradiction comes
+    before likeness: it is stored and the conflict reported. One as good as equal is a duplicate if its anchors are the
+    same, else, as one that is alike, it reinforces; all others are stored. `memory_id` is what it was found to match.
+    """
+    clean = notes.withColumn("text", redact(sanitize(F.col("text"))))
+    reasons = F.filter(guard(F.col("text")), lambda r: r.isin(list(BLOCKING)))
+    judged = clean.select("id", "kind", "text", (blank(F.col("text")) | (F.size(reasons) > 0)).alias("refused"))
+    first = Window.partitionBy("memory_id").orderBy("symbol_id")
+    own = anchors.filter("symbol_id IS NOT NULL").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= MOST_ANCHORS).drop("k")
+    asked = judged.filter("NOT refused").select(F.col("id").alias("left_id"), "kind").join(own.select(F.col("memory_id").alias("left_id"), "symbol_id"), "left_id")
+    other = held.filter("symbol_id IS NOT NULL").distinct().join(memories.select(F.col("id").alias("memory_id"), "kind", "created_at"), "memory_id")
+    newest = Window.partitionBy("symbol_id", "kind").orderBy(F.col("created_at").desc(), "memory_id")  # no symbol gives a note more than it may be compared with
+    near = other.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= COMPARED).select(F.col("memory_id").alias("right_id"), "symbol_id", "kind", "created_at")
+    met = asked.join(near, ["symbol_id", "kind"]).select("left_id", "right_id", "kind", "created_at").distinct()
+    order = Window.partitionBy("left_id").orderBy(F.col("created_at").desc(), "right_id")
+    pairs = met.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= COMPARED).select("left_id", "right_id", "kind")
+    found = compare(pairs, judged.select("id", "text").unionByName(memories.select("id", "text")))
+    places = lambda a: a.filter("symbol_id IS NOT NULL").groupBy("memory_id").agg(F.array_sort(F.collect_set("symbol_id")).alias("at"))
+    ours, theirs = places(own), places(held)
+    found = found.join(ours.select(F.col("memory_id").alias("left_id"), F.col("at").alias("l_at")), "left_id").join(theirs.select(F.col("memory_id").alias("right_id"), F.col("at").alias("r_at")), "right_id")
+    rank = F.when(F.col("outcome") == "conflicts", 0).when((F.col("outcome") == "duplicate") & (F.col("l_at") == F.col("r_at")), 1).when(F.col("outcome").isin("duplicate", "reinforced"), 2).otherwise(3)
+    best = found.withColumn("rank", rank).filter("rank < 3").groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("rank", (-F.col("similarity")).alias("far"), "right_id", "reason")).alias("b"))
+    outcome = F.when(F.col("refused"), "refused").when(F.col("b").isNull(), "stored").otherwise(F.element_at(F.array(F.lit("conflicts"), F.lit("duplicate"), F.lit("reinforced")), F.col("b.rank") + 1))
+    return judged.join(best, "id", "left").select("id", outcome.alias("outcome"), F.col("b.right_id").alias("memory_id"), F.col("b.reason").alias("reason"), (-F.col("b.far")).alias("similarity"))
+
+
+#: Columns of a draft: a memory that was suggested and that nobody has confirmed.
+DRAFT = ["id", "kind", "text", "about", "created_at"]
+
+
+def add_drafts(drafts: DataFrame, new: DataFrame) -> DataFrame:
+    """Drafts with new ones (DRAFT columns) beside them; a kind and text that is there already keeps its row, copies among the new ones their first."""
+    once = new.groupBy("kind", "text").agg(F.min(F.struct("created_at", "id", "about")).alias("r")).select("r.id", "kind", "text", "r.about", "r.created_at")
+    return drafts.select(*DRAFT).unionByName(once.join(drafts.select("kind", "text"), ["kind", "text"], "left_anti").select(*DRAFT))
+
+
+def list_drafts(drafts: DataFrame, limit: int) -> DataFrame:
+    """The newest drafts first."""
+    return drafts.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+
+
+def settle_drafts(drafts: DataFrame, ids: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """Drafts without those named (column id), and with `keep` the memories they become, by the agent."""
+    named = drafts.join(ids.select("id").distinct(), "id", "left_semi")
+    kept = named.select("id", "kind", "text", F.lit("agent").alias("provenance"), "created_at")
+    return drafts.join(ids.select("id").distinct(), "id", "left_anti"), kept if keep else kept.limit(0)
+
+
 def corroborations(events: DataFrame) -> DataFrame:
     """Independent corroborations per memory (memory_id, provenance, at): at least a quarter of an hour apart, never by tools, at most eight.
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from symvane.functions import scoring as sc
 from symvane.functions.text import first_sentence, fold, token_estimate, word_parts
 from symvane.operators.pack import CANDIDATES, pack_batch
-from symvane.operators.search import STOP_WORDS, Index, bm25, query_terms
+from symvane.operators.search import STOP_WORDS, Index, baseline, bm25, postings, query_terms
 from symvane.runtime import cut
 
 #: Exact and text seeds of a query, and how few text seeds make it relax.
@@ -31,13 +31,14 @@ SOURCE_TOKENS = 3_000
 
 @dataclass
 class Tables:
-    """What recall reads: symbols (with path), index, edges, pairs used together, learned state."""
+    """What recall reads: symbols (with path), index, edges, and if there are any pairs used together, learned state and sources (id, source)."""
 
     symbols: DataFrame
     postings: Index
     edges: DataFrame
     pairs: DataFrame | None = None
     state: DataFrame | None = None
+    sources: DataFrame | None = None
 
 
 def exact_seeds(symbols: DataFrame, queries: DataFrame) -> DataFrame:
@@ -121,8 +122,11 @@ def level_text(level: int):
     return [F.lit(""), F.col("signature"), told, calls][level]
 
 
-def options(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Options of every candidate: (query_id, id, relevance, level, tokens, utility); a level whose text equals the one before is left out."""
+def options(candidates: DataFrame, symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Options of every candidate: (query_id, id, relevance, level, tokens, utility); a level whose text equals the one before is left out.
+
+    With `sources` (id, source) the last level is the source itself, where it takes at most SOURCE_TOKENS.
+    """
     rows = candidates.join(symbols.select("id", "name", "signature", "doc", "outline"), "id")
     texts = [level_text(k) for k in range(4)]
     name = token_estimate(F.col("name"))
@@ -131,13 +135,30 @@ def options(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
         cost = name + 1 if k == 0 else 9 + name + token_estimate(text)
         keep = F.lit(True) if k == 0 else text != texts[k - 1]
         made.append(F.when(keep, F.struct(F.lit(k).alias("level"), cost.cast("int").alias("tokens"), F.lit(UTILITIES[k]).alias("utility"))))
+    if sources is not None:
+        rows = rows.join(sources.select("id", token_estimate(F.col("source")).alias("__source")), "id", "left")
+        whole = F.struct(F.lit(4).alias("level"), (17 + name + F.col("__source")).cast("int").alias("tokens"), F.lit(UTILITIES[4]).alias("utility"))
+        made.append(F.when((F.col("__source") > 0) & (F.col("__source") <= SOURCE_TOKENS), whole))
     return rows.select("query_id", "id", "relevance", F.explode(F.array_compact(F.array(*made))).alias("o")).select("query_id", "id", "relevance", "o.level", "o.tokens", "o.utility")
 
 
+#: Relations listed beside an answer.
+RELATIONS = 12
+
+
+def relations(chosen: DataFrame, edges: DataFrame, most: int = RELATIONS) -> DataFrame:
+    """Certain edges among the symbols of an answer, the first `most` by kind and ends: (query_id, src, dst, kind, rank)."""
+    ends = chosen.select("query_id", "id").distinct()
+    sure = edges.filter("confidence >= 2").select("src", "dst", "kind").distinct()
+    both = sure.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["query_id", "dst"]).filter("src <> dst")
+    order = Window.partitionBy("query_id").orderBy("kind", "src", "dst")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "src", "dst", "kind", "rank")
+
+
 def recall(tables: Tables, queries: DataFrame) -> DataFrame:
     """Answers (query_id, id, level, tokens, relevance, reason). queries: (query_id, text, budget)."""
     found = cut(ranked(tables, queries))
-    chosen = pack_batch(options(found, tables.symbols), queries.select("query_id", "budget"))
+    chosen = pack_batch(options(found, tables.symbols, tables.sources), queries.select("query_id", "budget"))
     return chosen.join(found, ["query_id", "id"])
 
 
@@ -223,14 +244,32 @@ def known_item_tasks(symbols: DataFrame, most: int, seed: int, budget: int) -> D
     return by_doc.unionByName(by_name).filter("text <> ''").withColumn("budget", F.lit(budget))
 
 
-def bench(tables: Tables, tasks: DataFrame) -> DataFrame:
-    """Hit rate, mean tokens and percentiles of recall over tasks, by family of questions."""
+def baseline_arm(tasks: DataFrame, files: DataFrame, placed: DataFrame, k: int = 3) -> DataFrame:
+    """What reading whole files costs: per task the tokens of the `k` files with most distinct words of the query, and whether the wanted symbol's is one.
+
+    files: (path, text); placed: (id, path). Returns (query_id, base_tokens, base_hit).
+    """
+    words = tasks.select("query_id", F.explode(F.array_distinct(F.transform(word_parts(F.col("text")), fold))).alias("term"))
+    posts = postings(files, "path", {"text": 1.0})
+    read = baseline(posts, words, k).select("query_id", F.col("doc").alias("path")).join(files.select("path", token_estimate(F.col("text")).alias("tokens")), "path")
+    wanted = tasks.select("query_id", F.col("wanted").alias("id")).join(placed.select("id", F.col("path").alias("wanted_path")), "id")
+    return read.join(wanted.select("query_id", "wanted_path"), "query_id").groupBy("query_id").agg(F.sum("tokens").alias("base_tokens"), F.max((F.col("path") == F.col("wanted_path")).cast("int")).alias("base_hit"))
+
+
+def bench(tables: Tables, tasks: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Hit rate, mean tokens and percentiles of recall over tasks, by family of questions and budget; with `base` (of `baseline_arm`) also its rates and the share saved."""
     got = recall(tables, tasks.select("query_id", "text", "budget"))
     used = got.groupBy("query_id").agg(F.sum("tokens").alias("used"))
     hit = got.join(tasks.select("query_id", F.col("wanted").alias("id")), ["query_id", "id"], "left_semi").select("query_id", F.lit(1).alias("hit"))
-    rows = tasks.join(used, "query_id", "left").join(hit, "query_id", "left").na.fill(0, ["used", "hit"])
+    rows = tasks.join(used, "query_id", "left").join(hit, "query_id", "left")
+    more = []
+    if base is not None:
+        rows = rows.join(base, "query_id", "left").na.fill(0, ["base_tokens", "base_hit"])
+        spent = F.sum("base_tokens")
+        more = [F.round(F.avg("base_hit"), 4).alias("base_hit_rate"), F.round(F.avg("base_tokens"), 4).alias("base_tokens"), F.when(spent > 0, F.round((spent - F.sum("used")) / spent, 4)).alias("saved")]
+    rows = rows.na.fill(0, ["used", "hit"])
     family = F.when(F.col("query_id") % 2 == 0, "description").otherwise("name")
-    return rows.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg("hit"), 4).alias("hit_rate"), F.round(F.avg("used"), 4).alias("mean_tokens"), sc.nearest_rank("used", 50).cast("int").alias("p50"), sc.nearest_rank("used", 95).cast("int").alias("p95"))
+    return rows.groupBy(family.alias("family"), "budget").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg("hit"), 4).alias("hit_rate"), F.round(F.avg("used"), 4).alias("mean_tokens"), sc.nearest_rank("used", 50).cast("int").alias("p50"), sc.nearest_rank("used", 95).cast("int").alias("p95"), *more)
 
 
 def brief(sections: dict[str, DataFrame], budget: int, keep: tuple[str, ...] = ("central", "modules", "known"), least: int = 2) -> dict[str, list]:

@@ -179,9 +179,35 @@ def e8_doc_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e10_bench(spark: SparkSession, d: str) -> DataFrame:
-    """Recall on a hundred known items, by description and by name, under 1000 tokens."""
+    """Recall on a hundred known items, by description and by name, under three budgets, beside reading three whole files."""
     t = _tables(spark, d)
-    return rc.bench(t, cut(rc.known_item_tasks(t.symbols, 100, 7, 1000)))
+    tasks = rc.known_item_tasks(t.symbols, 100, 7, 0).withColumn("budget", F.explode(F.array(F.lit(500), F.lit(1000), F.lit(2000))))
+    tasks = cut(tasks.withColumn("query_id", F.col("budget") * 2_000_000_000_000_000 + F.col("query_id")))  # ids stay apart by budget, and even or odd
+    piece = F.concat_ws("\n", "signature", F.coalesce("doc", F.lit("")))
+    files = t.symbols.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", piece.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    return rc.bench(t, tasks, rc.baseline_arm(tasks, cut(files), t.symbols))
+
+
+def e1_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Five questions answered with learned state, symbols used together and sources, and the certain relations among each answer's symbols."""
+    t = _tables(spark, d)
+    users = 150
+    state = ln.multipliers(ln.utility(views.signals(spark, d)), F.lit(1_706_745_600)).withColumn("k", F.pmod("target_id", F.lit(users)))
+    t.state = t.symbols.select(F.col("id").alias("target_id"), F.pmod("id", F.lit(users)).alias("k")).join(state.groupBy("k").agg(F.max("multiplier").alias("multiplier")), "k").drop("k")
+    t.pairs = ln.partners(t.edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.lit(0).cast("bigint").alias("updated_at")), F.lit(0), rc.PARTNERS)
+    t.sources = t.symbols.select("id", F.concat_ws("\n", "signature", "doc").alias("source"))
+    got = cut(rc.recall(t, _questions(spark)))
+    told = got.select("query_id", F.lit("symbol").alias("what"), "id", F.col("level").cast("bigint").alias("n"), "reason")
+    return told.unionByName(rc.relations(got, t.edges).select("query_id", F.lit("relation").alias("what"), F.col("src").alias("id"), F.col("dst").alias("n"), F.col("kind").alias("reason")))
+
+
+def m1_remember(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every stored comment's oldest version when it is told again: stored, reinforced, a duplicate, a conflict or refused."""
+    notes, anchors = views.memories(spark, d), views.anchors(spark, d).select("memory_id", "symbol_id")
+    first = table(spark, d, "old_symbols").filter(F.length(F.trim("doc")) > 0).groupBy("id").agg(F.min(F.struct("stored_at", "doc")).alias("r")).select((-F.col("id")).alias("id"), F.col("r.doc").alias("text"))
+    kinds = notes.select((-F.col("id")).alias("id"), "kind")
+    told = mem.remember(first.join(kinds, "id"), anchors.select((-F.col("memory_id")).alias("memory_id"), "symbol_id"), notes, anchors)
+    return told.groupBy("outcome").agg(F.count(F.lit(1)).alias("notes"))
 
 
 def e6_insights(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +219,7 @@ def e6_insights(spark: SparkSession, d: str) -> DataFrame:
     return lang.unionByName(mods).unionByName(spots).unionByName(runs)
 
 
-QUERIES = {f.__name__: f for f in (l1_utility, l1_multipliers, a13_status, a14_usage, l2_ignored, l3_together, l4_coaccess, o4_partners, j18_boosts, m6_stale, m5_reanchor, m3_corroborate, j19_pairs, m1_compare, m1_admitted, o3_candidates, e1_recall, e1_capsules, f25_costs, e5_brief, e2_expand, e3_outline, e4_map, e6_insights, e7_names, e8_doc_gaps, e10_bench)}
+QUERIES = {f.__name__: f for f in (l1_utility, l1_multipliers, a13_status, a14_usage, l2_ignored, l3_together, l4_coaccess, o4_partners, j18_boosts, m6_stale, m5_reanchor, m3_corroborate, j19_pairs, m1_compare, m1_admitted, o3_candidates, e1_recall, e1_capsules, f25_costs, e5_brief, e2_expand, e3_outline, e4_map, e6_insights, e7_names, e8_doc_gaps, e10_bench, e1_learned, m1_remember)}
 
 _SIG = "sig AS (SELECT event_id AS id, user_id AS t, floor(epoch(ts))::BIGINT AS s0, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 ELSE 0.0 END AS da, CASE event_type WHEN 'signup' THEN 0.25 WHEN 'error' THEN 1.5 WHEN 'purchase' THEN 2.0 ELSE 0.0 END AS db FROM events), lst AS (SELECT t, max(s0) AS u FROM sig GROUP BY 1), st AS (SELECT sig.t, sum(da * pow(0.5, (u - s0) / 2592000.0)) AS alpha, sum(db * pow(0.5, (u - s0) / 2592000.0)) AS beta, max(u) AS u FROM sig JOIN lst ON lst.t = sig.t GROUP BY 1), sh AS (SELECT t, CASE WHEN 1706745600 <= u THEN 1 ELSE pow(0.5, (1706745600 - u) / 2592000.0) END AS k, alpha, beta FROM st), mu AS (SELECT t, CASE WHEN (alpha + beta) * k < 0.05 THEN 1 ELSE least(greatest(1 + 0.5 * (2 * (1 + alpha * k) / (2 + (alpha + beta) * k) - 1) * (alpha + beta) * k / ((alpha + beta) * k + 4), 0.5), 1.5) END AS m FROM sh)"
 _TOG = "tog AS (SELECT x.l_partkey AS a, y.l_partkey AS b, floor(epoch(o_orderdate))::BIGINT AS s0 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey JOIN orders ON o_orderkey = x.l_orderkey), tl AS (SELECT a, b, max(s0) AS u FROM tog GROUP BY 1, 2), co AS (SELECT tog.a, tog.b, sum(pow(0.5, (u - s0) / 2592000.0)) AS w, max(u) AS u FROM tog JOIN tl ON tl.a = tog.a AND tl.b = tog.b GROUP BY 1, 2)"

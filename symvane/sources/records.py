@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from symvane.functions.text import blank, first_sentence
+from symvane.functions.text import blank, first_sentence, redact
 from symvane.runtime import cut
 
 _METRIC = T.StructType([T.StructField(c, T.StringType()) for c in ("event", "kind", "op")] + [T.StructField(c, T.LongType()) for c in ("at", "used", "budget")] + [T.StructField("_bad", T.StringType())])
@@ -119,6 +120,61 @@ def changed_files(listed: DataFrame, stored: DataFrame) -> DataFrame:
     return listed.join(stored.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+#: Files and bytes of one batch, and hash ranges that batches are counted in.
+BATCH_FILES, BATCH_BYTES, BATCH_RANGES = 200, 16 << 20, 64
+
+
+def batches(files: DataFrame, most_files: int = BATCH_FILES, most_bytes: int = BATCH_BYTES, ranges: int = BATCH_RANGES) -> DataFrame:
+    """files (path, size) with the batch of each: at most `most_files` files that begin within `most_bytes` of the batch's first.
+
+    Batches are counted within ranges of the path's hash, so no task sees all files; a file larger than a batch has one
+    to itself or ends one. An empty list gives none.
+    """
+    ordered = Window.partitionBy("__range").orderBy("path")
+    rows = files.withColumn("__range", F.pmod(F.xxhash64("path"), F.lit(ranges)).cast("int"))
+    before = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell = rows.withColumn("__cell", F.floor(before / most_bytes)).withColumn("__nth", F.row_number().over(Window.partitionBy("__range", "__cell").orderBy("path")))
+    return cell.withColumn("batch", F.concat_ws("-", "__range", "__cell", F.floor((F.col("__nth") - 1) / most_files))).drop("__range", "__cell", "__nth")
+
+
+# How a line of documentation opens, by language.
+DOC_SIGNS = {"rust": "/// ", "python": "# ", "ruby": "# ", "shell": "# ", "r": "# ", "elixir": "# ", "sql": "-- ", "lua": "-- ", "haskell": "-- ", "clojure": "; "}
+
+
+def insert_docs(text: str, language: str, places: list[tuple[int, int, str]]) -> str:
+    """A source with documentation before its lines (line, id, doc), put in from the bottom up, with the line's indentation."""
+    lines = text.split("\n")
+    sign = DOC_SIGNS.get(language, "// ")
+    for line, _, doc in sorted(places, key=lambda p: (-p[0], -p[1])):
+        pad = lines[line - 1][: len(lines[line - 1]) - len(lines[line - 1].lstrip())]
+        lines[line - 1 : line - 1] = [f"{pad}{sign}{x}".rstrip() for x in doc.strip().split("\n")]
+    return "\n".join(lines)
+
+
+def apply_docs(entries: DataFrame, symbols: DataFrame, contents: DataFrame, dry_run: bool = False) -> DataFrame:
+    """Files with the documentation of entries (symbol, doc) put before their symbols: (path, text, applied, refused).
+
+    symbols: (id, name, qualified_name, path, start_line, hash), hash being that of the content they were read from;
+    contents: (path, language, text, hash). An entry names a symbol by #id, qualified name, or a name only one symbol
+    has; others are left out. A file that has changed since is refused whole. With `dry_run` text is null.
+    """
+    key = lambda c, w: symbols.select(c.alias("symbol"), F.lit(w).alias("weight"), "id", "path", "start_line", "hash")
+    names = key(F.concat(F.lit("#"), F.col("id").cast("string")), 0).unionByName(key(F.col("qualified_name"), 1)).unionByName(key(F.col("name"), 2))
+    clean = entries.filter(~blank(F.col("doc")) & (F.length("doc") <= MOST_CHARS)).withColumn("doc", redact(F.col("doc"))).distinct()
+    hits = clean.join(names, "symbol").groupBy("symbol", "doc").agg(F.min("weight").alias("weight"), F.collect_set(F.struct("weight", "id", "path", "start_line", "hash")).alias("all"))
+    best = hits.select("doc", F.filter("all", lambda x: x["weight"] == F.col("weight")).alias("found")).filter(F.size("found") == 1).select("doc", F.col("found")[0].alias("f")).select("doc", "f.id", "f.path", "f.start_line", "f.hash")
+    one = best.groupBy("path", "id", "start_line", "hash").agg(F.min("doc").alias("doc"))
+    grouped = one.groupBy("path").agg(F.collect_list(F.struct("start_line", "id", "doc")).alias("places"), F.collect_set("hash").alias("hashes"))
+    joined = grouped.join(contents, "path").withColumn("refused", (F.size("hashes") > 1) | (F.col("hashes")[0] != F.col("hash")))
+
+    @F.udf(T.StringType())
+    def put(text: str, language: str, places: list) -> str:
+        return insert_docs(text, language, [tuple(p) for p in places])
+
+    text = F.when(~F.col("refused"), put("text", "language", "places")) if not dry_run else F.lit(None).cast("string")
+    return joined.select("path", text.alias("text"), F.when(F.col("refused"), 0).otherwise(F.size("places")).alias("applied"), "refused")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that df may itself read: the rows are written apart first."""
     cut(df).write.mode("overwrite").parquet(path)
