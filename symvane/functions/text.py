@@ -29,18 +29,24 @@ def content_hash(content: Column, hashed: Column | None = None) -> Column:
 
 #: FNV-1a, 64 bit: start and factor.
 FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
+#: Texts from which on taking their bytes together pays.
+FNV_TOGETHER = 16
 
 
-def fnv1a_bytes(data: bytes) -> int:
-    """FNV-1a of bytes, 64 bit, as a signed number."""
-    h = FNV_START
+def _fnv_on(h: int, data: bytes) -> int:
     for b in data:
         h = ((h ^ b) * FNV_FACTOR) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def fnv1a_bytes(data: bytes) -> int:
+    """FNV-1a of bytes, 64 bit, as a signed number."""
+    h = _fnv_on(FNV_START, data)
     return h - (1 << 64) if h >> 63 else h
 
 
 def fnv1a_many(texts: list[str]) -> np.ndarray:
-    """FNV-1a of many texts at once: the k-th bytes of all texts that have one are taken together."""
+    """FNV-1a of many texts at once: the k-th bytes of all texts that have one are taken together, while there are FNV_TOGETHER of them."""
     data = [t.encode() for t in texts]
     order = np.argsort([-len(d) for d in data], kind="stable")
     sizes = np.array([len(data[i]) for i in order])
@@ -48,9 +54,12 @@ def fnv1a_many(texts: list[str]) -> np.ndarray:
     starts = np.r_[0, np.cumsum(sizes)][:-1]
     h = np.full(len(data), FNV_START, np.uint64)
     live = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")  # texts with at least k bytes
+    most = int((live >= FNV_TOGETHER).sum())
     with np.errstate(over="ignore"):
-        for k, n in enumerate(live):
+        for k, n in enumerate(live[:most]):
             h[:n] = (h[:n] ^ whole[starts[:n] + k]) * np.uint64(FNV_FACTOR)
+    for i in range(int(live[most]) if most < len(live) else 0):
+        h[i] = _fnv_on(int(h[i]), data[order[i]][most:])
     out = np.empty(len(data), np.int64)
     out[order] = h.view(np.int64)
     return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from symvane.functions.text import fnv1a_bytes
+from symvane.functions.text import fnv1a_bytes, fnv1a_many
 
 #: Bounds of one file: symbols, references, names in an outline, characters of a signature, open scopes, and those among them that declare.
 MOST_SYMBOLS, MOST_REFS, MOST_OUTLINE, MOST_SIGNATURE, MOST_OPEN, MOST_DECLARED = 200_000, 20_000, 24, 240, 4_096, 64
@@ -504,8 +504,9 @@ class Reader:
         for x in marks:
             total += x - at if ascii_only else len(self.text[at:x].encode())
             size[x], at = total, x
-        for s in self.symbols:
-            s["body_hash"] = fnv1a_bytes(" ".join(self.text[s["start_byte"] : s["end_byte"]].split()).encode())
+        hashes = fnv1a_many([" ".join(self.text[s["start_byte"] : s["end_byte"]].split()) for s in self.symbols]).tolist()
+        for s, hashed in zip(self.symbols, hashes):
+            s["body_hash"] = hashed
             s["start_byte"], s["end_byte"] = size[s["start_byte"]], size[s["end_byte"]]
 
 
