@@ -309,7 +309,7 @@ def test_toon_refuses(bad):
 
 def test_extraction():
     e = ex.extract("/// Adds.\npub fn add(a: i32) {\n  helper(a)\n}\ntrait T {\n  fn go(&self) { self.add(1); }\n}\n", "rust")
-    assert [(q["qualified_name"], q["kind"], q["doc"], q["start_line"], q["end_line"]) for q in e.symbols] == [("add", "function", "Adds.", 2, 4), ("T", "trait", None, 5, 7), ("T::go", "method", None, 6, 6)]
+    assert [(q["qualified_name"], q["kind"], q["doc"], q["start_line"], q["end_line"]) for q in e.symbols] == [("add", "function", "Adds.", 2, 4), ("T", "interface", None, 5, 7), ("T::go", "method", None, 6, 6)]
     assert [(x["name"], x["qualifier"], x["owner_seq"]) for x in e.refs] == [("helper", None, 0), ("add", "self", 2)]
     p = ex.extract('class A(B):\n    def f(self):\n        """Doc."""\n        return g(x.y(1))\n', "python")
     assert [(q["qualified_name"], q["doc"]) for q in p.symbols] == [("A", None), ("A.f", "Doc.")] and {(x["name"], x["kind"]) for x in p.refs} == {("B", "inherit"), ("g", "call"), ("y", "call")}
