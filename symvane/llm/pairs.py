@@ -386,10 +386,11 @@ def informative(doc: str | None, name: str | None, signature: str | None) -> boo
     return bool(beyond) and bool(split - own - {_stem(f) for f in _FILLER})
 
 
-def code_doc_pairs(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Functions of source texts with informative documentation: (id, name, signature, doc, line, end_line).
+def source_functions(sources: DataFrame, id_col: str, text_col: str, documented: bool = False) -> DataFrame:
+    """Functions of source texts: (id, name, signature, doc, line, end_line), doc being '' where no comment is attached.
 
-    Null and empty sources have none; repeated rows come out as often as they are given; other columns are ignored.
+    With `documented` only those with informative documentation. Null and empty sources have none; repeated rows come
+    out as often as they are given; other columns are ignored.
     """
     slim = sources.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
     schema = T.StructType([slim.schema["id"], *[T.StructField(c, T.StringType()) for c in ("name", "signature", "doc")], T.StructField("line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
@@ -399,7 +400,7 @@ def code_doc_pairs(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows, found = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 for f in functions(text):
-                    if informative(f.doc, f.name, f.signature):
+                    if not documented or informative(f.doc, f.name, f.signature):
                         rows.append(row)
                         found.append(f)
             cols = [pa.array([f.name for f in found], pa.string()), pa.array([f.signature for f in found], pa.string()), pa.array([f.doc for f in found], pa.string()), pa.array([f.line for f in found], pa.int32()), pa.array([f.end_line for f in found], pa.int32())]
@@ -408,6 +409,11 @@ def code_doc_pairs(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
+def code_doc_pairs(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Functions of source texts with informative documentation, as `source_functions` gives them."""
+    return source_functions(sources, id_col, text_col, documented=True)
+
+
 def as_source(doc: str, signature: str) -> tuple[str, int]:
     """A stored comment and signature as the source lines they came from, with an empty body, and the line of the signature."""
     lines = re.split(r"\r\n|\n|\r", doc)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symvane.llm.encode import encode
 from symvane.llm.language import Detector, labelled_sample, languages, source_languages
 from symvane.llm.leakage import leaks
-from symvane.llm.pairs import code_doc_pairs, stored_pairs
+from symvane.llm.pairs import code_doc_pairs, source_functions, stored_pairs
 from symvane.llm.sentences import split_sentences
 from symvane.llm.topn import top_n
 from symvane.operators.incremental import latest
@@ -76,6 +76,11 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
     return code_doc_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p4_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Every function in the texts of the documents, documented or not."""
+    return source_functions(table(spark, d, "documents"), "doc_id", "text").select("id", "name", "line")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The three leading references of every file and hotspots of every path."""
     refs = top_n(table(spark, d, "tmp_refs"), ["file_id"], [("nsame", True), ("line", False)], "rid", 3)
@@ -99,8 +104,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_documents, p4_found, p4_pairs, p4_sources, p5_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_documents, p4_found, p4_pairs, p4_sources, p4_functions, p5_found, p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {
+    "p4_functions": r"""WITH l AS (SELECT doc_id AS id, unnest(ls) AS line_text, unnest(range(1, len(ls) + 1))::INT AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM documents WHERE length(text) > 0))
+      SELECT id, regexp_extract(line_text, '^\s*(?:def|fn|func|function)\s+(\w+)\s*\(', 1) AS name, line FROM l WHERE regexp_matches(line_text, '^\s*(?:def|fn|func|function)\s+\w+\s*\(')""",
     "p5_found": """
 WITH a AS (SELECT DISTINCT rid, file_id, nsame, line FROM tmp_refs),
 b AS (SELECT DISTINCT id, path, callers, line FROM hotspots WHERE callers IS NOT NULL)
