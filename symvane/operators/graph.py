@@ -266,11 +266,13 @@ def export_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges
 
 
 def as_lines(edges: DataFrame, form: str, label: str = "label") -> DataFrame:
-    """Edges as lines of a drawing language (mermaid or dot), one row each, in order of (src, dst)."""
+    """Edges as lines of a drawing language (mermaid or dot) or of JSON, one row each (src, dst, line)."""
     if form == "mermaid":
         line = F.format_string("  n%d -->|%s| n%d", "src", label, "dst")
     elif form == "dot":
         line = F.format_string('  n%d -> n%d [label="%s"];', "src", "dst", label)
+    elif form == "json":
+        line = F.to_json(F.struct("src", "dst", F.col(label).alias("label"), "weight", "confidence"))
     else:
         raise ValueError(f"no such form: {form}")
     return edges.select("src", "dst", line.alias("line"))

@@ -57,6 +57,12 @@ def k4_dot(spark: SparkSession, d: str) -> DataFrame:
     return g.as_lines(g.export_graph(nodes, edges, 60, 240)[1], "dot")
 
 
+def k4_json(spark: SparkSession, d: str) -> DataFrame:
+    edges = views.part_edges(spark, d).filter("src <> dst").withColumn("ord", F.col("src") * 1_000_000 + F.col("dst"))
+    nodes = views.parts(spark, d).select("id", F.col("start_line").alias("weight"))
+    return g.as_lines(g.export_graph(nodes, edges, 60, 240)[1], "json")
+
+
 def g1_modules(spark: SparkSession, d: str) -> DataFrame:
     """Modules of the stored files at two depths."""
     files = views.files(spark, d).select("file_id", "path")
@@ -156,7 +162,7 @@ def g12_nesting(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("id", F.least("depth", F.lit(32)).alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (central_symbols, a6_module_stats, a7_module_pairs, a11_out_degrees, a12_file_scores, a17_merged_edges, a18_degrees, a20_export_edges, k4_mermaid, k4_dot, g1_modules, g2_neighbors, g3_impact, g3_limited, g4_verdicts, g5_impact_files, g5_reports, g6_around, g6_among, g7_module_graph, g8_pagerank, g8_pagerank_refs, g11_brain_nodes, g11_brain_edges, g12_nesting)}
+QUERIES = {f.__name__: f for f in (central_symbols, a6_module_stats, a7_module_pairs, a11_out_degrees, a12_file_scores, a17_merged_edges, a18_degrees, a20_export_edges, k4_mermaid, k4_dot, k4_json, g1_modules, g2_neighbors, g3_impact, g3_limited, g4_verdicts, g5_impact_files, g5_reports, g6_around, g6_among, g7_module_graph, g8_pagerank, g8_pagerank_refs, g11_brain_nodes, g11_brain_edges, g12_nesting)}
 
 #: The graph of parts.
 PARTS = """
@@ -209,6 +215,7 @@ SQL = {
     "a20_export_edges": PARTS + "SELECT src, dst, weight, label, confidence FROM drawn",
     "k4_mermaid": PARTS + "SELECT src, dst, '  n' || src || ' -->|' || label || '| n' || dst AS line FROM drawn",
     "k4_dot": PARTS + """SELECT src, dst, '  n' || src || ' -> n' || dst || ' [label="' || label || '"];' AS line FROM drawn""",
+    "k4_json": PARTS + """SELECT src, dst, '{"src":' || src || ',"dst":' || dst || ',"label":"' || label || '","weight":' || weight || ',"confidence":' || confidence || '}' AS line FROM drawn""",
     "g1_modules": "SELECT file_id, k AS depth, CASE WHEN NOT contains(path, '/') THEN '.' ELSE array_to_string(string_split(path, '/')[1:least(k, len(string_split(path, '/')) - 1)], '/') END AS module FROM files, (VALUES (1), (3)) v(k)",
     "g2_neighbors": PARTS + """SELECT seed, direction, id, kind, confidence, line, rank FROM (
       SELECT x.*, CAST(row_number() OVER (PARTITION BY seed, direction ORDER BY confidence DESC, path, line, start_line, x.id, kind) AS INT) AS rank FROM (
