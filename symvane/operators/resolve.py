@@ -24,6 +24,10 @@ MODULE = ["super", "crate", "parent"]
 # Languages that share a family; others are their own.
 FAMILIES = {"javascript": "ecmascript", "typescript": "ecmascript", "tsx": "ecmascript", "c": "c_family", "cpp": "c_family"}
 EDGE_KINDS = {"call": "calls", "type": "uses", "inherit": "inherits"}
+# What stands between a type and its member.
+SEPARATORS = ("::", ".")
+#: Receivers and names with these have no fixed length as a pattern, and meet every candidate of their name.
+ODD = r"[%\\]"
 
 
 def family_of(language: Column) -> Column:
@@ -55,13 +59,17 @@ def _like_tail(text: Column, tail: Column) -> Column:
     return F.call_function("ilike", text, F.concat(F.lit("%"), tail))
 
 
+def _flat(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(""))
+
+
 def names_type(recv: Column, name: Column, qualified: Column, parent: Column) -> Column:
     """Whether a receiver names the candidate's type: its parent, or the segment before its own name."""
-    flat, plain = F.replace(F.lower(parent), F.lit("_"), F.lit("")), F.replace(recv, F.lit("_"), F.lit(""))
+    flat, plain = _flat(F.lower(parent)), _flat(recv)
     long = F.length(recv) >= 4
     by_parent = (flat == plain) | long & F.endswith(flat, plain)
     by_segment = F.lit(False)
-    for sep in ("::", "."):
+    for sep in SEPARATORS:
         tail = F.concat(recv, F.lit(sep), name)
         by_segment |= F.call_function("ilike", qualified, tail) | _like_tail(qualified, F.concat(F.lit(sep), tail)) | long & _like_tail(qualified, tail)
     return F.coalesce((recv != "") & (F.coalesce(by_parent, F.lit(False)) | by_segment), F.lit(False))
@@ -115,6 +123,39 @@ def same_file(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
         F.col("owner").alias("src"), F.col("sid").alias("dst"), "kind", F.lit(RESOLVED).alias("confidence"), "line", F.col("file_id").alias("src_file"), F.col("file_id").alias("dst_file"))
 
 
+def _odd(asked: DataFrame, candidates: DataFrame, holds: Column) -> DataFrame:
+    strange = asked.filter(F.col("recv").rlike(ODD) | F.col("name").rlike(ODD))
+    return strange.join(candidates, ["name", "family"]).filter(holds).select("name", "family", "recv", "sid")
+
+
+def _plain(asked: DataFrame) -> DataFrame:
+    return asked.filter(~(F.col("recv").rlike(ODD) | F.col("name").rlike(ODD)))
+
+
+def placed_pairs(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Asked (name, family, recv; distinct, recv not empty) with the candidates whose file or directory the receiver names: name, family, recv, sid.
+
+    The pairs of `names_place`: every file is matched once with all receivers, by length and end of what stands in its
+    path between separators, and its candidates take the receivers asked for their name.
+    """
+    plain = _plain(asked)
+    said = plain.select("recv").distinct().withColumn("low", F.lower("recv"))
+    wanted = said.select("recv", "low", F.length("low").alias("n"), F.substring_index("low", "_", -1).alias("piece"))
+    places = candidates.select("sfile", "spath").distinct().crossJoin(F.broadcast(wanted.agg(F.max("n").alias("most"))))  # one row
+    path = F.lower("spath")
+    at = lambda i: F.substring(path, i, F.lit(1))
+    starts = F.filter(F.sequence(F.lit(1), F.length(path)), lambda i: (i == 1) | (at(i - 1) == "/"))
+    stops = F.filter(F.sequence(F.lit(1), F.length(path)), lambda i: at(i).isin("/", "."))
+    parts = F.flatten(F.transform("starts", lambda b: F.transform(F.filter("stops", lambda e: (e > b) & (e - b <= F.col("most"))), lambda e: F.substring(path, b, e - b))))
+    parted = places.filter("spath <> ''").withColumns({"starts": starts, "stops": stops}).select("sfile", F.explode(F.array_distinct(parts)).alias("part"))
+    n = F.length("part")
+    tails = parted.select("part").distinct().select("part", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("k")).select("part", "n", F.substring(F.col("part"), F.col("n") - F.col("k") + 1, F.col("k")).alias("piece"))
+    named = tails.join(wanted, ["n", "piece"]).filter((F.col("part") == F.col("low")) | F.contains("low", F.lit("_")) & F.call_function("like", F.col("part"), F.col("low")))
+    placed = parted.join(named.select("part", "recv"), "part").select("sfile", "recv").distinct()
+    pairs = candidates.select("name", "family", "sid", "sfile").join(placed, "sfile").join(plain, ["name", "family", "recv"]).select("name", "family", "recv", "sid")
+    return pairs.unionByName(_odd(asked, candidates, names_place(F.col("recv"), F.col("spath"))))
+
+
 def hints(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per reference with a receiver and none in its file: the one candidate the receiver points at (id, hint)."""
     scope = loaded.filter("nsame = 0 AND recv IS NOT NULL AND recv <> ''")

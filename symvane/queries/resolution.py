@@ -134,7 +134,7 @@ def st3_touching(spark: SparkSession, d: str) -> DataFrame:
 
 def _pointed_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs, symbols, files = views.pointed(spark, d)
-    candidates = r.candidates_of(symbols, files)
+    candidates = cut(r.candidates_of(symbols, files))
     return candidates, r.load_refs(refs, candidates, files)
 
 
@@ -159,6 +159,10 @@ def _said(spark: SparkSession, d: str) -> DataFrame:
     return loaded.filter("recv IS NOT NULL AND recv <> ''").select("name", "family", "recv").distinct().join(candidates, ["name", "family"])
 
 
+def _asked(loaded: DataFrame) -> DataFrame:
+    return loaded.filter("recv IS NOT NULL AND recv <> ''").select("name", "family", "recv").distinct()
+
+
 def p8_pointed(spark: SparkSession, d: str) -> DataFrame:
     """As p8_names_type, over receivers that name types, files and directories."""
     return _said(spark, d).filter(r.names_type(F.col("recv"), F.col("name"), F.col("qualified"), F.col("parent"))).select("name", "family", "recv", "sid")
@@ -166,7 +170,8 @@ def p8_pointed(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_pointed(spark: SparkSession, d: str) -> DataFrame:
     """As p9_names_place, over receivers that name types, files and directories."""
-    return _said(spark, d).filter(r.names_place(F.col("recv"), F.col("spath"))).select("name", "family", "recv", "sid")
+    candidates, loaded = _pointed_parts(spark, d)
+    return r.placed_pairs(_asked(loaded), candidates)
 
 
 QUERIES = {f.__name__: f for f in (j2_refs_in_files, j3_same_file, j4_unique_in_family, j5_hints, j6_picks, j7_parents, j8_counts, a1_names, w1_nearest, w3_shared_path, w4_ordinals, g10_edges, a2_edge_tiers, p8_names_type, p9_names_place, p10_no_self, f5_receivers, st3_touching, j5_pointed, j8_pointed, g10_pointed, p8_pointed, p9_pointed)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symvane.operators.resolve import resolve
-from symvane.runtime import table
+from symvane.runtime import cut, table
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def pointed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     places = files(spark, d).withColumn("next_file", F.lead("file_id").over(Window.partitionBy("family").orderBy("file_id")))
     rows = symbols(spark, d, "file_id", "name", "qualified_name", "start_line", "parent_id")
     short = F.regexp_extract("name", "([A-Z]?[a-z]+)[^a-z]*$", 1)
-    named = rows.withColumn("long", F.col("name")).withColumn("name", F.when(short == "", F.col("name")).otherwise(F.lower(short)))
+    named = cut(rows.withColumn("name", F.when(short == "", F.col("name")).otherwise(F.lower(short))))
     parents = named.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     told = named.join(parents, "parent_id", "left").join(places.select("file_id", "path", "next_file"), "file_id").filter("next_file IS NOT NULL AND parent_id IS NOT NULL")
     parts = F.split("path", "/")
@@ -48,7 +48,7 @@ def pointed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     kind = F.pmod("id", F.lit(5))
     recv = F.when(kind == 0, F.lower("parent")).when(kind == 1, F.lower(stem)).when(kind == 2, F.lower(parts[0])).when(kind == 3, F.concat(F.lower("parent"), F.lit("s")))
     refs = told.select("id", F.col("next_file").alias("file_id"), F.col("parent_id").alias("owner_id"), "name", F.lit("calls").alias("kind"), (F.col("start_line") + 1).alias("line"), (kind == 0).cast("int").alias("no_self"), recv.alias("recv"))
-    return refs, named.drop("long"), files(spark, d)
+    return cut(refs), named, files(spark, d)
 
 
 def memories(spark: SparkSession, d: str) -> DataFrame:
