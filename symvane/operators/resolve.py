@@ -132,6 +132,34 @@ def _plain(asked: DataFrame) -> DataFrame:
     return asked.filter(~(F.col("recv").rlike(ODD) | F.col("name").rlike(ODD)))
 
 
+def typed_pairs(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Asked (name, family, recv; distinct, recv not empty) with the candidates whose type the receiver names: name, family, recv, sid.
+
+    The pairs of `names_type`, from equal keys: a receiver's own end, behind its last `_`, is an end of the candidate's
+    parent or of what stands before its name. Only ends of lengths asked for are made.
+    """
+    low, name = F.lower("qualified"), F.lower("name")
+
+    def head(sep: str) -> Column:  # before the separator and the name, in which `_` stands for any character
+        tail = F.concat(F.lit(sep), name)
+        ends = F.when(F.contains(name, F.lit("_")), F.call_function("like", low, F.concat(F.lit("%"), tail))).otherwise(F.endswith(low, tail))
+        return F.when(ends & (F.length(low) > F.length(tail)), F.substring(low, F.lit(1), F.length(low) - F.length(tail)))
+
+    text = {"parent": _flat(F.lower("parent"))} | {sep: head(sep) for sep in SEPARATORS}
+    texts = candidates.select("name", "family", "sid", F.explode(F.array(*[F.struct(F.lit(k).alias("how"), v.alias("text")) for k, v in text.items()])).alias("x")).select("name", "family", "sid", "x.*").filter("text IS NOT NULL")
+    piece = {"parent": _flat(F.col("recv"))} | {sep: F.substring_index(F.lower("recv"), "_", -1) for sep in SEPARATORS}
+    wanted = _plain(asked).select("name", "family", "recv", F.explode(F.array(*[F.struct(F.lit(k).alias("how"), v.alias("piece")) for k, v in piece.items()])).alias("x")).select("name", "family", "recv", "x.*")
+    lengths = wanted.groupBy("name", "family", "how").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    n = F.length("text")
+    ends = F.transform(F.filter("lengths", lambda k: k <= n), lambda k: F.substring(F.col("text"), n - k + 1, k))
+    tails = texts.select("name", "family", "how", "text").distinct().join(lengths, ["name", "family", "how"]).select("name", "family", "how", "text", F.explode(ends).alias("piece"))
+    long, recv, like = F.length("recv") >= 4, F.lower("recv"), lambda *parts: F.call_function("like", F.col("text"), F.concat(*parts))
+    by_segment = like(recv) | like(F.lit("%"), F.col("how"), recv) | long & like(F.lit("%"), recv)
+    found = tails.join(wanted, ["name", "family", "how", "piece"]).filter(F.when(F.col("how") == "parent", (F.col("text") == F.col("piece")) | long).otherwise(by_segment))
+    pairs = texts.join(found.select("name", "family", "how", "text", "recv"), ["name", "family", "how", "text"]).select("name", "family", "recv", "sid").distinct()
+    return pairs.unionByName(_odd(asked, candidates, names_type(F.col("recv"), F.col("name"), F.col("qualified"), F.col("parent"))))
+
+
 def placed_pairs(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     """Asked (name, family, recv; distinct, recv not empty) with the candidates whose file or directory the receiver names: name, family, recv, sid.
 

@@ -154,18 +154,14 @@ def g10_pointed(spark: SparkSession, d: str) -> DataFrame:
     return r.resolve(*views.pointed(spark, d))
 
 
-def _said(spark: SparkSession, d: str) -> DataFrame:
-    candidates, loaded = _pointed_parts(spark, d)
-    return loaded.filter("recv IS NOT NULL AND recv <> ''").select("name", "family", "recv").distinct().join(candidates, ["name", "family"])
-
-
 def _asked(loaded: DataFrame) -> DataFrame:
     return loaded.filter("recv IS NOT NULL AND recv <> ''").select("name", "family", "recv").distinct()
 
 
 def p8_pointed(spark: SparkSession, d: str) -> DataFrame:
     """As p8_names_type, over receivers that name types, files and directories."""
-    return _said(spark, d).filter(r.names_type(F.col("recv"), F.col("name"), F.col("qualified"), F.col("parent"))).select("name", "family", "recv", "sid")
+    candidates, loaded = _pointed_parts(spark, d)
+    return r.typed_pairs(_asked(loaded), candidates)
 
 
 def p9_pointed(spark: SparkSession, d: str) -> DataFrame:

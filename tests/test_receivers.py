@@ -47,3 +47,20 @@ def test_places_cost_files_and_receivers_and_not_their_product(spark):
     began = time.time()
     assert r.placed_pairs(asked("file_"), candidates).count() == 12_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_types_of_receivers_equal_the_predicate_of_every_pair(spark, seed):
+    cand, asked = random_rows(seed)
+    candidates, asked = spark.createDataFrame(cand, CANDIDATE), spark.createDataFrame(asked, "name string, family string, recv string")
+    want = asked.join(candidates, ["name", "family"]).filter(r.names_type(F.col("recv"), F.col("name"), F.col("qualified"), F.col("parent"))).select(*KEY, "sid")
+    got = sorted(map(tuple, r.typed_pairs(asked, candidates).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+    assert not r.typed_pairs(asked.limit(0), candidates).collect() and not r.typed_pairs(asked, candidates.limit(0)).collect()
+
+
+def test_types_cost_candidates_and_receivers_and_not_their_product(spark):
+    candidates, asked = crowd(spark, 12_000)
+    began = time.time()
+    assert r.typed_pairs(asked("type"), candidates).count() == 12_000
+    assert time.time() - began < 60
