@@ -141,7 +141,7 @@ def _pointed_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def j5_pointed(spark: SparkSession, d: str) -> DataFrame:
     """As j5_hints, over references whose receivers name types, files and directories."""
     candidates, loaded = _pointed_parts(spark, d)
-    return r.hints(loaded, candidates)
+    return r.hints(cut(loaded), candidates)
 
 
 def j8_pointed(spark: SparkSession, d: str) -> DataFrame:

@@ -64,3 +64,13 @@ def test_types_cost_candidates_and_receivers_and_not_their_product(spark):
     began = time.time()
     assert r.typed_pairs(asked("type"), candidates).count() == 12_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("excl", [0, 1])
+def test_hints_cost_candidates_and_references_and_not_their_product(spark, excl):
+    candidates, asked = crowd(spark, 12_000)
+    loaded = asked("type").withColumns({"id": F.regexp_extract("recv", r"(\d+)", 1).cast("long"), "owner": F.lit(-1).cast("long"), "nsame": F.lit(0), "excl": F.lit(excl)})
+    began = time.time()
+    got = r.hints(loaded, candidates)
+    assert got.count() == 12_000 and not got.filter("id <> hint").count()
+    assert time.time() - began < 90
