@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symvane.runtime import cut
+from symvane.runtime import cut, release
 from symvane.schemas import GUESS, HEURISTIC, RESOLVED
 
 #: Most edges one reference gives, and candidates ranked for it (one more, for its owner may be skipped).
@@ -203,26 +203,40 @@ def hints(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
     return told.select("id", hint.alias("hint")).filter("hint IS NOT NULL")
 
 
+def beginnings(places: DataFrame) -> DataFrame:
+    """Per file (file_id, path, family; distinct) the beginnings of its path where paths of its family part, and the whole path: file_id, node, depth.
+
+    Two paths of a family part at one of these. A beginning is named by the least file below it and its bytes.
+    """
+    data = F.hex(F.encode("path", "utf-8"))
+    long = places.select("file_id", "family", data.alias("data"), F.explode(F.sequence(F.lit(0), F.octet_length("path"))).alias("depth"))
+    begun = long.select("file_id", "family", "depth", F.expr("substring(data, 1, 2 * depth)").alias("start"), F.expr("substring(data, 2 * depth + 1, 2)").alias("next"))
+    parting = begun.groupBy("family", "start").agg(F.min("file_id").alias("node"), F.min("next").alias("a"), F.max("next").alias("b")).filter("a <> b OR a = ''")
+    return begun.select("file_id", "family", "depth", "start").join(parting.select("family", "start", "node"), ["family", "start"]).select("file_id", "node", "depth")
+
+
 def picks(loaded: DataFrame, candidates: DataFrame, few: int = FEW) -> DataFrame:
     """Best candidates of ambiguous names per file: (name, family, file_id, rank, sid, sfile), longest shared path first.
 
     Files meet all candidates of a name while a family has at most `few`. Beyond that they meet, for each
-    beginning of their path, the five first candidates below it, which always holds the five best: cost then
-    grows with candidates and files, not with their product.
+    beginning of their path where paths part, the five first candidates below it, which always holds the five best:
+    cost then grows with candidates and files, not with their product.
     """
     asked = loaded.filter("nsame = 0 AND cnt >= 2 AND hint IS NULL").select("name", "family", "file_id", "path", (F.col("cnt") + F.col("excl") > few).alias("many")).distinct()
     own = candidates.select("name", "family", "sid", "sfile", "spath")
-    pairs = asked.filter("NOT many").join(own, ["name", "family"]).select("name", "family", "file_id", "path", "sid", "sfile", "spath")
+    keys = ["name", "family", "file_id"]
+    pairs = asked.filter("NOT many").join(own, ["name", "family"]).select(*keys, "sid", "sfile", "spath", common_prefix(F.col("spath"), F.col("path")).alias("shared"))
     hot = asked.filter("many")
     held = own.join(hot.select("name", "family").distinct(), ["name", "family"], "left_semi")
-    starts = lambda p: F.explode(F.transform(F.sequence(F.lit(0), F.octet_length(p)), lambda k: F.substring(F.hex(F.encode(p, "utf-8")), F.lit(1), 2 * k))).alias("start")
-    begin = Window.partitionBy("name", "family", "start").orderBy("spath", "sid")  # the limit below is applied in each task before the shuffle too
-    first = held.select("name", "family", "sid", "spath", starts(F.col("spath"))).withColumn("nth", F.row_number().over(begin)).filter(F.col("nth") <= PICKS).drop("nth")
-    met = hot.select("name", "family", "file_id", "path", starts(F.col("path"))).join(first, ["name", "family", "start"]).drop("start").distinct()
-    pairs = pairs.unionByName(met.join(own.select("sid", "sfile"), "sid"))
-    best = Window.partitionBy("name", "family", "file_id").orderBy(F.col("shared").desc(), "spath", "sid")
-    ranked = pairs.withColumn("shared", common_prefix(F.col("spath"), F.col("path"))).withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= PICKS).select("name", "family", "file_id", "rank", "sid", "sfile")
+    at = cut(beginnings(held.select(F.col("sfile").alias("file_id"), F.col("spath").alias("path"), "family").unionByName(hot.select("file_id", "path", "family")).distinct()))
+    met = hot.select(*keys).join(at, "file_id")
+    below = held.join(at.withColumnRenamed("file_id", "sfile"), "sfile")
+    begin = Window.partitionBy("node", "depth", "name", "family").orderBy("spath", "sid")  # the limit below is applied in each task before the shuffle too
+    first = below.withColumn("nth", F.row_number().over(begin)).filter(F.col("nth") <= PICKS).drop("nth")
+    near = met.join(first, ["node", "depth", "name", "family"]).groupBy(*keys, "sid", "sfile", "spath").agg(F.max("depth").alias("shared"))  # the last they meet at is where they part
+    best = Window.partitionBy(*keys).orderBy(F.col("shared").desc(), "spath", "sid")
+    ranked = pairs.unionByName(near).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= PICKS).select(*keys, "rank", "sid", "sfile")
 
 
 def collapse(tiers: DataFrame) -> DataFrame:
@@ -237,9 +251,10 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     start_line, parent_id, one row per id. files: file_id, path, family. References without an owner, or of
     names nobody carries, give none; empty tables give none.
     """
-    candidates = candidates_of(symbols, files)
-    loaded = cut(load_refs(refs, candidates, files))
-    loaded = cut(loaded.join(hints(loaded, candidates), "id", "left"))
+    candidates = cut(candidates_of(symbols, files))
+    plain = cut(load_refs(refs, candidates, files))
+    loaded = cut(plain.join(hints(plain, candidates), "id", "left"))
+    release(plain)
     first = same_file(loaded, candidates)
     free = loaded.filter("nsame = 0")
     to = [F.col("owner").alias("src"), F.col("sid").alias("dst"), "kind"]

@@ -74,3 +74,13 @@ def test_hints_cost_candidates_and_references_and_not_their_product(spark, excl)
     got = r.hints(loaded, candidates)
     assert got.count() == 12_000 and not got.filter("id <> hint").count()
     assert time.time() - began < 90
+
+
+def test_picks_below_long_paths_cost_their_partings_and_not_their_bytes(spark):
+    deep = "d" * 2000
+    candidates = spark.range(6000).select(F.col("id").alias("sid"), F.lit("run").alias("name"), F.lit("rust").alias("family"), (F.col("id") % 20).alias("sfile")).withColumn("spath", F.concat(F.lit(f"{deep}/"), F.col("sfile").cast("string")))
+    loaded = spark.range(20).select(F.col("id").alias("file_id"), F.lit("run").alias("name"), F.lit("rust").alias("family"), F.concat(F.lit(f"{deep}/"), F.col("id").cast("string")).alias("path"), F.lit(0).alias("nsame"), F.lit(6000).alias("cnt"), F.lit(0).alias("excl"), F.lit(None).cast("long").alias("hint"))
+    began = time.time()
+    got = r.picks(loaded, candidates).collect()
+    assert sorted((x.file_id, x["rank"], x.sid) for x in got) == [(f, k + 1, f + 20 * k) for f in range(20) for k in range(5)]
+    assert time.time() - began < 60
