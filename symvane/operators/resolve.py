@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symvane.runtime import cut, release
+from symvane.runtime import cut
 from symvane.schemas import GUESS, HEURISTIC, RESOLVED
 
 #: Most edges one reference gives, and candidates ranked for it (one more, for its owner may be skipped).
@@ -204,15 +204,15 @@ def hints(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def beginnings(places: DataFrame) -> DataFrame:
-    """Per file (file_id, path, family; distinct) the beginnings of its path where paths of its family part, and the whole path: file_id, node, depth.
+    """Per file (file_id, path; distinct) the beginnings of its path where paths part, and the whole path: file_id, node, depth.
 
-    Two paths of a family part at one of these. A beginning is named by the least file below it and its bytes.
+    Two paths part at one of these. A beginning is named by the least file below it and its bytes.
     """
     data = F.hex(F.encode("path", "utf-8"))
-    long = places.select("file_id", "family", data.alias("data"), F.explode(F.sequence(F.lit(0), F.octet_length("path"))).alias("depth"))
-    begun = long.select("file_id", "family", "depth", F.expr("substring(data, 1, 2 * depth)").alias("start"), F.expr("substring(data, 2 * depth + 1, 2)").alias("next"))
-    parting = begun.groupBy("family", "start").agg(F.min("file_id").alias("node"), F.min("next").alias("a"), F.max("next").alias("b")).filter("a <> b OR a = ''")
-    return begun.select("file_id", "family", "depth", "start").join(parting.select("family", "start", "node"), ["family", "start"]).select("file_id", "node", "depth")
+    long = places.select("file_id", data.alias("data"), F.explode(F.sequence(F.lit(0), F.octet_length("path"))).alias("depth"))
+    begun = long.select("file_id", "depth", F.expr("substring(data, 1, 2 * depth)").alias("start"), F.expr("substring(data, 2 * depth + 1, 2)").alias("next"))
+    parting = begun.groupBy("start").agg(F.min("file_id").alias("node"), F.min("next").alias("a"), F.max("next").alias("b")).filter("a <> b OR a = ''")
+    return begun.select("file_id", "depth", "start").join(parting.select("start", "node"), "start").select("file_id", "node", "depth")
 
 
 def picks(loaded: DataFrame, candidates: DataFrame, few: int = FEW) -> DataFrame:
@@ -228,7 +228,7 @@ def picks(loaded: DataFrame, candidates: DataFrame, few: int = FEW) -> DataFrame
     pairs = asked.filter("NOT many").join(own, ["name", "family"]).select(*keys, "sid", "sfile", "spath", common_prefix(F.col("spath"), F.col("path")).alias("shared"))
     hot = asked.filter("many")
     held = own.join(hot.select("name", "family").distinct(), ["name", "family"], "left_semi")
-    at = cut(beginnings(held.select(F.col("sfile").alias("file_id"), F.col("spath").alias("path"), "family").unionByName(hot.select("file_id", "path", "family")).distinct()))
+    at = cut(beginnings(held.select(F.col("sfile").alias("file_id"), F.col("spath").alias("path")).unionByName(hot.select("file_id", "path")).distinct()))
     met = hot.select(*keys).join(at, "file_id")
     below = held.join(at.withColumnRenamed("file_id", "sfile"), "sfile")
     begin = Window.partitionBy("node", "depth", "name", "family").orderBy("spath", "sid")  # the limit below is applied in each task before the shuffle too
@@ -252,9 +252,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     names nobody carries, give none; empty tables give none.
     """
     candidates = cut(candidates_of(symbols, files))
-    plain = cut(load_refs(refs, candidates, files))
-    loaded = cut(plain.join(hints(plain, candidates), "id", "left"))
-    release(plain)
+    loaded = cut(load_refs(refs, candidates, files))
+    loaded = cut(loaded.join(hints(loaded, candidates), "id", "left"))
     first = same_file(loaded, candidates)
     free = loaded.filter("nsame = 0")
     to = [F.col("owner").alias("src"), F.col("sid").alias("dst"), "kind"]
